@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from compval.llm.common import documents, dropped, id_out, rows_out, slices, written
 
 
+#: Levels of masks at most.
+LEVELS = 3
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     w = text.encode().lower().split()
     if not w:
@@ -101,9 +105,10 @@ def links(nodes: DataFrame, radius: int = 3, most: int = 2000) -> DataFrame:
                 rows += forest(v.field("node").to_numpy(), v.field("fp").to_numpy(), radius)
             yield rows_out(schema, rows)
 
-    masks, found, first = [0], None, True
+    masks, found, level = [0], None, 0
     todo = nodes.withColumn("t", F.lit(0))
     while True:
+        level += 1
         finer = [covering_masks(m, radius) for m in masks]
         masks = [m for ms in finer for m in ms]
         n = len(finer[0])
@@ -111,14 +116,15 @@ def links(nodes: DataFrame, radius: int = 3, most: int = 2000) -> DataFrame:
         keyed = todo.select("node", "fp", F.explode(F.sequence(F.col("t") * n, F.col("t") * n + n - 1)).alias("t"))
         keyed = keyed.withColumn("k", F.col("fp").bitwiseAND(table[F.col("t")]))
         counts = written(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-        small = keyed.join(counts.where(F.col("n") <= most), ["t", "k"]).groupBy("t", "k").agg(F.collect_list(F.struct("node", "fp")).alias("held"))
+        # A bucket of the last level has at most 2^7 values left, as each mask keeps over half of the bits still free.
+        large = counts.where(F.col("n") > most) if level < LEVELS else counts.limit(0)
+        small = keyed.join(counts.where(F.col("n") <= most) if level < LEVELS else counts, ["t", "k"]).groupBy("t", "k").agg(F.collect_list(F.struct("node", "fp")).alias("held"))
         edges = small.select("held").mapInArrow(run, "src long, dst long")
         edges = written(edges.where("src <> dst").distinct(), "edges")
         found = edges if found is None else found.unionByName(edges)
-        if counts.where(F.col("n") > most).isEmpty():
-            return found if first else found.distinct()
-        todo = written(keyed.join(counts.where(F.col("n") > most), ["t", "k"]).select("node", "fp", "t"), "large")
-        first = False
+        if large.isEmpty():
+            return found if level == 1 else found.distinct()
+        todo = written(keyed.join(large, ["t", "k"]).select("node", "fp", "t"), "large")
 
 
 def components(edges: DataFrame) -> DataFrame:
