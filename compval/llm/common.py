@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,3 +80,18 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
         step = max(1, int(b.num_rows * most_bytes / max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+def map_text(df: DataFrame, change: Callable[[str, object], str], given: str) -> DataFrame:
+    """df with change(text, given) for its text, without the column `given`; null texts stay."""
+    keep = [c for c in df.columns if c != given]
+    schema = df.select(*keep).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            at, arg = b.schema.get_field_index("text"), b.column(b.schema.get_field_index(given)).to_pylist()
+            new = [t if t is None else change(t, a) for t, a in zip(b.column(at).to_pylist(), arg)]
+            cols = {c: pa.array(new, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in keep}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return df.mapInArrow(run, schema)
