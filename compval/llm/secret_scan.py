@@ -160,7 +160,7 @@ def secret_digests(docs: DataFrame, **options) -> DataFrame:
 MASK = {"assign": "<SECRET>", "access": "<ACCESS_KEY>", "hex": "<HEX>", "live": "<SECRET>"}
 
 
-def redact(text: str, spans: str) -> str:
+def redact(text: str, spans: str | None) -> str:
     """text with every span replaced by its kind's mask; overlapping spans are replaced as one."""
     if not spans:
         return text
