@@ -1,12 +1,77 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+quality          drops what importance resampling rejects
+near_dedup       keeps the smallest document of each group of near duplicates
+substring_dedup  cuts strings of 100 bytes that also start earlier; documents of which nothing is left go
+secrets          masks the spans of secrets
+packing          tokens of the remaining documents in sequences
+
+Each stage reads what its predecessor wrote. All but the last return the columns of documents, n_chars up to date.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from compval.llm import packing, quality, secret_scan, simhash, substring_dedup
+from compval.llm.common import NULL_ID, map_text, read, written
+from compval.llm.queries import TOKENIZER
+
+KEY = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with one of the ids (a column doc_id, NULL_ID for null)."""
+    return docs.withColumn("_key", KEY).join(ids.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key").select(*docs.columns)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _kept(docs, quality.resample(docs, read(spark, sf_dir, "labels")).where("keep"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = written(simhash.near_duplicates(docs), "groups")
+    out = _kept(docs, found.where("doc_id = component_id"))
+    # Rows that share an id are one document; only where there are any is their text dealt again.
+    again = found.groupBy("doc_id").count().where("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    was = docs.withColumn("_was", F.coalesce(F.length("text"), F.lit(0)))
+    out = substring_dedup.deduplicated_text(was)
+    return _counted(out.where((F.col("_was") == 0) | (F.length("text") > 0)).select(*docs.columns))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spans = secret_scan.secret_spans(docs).where("spans <> ''").groupBy(F.col("doc_id").alias("_key")).agg(F.min("spans").alias("_spans"))
+    joined = docs.withColumn("_key", KEY).join(spans, "_key", "left").select(*docs.columns, "_spans")
+    return _counted(map_text(joined, secret_scan.redact, "_spans")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: SimHash components, suffix sorting and packing have no SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
