@@ -2,7 +2,7 @@
 
 Two generative models are counted over hashed uni- and bigrams of words and punctuation runs: of target texts (labelled
 good) and of raw texts (all of them). A text's importance is the ratio of its probabilities under the two; `log_ratio`
-is its logarithm over the number of n-grams, `log_weight` the whole logarithm. Which ratio still counts as good is
+is its logarithm over the number of n-grams (and PRIOR more), `log_weight` the whole logarithm. Which ratio still counts as good is
 learnt from labelled rows: the threshold parts good from bad best among those that keep at least `keep_good` of the
 good. The keys (log_ratio - threshold) / temperature plus Gumbel noise by id are then drawn: Gumbel top-k, with k as the
 number of texts at or above the threshold. The kth key is located by histograms of its digits, never by a global sort.
@@ -31,6 +31,10 @@ _MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0xC2B2AE3D27D4EB4F
 _POWER: list[np.ndarray] = []
 SPACE, WORD, PUNCT = 0, 1, 2
+#: Stands for any word that follows itself.
+SAME = np.uint64(0x5851F42D4C957F2D)
+#: N-grams of ratio 1 that every text is thought to have besides its own, so that a few rare words decide little.
+PRIOR = 8
 _KIND = np.full(256, PUNCT, np.uint8)
 _KIND[[*b" \t\n\r\x0b\x0c"]] = SPACE
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = WORD
@@ -61,6 +65,7 @@ def features(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     bound = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
     doc = np.repeat(np.arange(len(texts)), np.diff(bound))
     pair = (word[:-1] * np.uint64(3) ^ (word[1:] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+    pair[word[1:] == word[:-1]] = SAME
     inner = doc[1:] == doc[:-1]
     shift = np.uint64(64 - buckets.bit_length() + 1)
     every = np.concatenate([word, pair[inner]]) >> shift
@@ -112,7 +117,7 @@ def _chosen(labels: DataFrame, per_class: int) -> dict[int, bool]:
     return {r["doc_id"]: r["good"] for r in rows.where(F.when(F.col("good"), share < limit[True]).otherwise(share < limit[False])).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, buckets: int = 1 << 14, smooth: float = 1.0, keep_good: float = 0.995) -> tuple[Importance, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, buckets: int = 1 << 14, smooth: float = 1.0, keep_good: float = 0.999) -> tuple[Importance, DataFrame]:
     """The model, and the written scores (doc_id, log_weight, number) of every text under it."""
     spark = docs.sparkSession
     rows = documents(docs)
@@ -149,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, buckets: int
     scored = written(rows.mapInArrow(score, "doc_id long, log_weight double, number long"), "scores")
     if chosen:
         ids = spark.createDataFrame([(k, v) for k, v in chosen.items()], "doc_id long, good boolean")
-        found = scored.join(F.broadcast(ids), "doc_id").select("good", (F.col("log_weight") / F.greatest("number", F.lit(1))).alias("x")).limit(4 * per_class).collect()
+        found = scored.join(F.broadcast(ids), "doc_id").select("good", (F.col("log_weight") / (F.col("number") + PRIOR)).alias("x")).limit(4 * per_class).collect()
         model.threshold = threshold(np.array([r["x"] for r in found if r["good"]]), np.array([r["x"] for r in found if not r["good"]]), keep_good)
     return model, scored
 
@@ -201,7 +206,7 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.01, seed
     model, scored = fit(docs, labels, **options)
     cut = model.threshold if np.isfinite(model.threshold) else -1e6
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = scored.withColumn("log_ratio", F.col("log_weight") / F.greatest("number", F.lit(1)))
+    rows = scored.withColumn("log_ratio", F.col("log_weight") / (F.col("number") + PRIOR))
     rows = rows.withColumn("key", (F.col("log_ratio") - F.lit(cut)) / temperature - F.log(-F.log(uniform)))
     k = rows.where(F.col("log_ratio") >= cut).count()
     least = kth_largest(rows, "key", k) if k else None
