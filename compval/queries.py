@@ -1,4 +1,762 @@
-"""Every registered query and its SQL."""
+"""Every registered query, beside the same in SQL for DuckDB where SQL can say it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+All run over the whole `listings` table (compval.listings). Doubles are rounded, as sums depend on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from compval.functions import costs as C
+from compval.functions import dissimilarity as D
+from compval.functions import scalars as S
+from compval.listings import SQL, listings
+from compval.operators import aggregates, analysis, cleaning, clustering, environment, evolution, features, normalizers, predictors, spatial, splits
+from compval.plans import driver
+from compval.schema import completed
+from compval.sources.filters import compiled
+from compval.sources.readers import scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+CUT = "2017-06-01"
+DAY = "wertermittlungsstichtag"
+#: The features that the listings table fills.
+FILLED = ["baujahr", "wohnflaeche", "zustand", "grundstuecksgroesse", "anzahl_stellplaetze", "x", "y", "regiotyp", "balcony_area", "walking_distance", "urbanity_score", "floor_no"]
+
+#: The start of every oracle string: listings, those with a price per square metre, the plausible ones, and their split.
+WITH = f"""WITH listings AS ({SQL}),
+sale AS (SELECT *, marktwert / wohnflaeche AS sqm FROM listings),
+real AS (SELECT * FROM sale WHERE marktwert BETWEEN 20000 AND 2000000 AND wohnflaeche BETWEEN 20 AND 2000 AND sqm BETWEEN 100 AND 20000 AND baujahr BETWEEN 1500 AND 2025 AND (year({DAY}) BETWEEN 2007 AND 2021 OR {DAY} IS NULL)),
+train AS (SELECT * FROM real WHERE {DAY} < DATE '{CUT}'),
+test AS (SELECT * FROM real WHERE {DAY} >= DATE '{CUT}')"""
+D2 = "((t.x - n.x) * (t.x - n.x) + (t.y - n.y) * (t.y - n.y))"
+
+
+def register(name: str, sql: str | None = None, start: str = WITH):
+    """Registers a query; sql follows the common start (a further table list begins with a comma)."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = f"{start}{'' if sql.lstrip().startswith(',') else ' '}{sql}"
+        return f
+
+    return add
+
+
+def sale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.with_sqm(completed(listings(spark, sf_dir)))
+
+
+def real(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sale(spark, sf_dir).where(cleaning.realistic())
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return splits.at_date(real(spark, sf_dir), CUT)
+
+
+def rounded(c, name: str, digits: int = 6):
+    return F.round(c, digits).alias(name)
+
+
+# ------------------------------------------------------------------ scans and filters
+@register("scan_project_limit", "SELECT id, marktwert, prefecture FROM listings WHERE marktwert > 300000 ORDER BY id LIMIT 500")
+def _(spark, d):
+    return scan(listings(spark, d).orderBy("id"), {"marktwert": {"$gt": 300000}}, ["id", "marktwert", "prefecture"], 500)
+
+
+@register("filter_prefilter", "SELECT id FROM listings WHERE marktwert BETWEEN 20000 AND 2000000 AND wohnflaeche BETWEEN 20 AND 2000")
+def _(spark, d):
+    return sale(spark, d).where(cleaning.prefilter()).select("id")
+
+
+@register("filter_realistic", "SELECT id, marktwert, wohnflaeche FROM real")
+def _(spark, d):
+    return real(spark, d).select("id", "marktwert", "wohnflaeche")
+
+
+@register("filter_necessary", "SELECT id FROM listings WHERE wohnflaeche > 0 AND marktwert > 0")
+def _(spark, d):
+    return sale(spark, d).where(cleaning.necessary()).select("id")
+
+
+@register("filter_expert_valid", "SELECT id FROM listings WHERE objektunterart <> 'Mehrfamilienhaus'")
+def _(spark, d):
+    return sale(spark, d).where(cleaning.expert_valid()).select("id")
+
+
+SAVED = {"$and": [{"baujahr": {"$gt": 1950, "$lt": 2010}}, {"objektunterart": {"$ne": "Mehrfamilienhaus"}}, {"zustand": {"$exists": True}}], "$or": [{"plz": {"$gte": "50000"}}, {"regiotyp": {"$ne": 3}}], "walking_distance": {"$not": {"$lt": 100}}}
+
+
+@register("filter_saved_document", "SELECT id FROM listings WHERE baujahr > 1950 AND baujahr < 2010 AND objektunterart <> 'Mehrfamilienhaus' AND zustand IS NOT NULL AND (plz >= '50000' OR regiotyp IS NULL OR regiotyp <> 3) AND walking_distance >= 100")
+def _(spark, d):
+    return listings(spark, d).where(compiled(SAVED)).select("id")
+
+
+@register("filter_region_box", "SELECT id FROM listings WHERE (prefecture IN ('FRANCE', 'CHINA') OR plr_berlin IN ('000000007')) AND x BETWEEN 50000 AND 150000 AND y BETWEEN 20000 AND 180000")
+def _(spark, d):
+    return listings(spark, d).where(cleaning.region_box((5e4, 15e4), (2e4, 18e4), {"prefecture": ["FRANCE", "CHINA"], "plr_berlin": ["000000007"]})).select("id")
+
+
+# ------------------------------------------------------------------ projections
+@register("project_sqm_price", "SELECT id, round(sqm, 6) AS sqm FROM sale")
+def _(spark, d):
+    return sale(spark, d).select("id", rounded(S.sqm_price(), "sqm"))
+
+
+OBJECT_SQL = "CASE objektunterart WHEN 'Doppelhaushaelfte' THEN 1 WHEN 'Reihenhaus' THEN 1 WHEN 'Einfamilienhaus' THEN 2 WHEN 'Eigentumswohnung' THEN 3 WHEN 'Mehrfamilienhaus' THEN 4 END"
+YEAR_SQL = "CASE WHEN baujahr IS NULL THEN NULL WHEN baujahr <= 1918 THEN 1 WHEN baujahr <= 1948 THEN 2 WHEN baujahr <= 1973 THEN 3 WHEN baujahr <= 1989 THEN 4 ELSE 5 END"
+AREA_SQL = f"CASE WHEN wohnflaeche IS NULL THEN NULL WHEN {OBJECT_SQL} IN (1, 2) THEN CASE WHEN wohnflaeche < 100 THEN 1 WHEN wohnflaeche < 150 THEN 2 ELSE 3 END WHEN {OBJECT_SQL} = 3 THEN CASE WHEN wohnflaeche < 40 THEN 1 WHEN wohnflaeche < 90 THEN 2 ELSE 3 END ELSE 0 END"
+LOT_SQL = f"CASE WHEN grundstuecksgroesse IS NULL THEN NULL WHEN {OBJECT_SQL} IN (1, 2) THEN CASE WHEN grundstuecksgroesse < 250 THEN 1 WHEN grundstuecksgroesse < 500 THEN 2 WHEN grundstuecksgroesse < 750 THEN 3 WHEN grundstuecksgroesse < 1000 THEN 4 WHEN grundstuecksgroesse < 1500 THEN 5 ELSE 6 END ELSE 0 END"
+
+
+@register("project_categories", f"SELECT id, {OBJECT_SQL} AS object_category, {YEAR_SQL} AS year_category, {AREA_SQL} AS area_category, {LOT_SQL} AS lot_category FROM listings")
+def _(spark, d):
+    return sale(spark, d).select("id", S.object_category().alias("object_category"), S.year_category().alias("year_category"), S.area_category().alias("area_category"), S.lot_category().alias("lot_category"))
+
+
+@register("project_fictitious_year", f"SELECT id, CAST(year({DAY}) - trunc(80 - anzahl_zimmer * 5.5) AS INT) AS fictitious, CAST(coalesce(CASE WHEN anzahl_stellplaetze > 0 THEN year({DAY}) - trunc(80 - anzahl_zimmer * 5.5) END, baujahr) AS INT) AS used FROM listings")
+def _(spark, d):
+    rows = sale(spark, d).withColumns({"gesamtnutzungsdauer": F.lit(80.0), "restnutzungsdauer": F.col("anzahl_zimmer") * 5.5})
+    used = rows.withColumn("gesamtnutzungsdauer", F.when(F.col("anzahl_stellplaetze") > 0, 80.0)).select("id", S.year_of().alias("used"))
+    return rows.select("id", S.fictitious_year().alias("fictitious")).join(used, "id")
+
+
+@register("project_location_score", "SELECT id, round((walking_distance / 50 + (urbanity_score * 10 + floor_no + 30.0) / 3) / 2, 6) AS score FROM listings")
+def _(spark, d):
+    rows = sale(spark, d).withColumns({"micro_all": F.col("walking_distance") / 50, "macro_social_status": F.col("urbanity_score") * 10, "macro_economic_status": F.col("floor_no"), "macro_market_dynamics": F.lit(30.0)})
+    return rows.select("id", rounded(S.location_score(), "score"))
+
+
+@register("feature_array_stats", " UNION ALL ".join(f"SELECT '{f}' AS feature, min(CAST({f} AS DOUBLE)) AS lo, max(CAST({f} AS DOUBLE)) AS hi, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS dev, count({f}) AS n FROM listings" for f in FILLED))
+def _(spark, d):
+    long = listings(spark, d).select(*[F.col(f).cast("double").alias(f) for f in FILLED]).unpivot([], FILLED, "feature", "v")
+    return long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), rounded(F.avg("v"), "mean"), rounded(F.stddev_pop("v"), "dev"), F.count("v").alias("n"))
+
+
+# ------------------------------------------------------------------ parsers
+TEXTS = ["ja", " Ja  ", "nEiN ", "janein ", "100%", "75%", "7", "10.5%", "gogglebod", "", "10,", "10,12", "10", "10,,", "ETW", "eine Doppelhaushälfte", "Reihenendhaus", "reihenmittelhaus", "Zweifamilienhaus", "Reihenhaus", "Mehrfamilienhaus", "EFH mit Einlieger", "EFH", "villa", "mittel (Stufe 3)"]
+VALUES = "texts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + ") AS v(k, s))"
+
+
+def texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(TEXTS)), "k int, s string")
+
+
+@register("parse_ja_nein", "SELECT k, CASE lower(trim(s)) WHEN 'ja' THEN true WHEN 'nein' THEN false END AS v FROM texts", f"WITH {VALUES}")
+def _(spark, d):
+    return texts(spark).select("k", S.ja_nein(F.col("s")).alias("v"))
+
+
+@register("parse_percentage", "SELECT k, round(TRY_CAST(replace(trim(s), '%', '') AS DOUBLE) / 100, 9) AS v FROM texts", f"WITH {VALUES}")
+def _(spark, d):
+    return texts(spark).select("k", F.round(S.percentage(F.col("s")), 9).alias("v"))
+
+
+@register("parse_decimal_comma", "SELECT k, TRY_CAST(replace(s, ',', '.') AS DOUBLE) AS v FROM texts", f"WITH {VALUES}")
+def _(spark, d):
+    return texts(spark).select("k", S.decimal_comma(F.col("s")).alias("v"))
+
+
+@register("parse_object_type", "SELECT k, CASE WHEN lower(s) LIKE '%etw%' OR lower(s) LIKE '%eigentumswohnung%' THEN 'Eigentumswohnung' " + " ".join(f"WHEN lower(s) LIKE '%{p}%' THEN '{name}'" for ps, name in S.OBJECT_TYPES[1:] for p in ps) + " END AS v FROM texts", f"WITH {VALUES}")
+def _(spark, d):
+    return texts(spark).select("k", S.object_type(F.col("s")).alias("v"))
+
+
+@register("parse_furnishing_grade", "SELECT k, TRY_CAST(nullif(regexp_extract(s, '\\(Stufe ([2-5])\\)$', 1), '') AS INT) AS v FROM texts", f"WITH {VALUES}")
+def _(spark, d):
+    return texts(spark).select("k", S.furnishing_grade(F.col("s")).alias("v"))
+
+
+RAW = {
+    "money_combo": "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(o_orderkey * 1000 AS VARCHAR(20)) END",
+    "house_area": "CAST(o_custkey % 200 AS VARCHAR(20))",
+    "land_area_all": "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CAST(o_orderkey % 500 AS VARCHAR(20)) END",
+    "kenchiku_date": "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(190000 + o_custkey % 12000 AS VARCHAR(20)) END",
+    "end_date": "CASE WHEN o_orderkey % 4 = 0 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END",
+    "madori_number_all": "CAST(o_orderkey % 8 AS VARCHAR(20))",
+}
+
+
+@register(
+    "recode_sales",
+    f", raw AS (SELECT {', '.join(f'{v} AS {k}' for k, v in RAW.items())}, o_orderkey FROM orders) SELECT o_orderkey, TRY_CAST(end_date AS DATE) AS day, TRY_CAST(money_combo AS DOUBLE) AS marktwert, CAST(house_area AS DOUBLE) AS wohnflaeche, TRY_CAST(nullif(land_area_all, '') AS DOUBLE) AS grundstuecksgroesse, CAST(trunc(TRY_CAST(nullif(kenchiku_date, '') AS DOUBLE) / 100) AS INT) AS baujahr, madori_number_all AS anzahl_zimmer FROM raw WHERE TRY_CAST(money_combo AS DOUBLE) >= 2600000 AND TRY_CAST(house_area AS DOUBLE) >= 1",
+)
+def _(spark, d):
+    raw = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", *[F.expr(v).alias(k) for k, v in RAW.items()])
+    return cleaning.recoded_sales(raw).select("o_orderkey", F.col(DAY).alias("day"), "marktwert", "wohnflaeche", "grundstuecksgroesse", "baujahr", "anzahl_zimmer")
+
+
+REWRITES = [("FRANCE", "GALLIA"), ("CHINA", "CATHAY"), ("GALLIA", "FRANCIA"), ("FRANCE", "never"), ("JAPAN", "NIPPON")]
+
+
+@register("county_rewrite", "SELECT id, CASE WHEN ort = 'München' AND (kreis IS NULL OR kreis = 'München') THEN 'München, Landeshauptstadt' WHEN kreis = 'FRANCE' THEN 'FRANCIA' WHEN kreis = 'CHINA' THEN 'CATHAY' WHEN kreis = 'JAPAN' THEN 'NIPPON' ELSE kreis END AS kreis FROM (SELECT id, CASE WHEN baujahr IS NULL THEN NULL ELSE prefecture END AS kreis, CASE WHEN regiotyp = 4 THEN 'München' ELSE 'other' END AS ort FROM listings)")
+def _(spark, d):
+    rows = listings(spark, d).select("id", F.when(F.col("baujahr").isNotNull(), F.col("prefecture")).alias("kreis"), F.when(F.col("regiotyp") == 4, "München").otherwise("other").alias("ort"))
+    return cleaning.county_names(rows, REWRITES).select("id", "kreis")
+
+
+# ------------------------------------------------------------------ joins
+def small(df: DataFrame) -> DataFrame:
+    return df.select("id", "x", "y")
+
+
+@register("join_radius", f"SELECT t.id, count(*) AS n, sum({D2}) AS sum_d2 FROM test t JOIN train n ON {D2} <= 10000.0 * 10000.0 GROUP BY t.id")
+def _(spark, d):
+    train, test = parts(spark, d)
+    pairs = spatial.radius_join(small(test), small(train), 10_000)
+    return pairs.groupBy(F.col("t_id").alias("id")).agg(F.count("*").alias("n"), F.sum(S.squared_distance("t_", "n_")).alias("sum_d2"))
+
+
+@register("join_radius_self", f"SELECT t.id, count(*) AS n FROM listings t JOIN listings n ON t.id <> n.id AND {D2} <= 2000.0 * 2000.0 GROUP BY t.id")
+def _(spark, d):
+    rows = small(listings(spark, d))
+    return spatial.radius_join(rows, rows, 2000, exclude_self=True).groupBy(F.col("t_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@register("join_rectangle", "SELECT t.id AS t_id, n.id AS n_id FROM test t JOIN train n ON n.x >= t.x AND n.x < t.x + 2000 AND n.y >= t.y AND n.y < t.y + 1000")
+def _(spark, d):
+    train, test = parts(spark, d)
+    return spatial.rectangle_join(small(test), small(train), 2000, 1000).select("t_id", "n_id")
+
+
+def nearest_sql(k: int) -> str:
+    return f"SELECT * FROM (SELECT t.id AS t_id, n.id AS n_id, {D2} AS d2, CAST(row_number() OVER (PARTITION BY t.id ORDER BY {D2}, n.id) AS INT) AS rank FROM test t, train n) WHERE rank <= {k}"
+
+
+@register("join_knn", nearest_sql(5))
+def _(spark, d):
+    train, test = parts(spark, d)
+    return spatial.knn_join(small(test), small(train), 5).select("t_id", "n_id", S.squared_distance("t_", "n_").alias("d2"), F.col("knn_rank").alias("rank"))
+
+
+@register("join_strict_cap", f"SELECT t_id, n_id FROM ({nearest_sql(5)}) WHERE d2 <= 1500.0 * 1500.0")
+def _(spark, d):
+    train, test = parts(spark, d)
+    return spatial.strict_cap(spatial.knn_join(small(test), small(train), 5), 1.5).select("t_id", "n_id")
+
+
+@register("join_knn_fallback", f", near AS (SELECT t.id AS t_id, n.id AS n_id FROM test t JOIN train n ON {D2} <= 3000.0 * 3000.0), enough AS (SELECT t_id FROM near GROUP BY t_id HAVING count(*) >= 10) SELECT t_id, n_id FROM near WHERE t_id IN (SELECT t_id FROM enough) UNION ALL SELECT t_id, n_id FROM ({nearest_sql(10)}) WHERE t_id NOT IN (SELECT t_id FROM enough)")
+def _(spark, d):
+    train, test = parts(spark, d)
+    return spatial.with_fallback(spatial.radius_join(small(test), small(train), 3000), small(test), small(train), 10).select("t_id", "n_id")
+
+
+@register("join_interval", "SELECT s_suppkey, count(*) AS n FROM listings JOIN (SELECT s_suppkey, CAST(s_suppkey * 7 % 190 AS DOUBLE) AS lo, CAST(s_suppkey * 7 % 190 + s_suppkey % 12 AS DOUBLE) AS hi FROM supplier) ON wohnflaeche >= lo AND wohnflaeche < hi GROUP BY s_suppkey")
+def _(spark, d):
+    ranges = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.expr("CAST(s_suppkey * 7 % 190 AS DOUBLE) AS lo"), F.expr("CAST(s_suppkey * 7 % 190 + s_suppkey % 12 AS DOUBLE) AS hi"))
+    return spatial.interval_join(listings(spark, d).select("wohnflaeche"), ranges, "wohnflaeche", "lo", "hi", 10).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+@register("join_epsilon_edges", f"SELECT t.id AS a_id, n.id AS b_id FROM listings t JOIN listings n ON t.id < n.id AND {D2} <= 700.0 * 700.0")
+def _(spark, d):
+    return spatial.epsilon_edges(small(listings(spark, d)), 700).select("a_id", "b_id")
+
+
+# ------------------------------------------------------------------ dissimilarities
+NEAR = f"{D2} <= 2000.0 * 2000.0"
+STATS = ", stats AS (SELECT " + ", ".join(f"min(CAST({f} AS DOUBLE)) AS lo_{f}, max(CAST({f} AS DOUBLE)) AS hi_{f}, avg({f}) AS mean_{f}, stddev_pop({f}) AS dev_{f}" for f in FILLED) + " FROM train)"
+
+
+def lp_sql(p: float, width: Callable[[str], str] = lambda f: "1.0") -> str:
+    terms = [f"coalesce(pow(abs(CAST(t.{f} AS DOUBLE) - CAST(n.{f} AS DOUBLE)) / {width(f)}, {p}), 0)" for f in FILLED]
+    return f"pow({' + '.join(terms)}, 1.0 / {p})"
+
+
+def pairs_sql(d: str, more: str = "", digits: int = 6) -> str:
+    return f"{more}{' ' if more else ''}SELECT t.id AS t_id, n.id AS n_id, round({d}, {digits}) AS d FROM test t JOIN train n ON {NEAR}{', stats s' if more else ''}"
+
+
+def dissimilarities(spark, d, make, digits: int = 6) -> DataFrame:
+    train, test = parts(spark, d)
+    return spatial.radius_join(test, train, 2000).select("t_id", "n_id", rounded(make(train)("t_", "n_"), "d", digits))
+
+
+@register("dissim_sqm", pairs_sql("pow(t.sqm - n.sqm, 2)", digits=3))
+def _(spark, d):
+    return dissimilarities(spark, d, lambda _: D.sqm_price_difference(), 3)
+
+
+@register("dissim_distance", pairs_sql(f"CASE WHEN t.id = n.id THEN 0.0 ELSE pow(greatest({D2}, 100.0), 0.75) END", digits=4))
+def _(spark, d):
+    return dissimilarities(spark, d, lambda _: D.distance(1.5), 4)
+
+
+@register("dissim_cosine", pairs_sql("sqrt((" + " + ".join(f"coalesce(pow(t.{f}, 2), 0)" for f in FILLED) + ") * (" + " + ".join(f"coalesce(pow(n.{f}, 2), 0)" for f in FILLED) + ")) / (" + " + ".join(f"coalesce(CAST(t.{f} AS DOUBLE) * n.{f}, 0)" for f in FILLED) + ")"))
+def _(spark, d):
+    return dissimilarities(spark, d, lambda _: D.cosine())
+
+
+@register("dissim_lp", pairs_sql(lp_sql(1.5), digits=4))
+def _(spark, d):
+    return dissimilarities(spark, d, lambda _: D.lp(1.5), 4)
+
+
+@register("dissim_scaling_lp", pairs_sql(lp_sql(2.0, lambda f: f"(s.hi_{f} - s.lo_{f})"), STATS))
+def _(spark, d):
+    return dissimilarities(spark, d, lambda train: D.lp(2.0, D.min_max_scale(train)))
+
+
+@register("dissim_zscore_lp", pairs_sql(lp_sql(2.0, lambda f: f"s.dev_{f}"), STATS))
+def _(spark, d):
+    return dissimilarities(spark, d, lambda train: D.lp(2.0, D.z_scale(train)))
+
+
+def within_sql(a: str, b: str, most: float) -> str:
+    return f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN true ELSE coalesce(abs({a} - {b}) <= {most}, false) END"
+
+
+def at(sql: str, alias: str) -> str:
+    for c in ("objektunterart", "baujahr", "wohnflaeche", "grundstuecksgroesse"):
+        sql = sql.replace(c, f"{alias}.{c}")
+    return sql
+
+
+OT, ON = at(OBJECT_SQL, "t"), at(OBJECT_SQL, "n")
+GUARDED = D.Guards(regiotyp=5, objektunterart_category=1, zustand=2, walking_distance=1500, floor_no=20, baujahr=1, ausstattung=1, grundstuecksgroesse=2, wohnflaeche=1, days=1500, kilometres=1.8)
+GUARD_SQL = " AND ".join(
+    [
+        within_sql("t.regiotyp", "n.regiotyp", 5),
+        within_sql(OT, ON, 1),
+        within_sql("t.zustand", "n.zustand", 2),
+        within_sql("t.walking_distance", "n.walking_distance", 1500),
+        within_sql("t.floor_no", "n.floor_no", 20),
+        within_sql(at(YEAR_SQL, "t"), at(YEAR_SQL, "n"), 1),
+        f"(NOT (({OT}) = 3 AND ({ON}) = 3) OR {within_sql('t.ausstattung', 'n.ausstattung', 1)})",
+        f"(NOT (({OT}) IN (1, 2) AND ({ON}) IN (1, 2)) OR {within_sql(at(LOT_SQL, 't'), at(LOT_SQL, 'n'), 2)})",
+        f"(({OT}) <> ({ON}) OR {within_sql(at(AREA_SQL, 't'), at(AREA_SQL, 'n'), 1)})",
+        f"abs(date_diff('day', n.{DAY}, t.{DAY})) < 1500",
+        f"{D2} <= 1800.0 * 1800.0",
+    ]
+)
+
+
+@register("dissim_filtered", f"SELECT t.id AS t_id, n.id AS n_id, CASE WHEN {GUARD_SQL} THEN round(pow(greatest({D2}, 100.0), 1.0), 4) END AS d FROM test t JOIN train n ON {NEAR}")
+def _(spark, d):
+    train, test = parts(spark, d)
+    v = D.filtered(GUARDED, D.distance(2.0))("t_", "n_")
+    return spatial.radius_join(test, train, 2000).select("t_id", "n_id", F.when(v < float("inf"), F.round(v, 4)).alias("d"))
+
+
+def close_sql(a: str, b: str, factor: str) -> str:
+    return f"coalesce(greatest(0.0, 100.0 - abs({a} - {b}) * {factor}), 0.0)"
+
+
+HOUSE_T, HOUSE_N = f"coalesce(({OT}) IN (1, 2), false)", f"coalesce(({ON}) IN (1, 2), false)"
+PART1 = f"({close_sql('t.baujahr', 'n.baujahr', '2.0')} + {close_sql('t.wohnflaeche', 'n.wohnflaeche', f'(CASE WHEN {HOUSE_T} THEN 0.4 ELSE 2.0 END)')} + greatest(0.0, 100.0 - sqrt({D2}) / 1000 * 2.5) + 0.0 + CASE WHEN {HOUSE_T} AND {HOUSE_N} THEN {close_sql('t.grundstuecksgroesse', 'n.grundstuecksgroesse', '0.2')} ELSE 0 END) / (4 + CASE WHEN {HOUSE_T} AND {HOUSE_N} THEN 1 ELSE 0 END)"
+PART2 = f"({close_sql('t.anzahl_stellplaetze', 'n.anzahl_stellplaetze', '25.0')} + {close_sql('t.anzahl_zimmer', 'n.anzahl_zimmer', '50.0')} + CASE WHEN {HOUSE_T} AND t.keller = n.keller THEN 100.0 ELSE 0 END) / (3 + CASE WHEN {HOUSE_T} THEN 1 ELSE 0 END)"
+
+
+@register("dissim_expert", pairs_sql(f"CASE WHEN 0.9 * {PART1} + 0.1 * {PART2} > 0 THEN 1 / (0.9 * {PART1} + 0.1 * {PART2}) END", digits=8))
+def _(spark, d):
+    train, test = parts(spark, d)
+    v = D.Expert()("t_", "n_")
+    return spatial.radius_join(test, train, 2000).select("t_id", "n_id", F.when(v < float("inf"), F.round(v, 8)).alias("d"))
+
+
+@register("topk_most_similar", f", near AS ({pairs_sql(lp_sql(1.5), digits=4)}) SELECT t_id, n_id FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY d, n_id) AS r FROM near) WHERE r <= 3")
+def _(spark, d):
+    pairs = dissimilarities(spark, d, lambda _: D.lp(1.5), 4)
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy("d", "n_id"))
+    return pairs.withColumn("r", rank).where("r <= 3").select("t_id", "n_id")
+
+
+@register("topk_per_category", f", near AS (SELECT t.id AS t_id, n.id AS n_id, {OT} AS category, greatest({D2}, 100.0) AS d FROM test t JOIN train n ON {NEAR}) SELECT t_id, n_id FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY d, n_id) AS r FROM near) WHERE category = 4 OR r <= CASE category WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END")
+def _(spark, d):
+    train, test = parts(spark, d)
+    found = predictors.WeightedAverage(D.distance(2.0), radius=2000, fallback=None, most_similar_by_category={1: 1, 2: 2, 3: 3}).train(train).scored(test)
+    return found.select("t_id", "n_id")
+
+
+# ------------------------------------------------------------------ aggregates
+@register("agg_weighted_mean", "SELECT prefecture, round(sum(sqm * wohnflaeche) / sum(wohnflaeche), 5) AS mean FROM sale GROUP BY prefecture")
+def _(spark, d):
+    return sale(spark, d).groupBy("prefecture").agg(rounded(aggregates.weighted_mean(F.col("sqm"), F.col("wohnflaeche")), "mean", 5))
+
+
+@register("agg_weighted_median", "SELECT prefecture, min(sqm) AS median FROM (SELECT prefecture, sqm, sum(wohnflaeche) OVER (PARTITION BY prefecture ORDER BY sqm, id ROWS UNBOUNDED PRECEDING) AS c, sum(wohnflaeche) OVER (PARTITION BY prefecture) AS total FROM sale) WHERE c >= total / 2 GROUP BY prefecture")
+def _(spark, d):
+    return aggregates.weighted_median(sale(spark, d).select("prefecture", "id", "sqm", "wohnflaeche"), ["prefecture"], "sqm", "wohnflaeche", "id", "median")
+
+
+PRED = f", pred AS (SELECT t.id, any_value(t.sqm) AS sqm, any_value(t.prefecture) AS prefecture, any_value(t.wohnflaeche) AS wohnflaeche, sum(n.sqm / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0)) AS p FROM test t JOIN train n ON {D2} <= 1e8 GROUP BY t.id)"
+KPI_SQL = """round(avg(pow(sqm - p, 2)), 2) AS mse, round(sqrt(avg(pow(sqm - p, 2))), 4) AS rmse, round(avg(abs(sqm - p)), 4) AS mae, round(avg((sqm - p) / sqm), 7) AS mpe, round(avg(abs((sqm - p) / sqm)), 7) AS mape,
+round(list_sort(list(abs((sqm - p) / sqm)))[CAST(least((count(*) + 1) // 2, count(*) - 1) AS INT) + 1], 7) AS median_ape,
+round(avg(pow(ln(1 + sqm) - ln(1 + p), 2)), 7) AS msle, round(sqrt(avg(pow(ln(1 + sqm) - ln(1 + p), 2))), 7) AS rmsle, round(avg(abs(1 - ln(sqm) / ln(p))), 7) AS mape_on_logs, round(1 - avg(pow(sqm - p, 2)) / var_pop(sqm), 7) AS r2,
+""" + ", ".join(f"round(avg(CASE WHEN abs((sqm - p) / sqm) <= {t / 100} THEN 1.0 ELSE 0.0 END), 7) AS pe{t}" for t in (5, 10, 15, 20))
+DIGITS = {"mse": 2, "rmse": 4, "mae": 4}
+
+
+def digits_of(kpis: DataFrame, *keep: str) -> DataFrame:
+    return kpis.select(*keep, *[rounded(F.col(m), m, DIGITS.get(m, 7)) for m in aggregates.MEASURES])
+
+
+def dully_predictions(spark, d) -> DataFrame:
+    run = driver.Run(predictors.dully(), lambda df: splits.at_date(df, CUT))
+    return run.predictions(sale(spark, d))
+
+
+@register("kpi_dully_radius", f"{PRED} SELECT {KPI_SQL} FROM pred")
+def _(spark, d):
+    return digits_of(aggregates.evaluate(dully_predictions(spark, d)))
+
+
+@register("agg_kpi_by_prefecture", f"{PRED} SELECT prefecture, count(*) AS n, {KPI_SQL} FROM pred GROUP BY prefecture")
+def _(spark, d):
+    return digits_of(aggregates.evaluate(dully_predictions(spark, d), ["prefecture"]), "prefecture", "n")
+
+
+@register("agg_deviation_percentiles", f"{PRED}, v AS (SELECT list_sort(list(abs(sqm - p) / sqm)) AS l, count(*) AS n FROM pred) SELECT round(list_avg(l), 7) AS mean, round(l[1], 7) AS min, round(l[n], 7) AS max, " + ", ".join(f"round(l[CAST({p} * n // 10 AS INT) + 1], 7) AS p{p}" for p in range(1, 10)) + " FROM v")
+def _(spark, d):
+    out = aggregates.deviation(dully_predictions(spark, d), True)
+    return out.select(*[rounded(F.col(c), c, 7) for c in out.columns])
+
+
+@register("agg_kpi_percent_scale", f"{PRED} SELECT round(100 * avg(abs((sqm - p) / sqm)), 5) AS mape, round(avg(CASE WHEN abs((sqm - p) / sqm) < 0.1 THEN 100.0 ELSE 0.0 END), 5) AS pe10 FROM pred")
+def _(spark, d):
+    out = aggregates.evaluate(dully_predictions(spark, d), strict=True)
+    return out.select(rounded(100 * F.col("mape"), "mape", 5), rounded(100 * F.col("pe10"), "pe10", 5))
+
+
+@register("agg_kpi_summary", f"{PRED}, k AS (SELECT prefecture, avg(abs((sqm - p) / sqm)) AS mape, avg(CASE WHEN abs((sqm - p) / sqm) <= 0.1 THEN 1.0 ELSE 0.0 END) AS pe10 FROM pred GROUP BY prefecture) SELECT round(max(mape), 7) AS mape, round(min(pe10), 7) AS pe10 FROM k")
+def _(spark, d):
+    out = aggregates.summarised(aggregates.evaluate(dully_predictions(spark, d), ["prefecture"]), "worst")
+    return out.select(rounded(F.col("mape"), "mape", 7), rounded(F.col("pe10"), "pe10", 7))
+
+
+@register("agg_u_environment", f"SELECT l.id, round(coalesce(u, 0), 2) AS u FROM sale l LEFT JOIN (SELECT t.id, sum(pow(t.sqm - n.sqm, 2) / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0)) AS u FROM sale t JOIN sale n ON t.id <> n.id AND {D2} <= 3000.0 * 3000.0 GROUP BY t.id) e ON l.id = e.id")
+def _(spark, d):
+    return environment.environment(sale(spark, d).select("id", "x", "y", "sqm"), radius=3000).select("id", rounded(F.col("u"), "u", 2))
+
+
+# ------------------------------------------------------------------ splits
+def sides(train: DataFrame, test: DataFrame) -> DataFrame:
+    return train.select("id", F.lit("train").alias("side")).unionByName(test.select("id", F.lit("test").alias("side")))
+
+
+@register("split_date", f"SELECT id, CASE WHEN {DAY} >= DATE '{CUT}' THEN 'test' ELSE 'train' END AS side FROM listings")
+def _(spark, d):
+    return sides(*splits.at_date(listings(spark, d), CUT))
+
+
+@register("split_two_dates", f"SELECT id, CASE WHEN {DAY} >= DATE '{CUT}' THEN 'test' ELSE 'train' END AS side FROM listings WHERE {DAY} < DATE '2016-01-01' OR {DAY} >= DATE '{CUT}'")
+def _(spark, d):
+    return sides(*splits.at_two_dates(listings(spark, d), "2016-01-01", CUT))
+
+
+@register("split_ratio", f"SELECT id, CASE WHEN row_number() OVER (ORDER BY {DAY} NULLS FIRST, id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS side FROM listings")
+def _(spark, d):
+    return sides(*splits.by_date_ratio(listings(spark, d), 0.8))
+
+
+@register("split_hash", "SELECT id, CASE WHEN row_number() OVER (ORDER BY xor(CAST(('0x' || substr(sha256('seeed'), 1, 2)) AS INT), CAST(('0x' || substr(sha256(id), 1, 2)) AS INT)), id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS side FROM listings")
+def _(spark, d):
+    return sides(*splits.by_hash(listings(spark, d), 0.8, "seeed"))
+
+
+@register("split_tail", f"SELECT id, CASE WHEN row_number() OVER (ORDER BY {DAY} NULLS FIRST, id) <= count(*) OVER () - floor(0.17 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS side FROM listings")
+def _(spark, d):
+    return sides(*splits.by_date_ratio(listings(spark, d), 0.83, rest_rounded=True))
+
+
+# ------------------------------------------------------------------ predictors
+def predicted(df: DataFrame) -> DataFrame:
+    return df.select("id", rounded(F.col("pred_sqm"), "pred_sqm", 4), rounded(F.col("pred_marktwert"), "pred_marktwert", 2))
+
+
+@register("predict_dully", f"{PRED} SELECT id, round(p, 4) AS pred_sqm, round(wohnflaeche * p, 2) AS pred_marktwert FROM pred")
+def _(spark, d):
+    return predicted(dully_predictions(spark, d))
+
+
+@register("predict_lp_k20", f"{STATS}, near AS ({nearest_sql(20)}), scored AS (SELECT t.id, t.wohnflaeche, n.id AS n_id, n.sqm, {lp_sql(2.0, lambda f: f'(s.hi_{f} - s.lo_{f})')} AS d FROM near p JOIN test t ON t.id = p.t_id JOIN train n ON n.id = p.n_id, stats s), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, n_id) AS r FROM scored) WHERE r <= 5) SELECT id, round(sum(sqm / greatest(d, 1e-9)) / sum(1 / greatest(d, 1e-9)), 4) AS pred_sqm, round(any_value(wohnflaeche) * sum(sqm / greatest(d, 1e-9)) / sum(1 / greatest(d, 1e-9)), 2) AS pred_marktwert FROM top GROUP BY id")
+def _(spark, d):
+    train, test = parts(spark, d)
+    model = driver.predictor_of(driver.Config("scaling_lp", k=20, most_similar=5), train)
+    return predicted(model.train(train).predict(test))
+
+
+@register("predict_median", f", near AS (SELECT t.id, t.wohnflaeche, n.sqm, n.id AS n_id, 1 / greatest({D2}, 100.0) AS w FROM test t JOIN train n ON {D2} <= 1e8), cum AS (SELECT *, sum(w) OVER (PARTITION BY id ORDER BY sqm, n_id ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY id) AS total FROM near) SELECT id, round(min(sqm), 4) AS pred_sqm, round(any_value(wohnflaeche) * min(sqm), 2) AS pred_marktwert FROM cum WHERE c >= total / 2 GROUP BY id")
+def _(spark, d):
+    train, test = parts(spark, d)
+    return predicted(predictors.WeightedAverage(median=True).train(train).predict(test))
+
+
+EXPONENTS = [1.0, 1.5, 2.0, 2.5, 3.0]
+
+
+@register("predict_learning_dully", f", near AS (SELECT t.id, t.sqm, n.sqm AS nsqm, greatest({D2}, 100.0) AS d2 FROM train t JOIN train n ON t.id <> n.id AND {D2} <= 1e8), e AS (SELECT * FROM (VALUES {', '.join(f'({e})' for e in EXPONENTS)}) AS v(exponent)), each AS (SELECT id, exponent, any_value(sqm) AS sqm, sum(nsqm / pow(d2, exponent / 2)) / sum(1 / pow(d2, exponent / 2)) AS p FROM near, e GROUP BY id, exponent) SELECT CAST(exponent AS DOUBLE) AS exponent, round(avg(abs((sqm - p) / sqm)), 6) AS error FROM each GROUP BY exponent")
+def _(spark, d):
+    train, _ = parts(spark, d)
+    out = predictors.LearningDully(1.0, 3.0, len(EXPONENTS)).errors(train)
+    return out.select("exponent", rounded(F.col("error"), "error", 6))
+
+
+@register("predict_select_block")
+def _(spark, d):
+    train, test = parts(spark, d)
+    model = predictors.SelectBlock(1500.0, C.capped(C.constant(-1.0), 0.3)).train(train)
+    return predicted(model.predict(test))
+
+
+@register("predict_normalised", f", level AS (SELECT *, CASE WHEN greatest(least(date_diff('day', {DAY}, DATE '2019-01-01'), 1095), -730) >= 0 THEN 1.20 ELSE 1.12 END AS base, greatest(least(date_diff('day', {DAY}, DATE '2019-01-01'), 1095), -730) / 365.0 AS years FROM real), l AS (SELECT *, pow(base, years) AS f FROM level) SELECT t.id, round(sum(n.sqm * n.f / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0)) / any_value(t.f), 4) AS pred_sqm, round(any_value(t.wohnflaeche) * (sum(n.sqm * n.f / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0))) / any_value(t.f), 2) AS pred_marktwert FROM l t JOIN l n ON {D2} <= 1e8 WHERE t.{DAY} >= DATE '{CUT}' AND n.{DAY} < DATE '{CUT}' GROUP BY t.id")
+def _(spark, d):
+    train, test = parts(spark, d)
+    return predicted(predictors.Normalizing(predictors.dully(), normalizers.Handcrafted()).train(train).predict(test))
+
+
+@register("union_predict_all", "SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT id) AS ids FROM real")
+def _(spark, d):
+    run = driver.Run(predictors.dully(), lambda df: splits.at_date(df, CUT), predict_all=True)
+    return run.parts(sale(spark, d))[1].agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+# ------------------------------------------------------------------ normalizers
+def factors(df: DataFrame, normalizer: normalizers.Normalizer) -> DataFrame:
+    return normalizer.factored(df).select("id", rounded(F.col("_factor"), "factor", 7))
+
+
+@register("norm_regression", f", g AS (SELECT ags0, regr_slope(log2(marktwert), CAST(date_diff('day', {DAY}, DATE '2021-01-01') AS DOUBLE)) AS slope FROM train GROUP BY ags0 HAVING count(*) >= 3) SELECT r.id, round(CASE WHEN r.{DAY} BETWEEN DATE '2007-01-01' AND DATE '2021-01-01' THEN pow(2, -coalesce(slope, 0) * date_diff('day', r.{DAY}, DATE '2021-01-01')) ELSE 1 END, 7) AS factor FROM real r LEFT JOIN g ON r.ags0 = g.ags0")
+def _(spark, d):
+    train, _ = parts(spark, d)
+    return factors(real(spark, d), normalizers.Regression().fit(train))
+
+
+@register("norm_handcrafted", f"SELECT id, round(pow(CASE WHEN days >= 0 THEN 1.20 ELSE 1.12 END, days / 365.0), 7) AS factor FROM (SELECT id, greatest(least(date_diff('day', {DAY}, DATE '2019-01-01'), 1095), -730) AS days FROM listings)")
+def _(spark, d):
+    return factors(listings(spark, d), normalizers.Handcrafted())
+
+
+QUARTERS = "SELECT CAST(y AS INT) AS year, CAST(q AS INT) AS quarter, CAST(100 + 2 * (y - 2010) + q AS DOUBLE) AS index FROM (SELECT * FROM range(2005, 2022)) AS a(y), (SELECT * FROM range(1, 5)) AS b(q)"
+
+
+@register("norm_index", f", idx AS ({QUARTERS}) SELECT id, round(CASE WHEN year({DAY}) >= 2001 AND year({DAY}) < 2021 THEN coalesce(100 / index, 1.0) ELSE 1.0 END, 7) AS factor FROM listings LEFT JOIN idx ON year = year({DAY}) AND quarter = quarter({DAY})")
+def _(spark, d):
+    idx = spark.range(2005, 2022).select(F.col("id").cast("int").alias("year"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("quarter")).withColumn("index", (100 + 2 * (F.col("year") - 2010) + F.col("quarter")).cast("double"))
+    return factors(listings(spark, d), normalizers.QuarterIndex(idx))
+
+
+@register("norm_zip", f", zips AS (SELECT DISTINCT plz, CAST(CAST(plz AS BIGINT) % 40 AS DOUBLE) AS percent FROM listings WHERE CAST(plz AS BIGINT) % 3 > 0) SELECT id, round(coalesce(pow(pow(1 + percent / 100, 0.2), date_diff('day', {DAY}, DATE '2021-01-01') / 365.0), 1.0), 7) AS factor FROM listings l LEFT JOIN zips ON l.plz = zips.plz")
+def _(spark, d):
+    rows = listings(spark, d)
+    number = F.col("plz").cast("long")
+    zips = rows.where(number % 3 > 0).select("plz", (number % 40).cast("double").alias("percent")).distinct()
+    return factors(rows, normalizers.ZipGrowth(zips))
+
+
+KINDS = ["metropolen", "kreisfreie_grossstaedte", "staedtische_kreise", "laendliche_kreise_mit_verdichtungsansaetzen", "duennbesiedelte_laendliche_kreise"]
+
+
+@register("norm_house_price_index", f", hpi AS (SELECT CAST(y AS INT) AS year, CAST(q AS INT) AS quarter, CAST(k AS INT) AS k, CAST(80 + (y - 2016) * 4 + q + k * 3 AS DOUBLE) AS house, CAST(70 + (y - 2016) * 4 + q + k * 3 AS DOUBLE) AS flat FROM (SELECT * FROM range(2016, 2021)) AS a(y), (SELECT * FROM range(1, 5)) AS b(q), (SELECT * FROM range(0, 5)) AS c(k)) SELECT l.id, round(CASE WHEN {DAY} <= DATE '2016-01-01' THEN 1.0 ELSE 100 / CASE WHEN objektunterart = 'Eigentumswohnung' THEN flat ELSE house END END, 7) AS factor FROM listings l LEFT JOIN hpi ON hpi.year = least(year({DAY}), 2020) AND hpi.quarter = CASE WHEN year({DAY}) > 2020 THEN 4 ELSE quarter({DAY}) END AND hpi.k = CAST(ags0 AS INT) % 5")
+def _(spark, d):
+    rows = listings(spark, d)
+    quarters = spark.range(2016, 2021).select(F.col("id").cast("int").alias("year"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("quarter"))
+    level = lambda base, k: (base + (F.col("year") - 2016) * 4 + F.col("quarter") + k * 3).cast("double")
+    quarters = quarters.withColumns({f"{t}_{name}": level(base, k) for t, base in (("haus", 80), ("wohnung", 70)) for k, name in enumerate(KINDS)})
+    kinds = spark.range(25).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("ags0"), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("id") % 5 + 1).cast("int")).alias("kreistyp"))
+    return factors(rows, normalizers.HousePriceIndex(quarters, kinds))
+
+
+LOCAL = f", near AS (SELECT t.id, t.sqm, n.sqm AS nsqm, abs(date_diff('day', t.{DAY}, n.{DAY})) <= 182 AS s, abs(date_diff('day', DATE '2019-01-01', n.{DAY})) <= 182 AS e FROM test t JOIN train n ON {D2} <= 5000.0 * 5000.0), local AS (SELECT id, any_value(sqm) AS sqm, avg(CASE WHEN s THEN nsqm END) AS sa, avg(CASE WHEN e THEN nsqm END) AS ea, coalesce(list_sort(list(nsqm) FILTER (WHERE s)), []) AS sl, coalesce(list_sort(list(nsqm) FILTER (WHERE e)), []) AS el FROM near GROUP BY id)"
+
+
+def local_sql(value: str) -> str:
+    return f"{LOCAL.replace('2019-01-01', '2017-01-01')} SELECT t.id, round(coalesce({value}, t.sqm), 4) AS adjusted_sqm FROM test t LEFT JOIN local l ON t.id = l.id"
+
+
+def local(spark, d, mode: str) -> DataFrame:
+    train, test = parts(spark, d)
+    out = normalizers.Local(mode, reference="2017-01-01").adjusted(test, train)
+    return out.select("id", rounded(F.col("adjusted_sqm"), "adjusted_sqm", 4))
+
+
+@register("norm_local_average", local_sql("l.sqm * ea / sa"))
+def _(spark, d):
+    return local(spark, d, "average")
+
+
+@register("norm_local_median", local_sql("CASE WHEN len(sl) > 0 AND len(el) > 0 THEN l.sqm * el[len(el) // 2 + 1] / sl[len(sl) // 2 + 1] END"))
+def _(spark, d):
+    return local(spark, d, "median")
+
+
+@register("norm_local_rank", local_sql("CASE WHEN len(sl) > 0 AND len(el) > 0 THEN el[CAST(len(list_filter(sl, lambda v: v < l.sqm)) * (len(el) - 1) // len(sl) AS INT) + 1] END"))
+def _(spark, d):
+    return local(spark, d, "rank")
+
+
+# ------------------------------------------------------------------ costs and clusters
+PRICED = f"SELECT t.id AS a_id, n.id AS b_id, 1 - least(t.sqm, n.sqm) / greatest(t.sqm, n.sqm) <= 0.3 AS fits, CASE WHEN t.plr_berlin = n.plr_berlin THEN -1.0 ELSE 1.0 END AS area, pow(t.sqm - n.sqm, 2) AS d FROM real t JOIN real n ON t.id < n.id AND {D2} <= 1500.0 * 1500.0"
+
+
+@register("cost_pairs", f"SELECT a_id, b_id, CASE WHEN fits THEN -1.0 END AS capped, area, round(2 * d - 2000, 3) AS by_dissimilarity FROM ({PRICED})")
+def _(spark, d):
+    rows = real(spark, d).withColumn("u", F.lit(1000.0))
+    capped = C.capped(C.negative_discrete(), 0.3)("a_", "b_")
+    return spatial.epsilon_edges(rows, 1500).select("a_id", "b_id", F.when(capped < float("inf"), capped).alias("capped"), C.same_area()("a_", "b_").alias("area"), rounded(C.dissimilarity_cost(D.sqm_price_difference())("a_", "b_"), "by_dissimilarity", 3))
+
+
+def clustered(spark, d, stable: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows = real(spark, d)
+    return rows, clustering.cluster(rows, 1500, C.capped(C.negative_discrete(), 0.3), stable)
+
+
+@register("cluster_contraction")
+def _(spark, d):
+    return clustered(spark, d)[1]
+
+
+@register("cluster_one_stable")
+def _(spark, d):
+    return clustered(spark, d, True)[1]
+
+
+@register("cluster_connected", "SELECT count(*) AS unconnected FROM real WHERE false")
+def _(spark, d):
+    rows, found = clustered(spark, d)
+    return clustering.blocks_connected(found, spatial.epsilon_edges(small(rows), 1500)).where(~F.col("connected")).agg(F.count("*").alias("unconnected"))
+
+
+@register("cluster_block_statistics")
+def _(spark, d):
+    return clustering.block_statistics(clustered(spark, d)[1])
+
+
+# ------------------------------------------------------------------ tuning
+@register("evolve_small")
+def _(spark, d):
+    train, test = parts(spark, d)
+    fitness = evolution.Fitness(train, test, batch=200, reach=3000, nearest=20)
+    _, error, history = evolution.evolve(fitness, evolution.lp_genome(), evolution.Config(population=4, generations=2))
+    return spark.createDataFrame([(i, e) for i, e in enumerate(history)], "generation int, error double")
+
+
+@register("local_search_small")
+def _(spark, d):
+    train, test = parts(spark, d)
+    fitness = evolution.Fitness(train, test, batch=200, reach=3000, nearest=20)
+    _, error = evolution.local_search(fitness, evolution.lp_genome(), steps=3)
+    return spark.createDataFrame([(error,)], "error double")
+
+
+# ------------------------------------------------------------------ features and analysis
+@register("feature_date_parts", f"SELECT id, CAST(date_diff('day', DATE '2015-01-01', {DAY}) AS INT) AS days, CAST(year({DAY}) AS INT) AS year, CAST(month({DAY}) AS INT) AS month, CAST(day({DAY}) AS INT) AS day FROM listings")
+def _(spark, d):
+    return features.with_date_parts(listings(spark, d)).select("id", "days", "year", "month", "day")
+
+
+@register("feature_defaults", "SELECT id, CASE WHEN walking_distance = 0 THEN 985.0 ELSE walking_distance END AS walking_distance, coalesce(nullif(balcony_area, 0), 0.0) AS balcony_area, coalesce(grundstuecksgroesse, 0.0) AS grundstuecksgroesse FROM listings")
+def _(spark, d):
+    return features.with_defaults(listings(spark, d)).select("id", "walking_distance", "balcony_area", "grundstuecksgroesse")
+
+
+def scale_sql(f) -> str:
+    return "SELECT id, " + ", ".join(f"round({f(c)}, 6) AS {c}" for c in ("wohnflaeche", "marktwert", "balcony_area")) + " FROM listings, (SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}, avg({c}) AS mean_{c}, stddev_pop({c}) AS dev_{c}" for c in ("wohnflaeche", "marktwert", "balcony_area")) + " FROM listings)"
+
+
+def scaled(spark, d, how: str) -> DataFrame:
+    cols = ["wohnflaeche", "marktwert", "balcony_area"]
+    return features.scaled(listings(spark, d).select("id", *cols), cols, how).select("id", *[rounded(F.col(c), c) for c in cols])
+
+
+@register("scale_standard", scale_sql(lambda c: f"({c} - mean_{c}) / dev_{c}"))
+def _(spark, d):
+    return scaled(spark, d, "standard")
+
+
+@register("scale_minmax", scale_sql(lambda c: f"({c} - lo_{c}) / (hi_{c} - lo_{c})"))
+def _(spark, d):
+    return scaled(spark, d, "minmax")
+
+
+@register("scale_symmetric", scale_sql(lambda c: f"({c} - lo_{c}) / (hi_{c} - lo_{c}) * 2 - 1"))
+def _(spark, d):
+    return scaled(spark, d, "symmetric")
+
+
+@register("label_encode", "SELECT id, CAST(dense_rank() OVER (ORDER BY prefecture) - 1 AS BIGINT) AS code FROM listings")
+def _(spark, d):
+    return features.encoded_labels(listings(spark, d).select("id", "prefecture"), "prefecture", "code").select("id", "code")
+
+
+@register("compare_linear_model")
+def _(spark, d):
+    train, test = parts(spark, d)
+    cols = ["wohnflaeche", "baujahr", "walking_distance", "urbanity_score"]
+    out = features.model_predictions(features.comparison_model(train, cols, "sqm"), test, cols)
+    return out.select("id", rounded(F.col("pred_sqm"), "pred_sqm", 4))
+
+
+RUNS = {"ea_1": "marktwert * (1 + (CAST(right(id, 2) AS INT) - 50) / 100.0)", "ea_2": "marktwert * 1.1", "cbr_1": "CASE WHEN CAST(right(id, 1) AS INT) = 3 THEN NULL ELSE marktwert * 0.8 END", "cbr_2": "marktwert * (1 - CAST(right(id, 1) AS INT) / 20.0)"}
+MELT = "".join([", long AS (", " UNION ALL ".join(f"SELECT id, prefecture, '{r}' AS run, CAST(({v} - marktwert) / marktwert AS DOUBLE) AS pe FROM listings" for r, v in RUNS.items()), ")"])
+
+
+def errors(spark, d) -> DataFrame:
+    wide = listings(spark, d).select("id", "prefecture", "marktwert", *[F.expr(v).cast("double").alias(r) for r, v in RUNS.items()])
+    return analysis.percentage_errors(wide, "marktwert", list(RUNS))
+
+
+def melted(spark, d) -> DataFrame:
+    return analysis.melted(errors(spark, d), ["id", "prefecture"], list(RUNS))
+
+
+@register("melt_runs", f"{MELT} SELECT id, run, round(pe, 6) AS pe FROM long")
+def _(spark, d):
+    return melted(spark, d).select("id", "run", rounded(F.col("pe"), "pe"))
+
+
+@register("run_summary", f"{MELT} SELECT run, round(avg(abs(pe)), 7) AS mape, round(var_samp(abs(pe)), 7) AS var, round(stddev_samp(abs(pe)), 7) AS sd FROM long GROUP BY run")
+def _(spark, d):
+    return analysis.run_summary(melted(spark, d)).select("run", *[rounded(F.col(c), c, 7) for c in ("mape", "var", "sd")])
+
+
+@register("experiment_summary", f"{MELT}, r AS (SELECT run, avg(abs(pe)) AS mape FROM long GROUP BY run) SELECT regexp_replace(run, '_[0-9]+$', '') AS experiment, round(avg(mape), 7) AS mean, round(var_samp(mape), 7) AS var, round(stddev_samp(mape), 7) AS sd FROM r GROUP BY 1")
+def _(spark, d):
+    out = analysis.experiment_summary(analysis.run_summary(melted(spark, d)), F.regexp_replace("run", "_[0-9]+$", ""))
+    return out.select("experiment", *[rounded(F.col(c), c, 7) for c in ("mean", "var", "sd")])
+
+
+@register("run_numbers", f"{MELT} SELECT run, CAST(regexp_extract(run, '([0-9]+)$', 1) AS INT) AS number FROM long GROUP BY run")
+def _(spark, d):
+    return melted(spark, d).select("run").distinct().select("run", S.run_number(F.col("run")).alias("number"))
+
+
+@register("mean_row_deviation", f"{MELT} SELECT round(avg(s), 6) AS mean_sd FROM (SELECT stddev_samp(pe) AS s FROM long GROUP BY id)")
+def _(spark, d):
+    return analysis.mean_row_deviation(errors(spark, d), list(RUNS)).select(rounded(F.col("mean_sd"), "mean_sd"))
+
+
+@register("outlier_share", f"{MELT} SELECT prefecture, count(*) AS n, count(CASE WHEN abs(pe) > 0.3 THEN 1 END) AS outliers, round(count(CASE WHEN abs(pe) > 0.3 THEN 1 END) / count(*), 7) AS share FROM long GROUP BY prefecture")
+def _(spark, d):
+    out = analysis.outlier_share(melted(spark, d), "prefecture", limit=0.3)
+    return out.select("prefecture", "n", "outliers", rounded(F.col("share"), "share", 7))
+
+
+@register("group_error", f"{MELT} SELECT prefecture, count(pe) AS n, round(sum(100 * abs(pe)), 3) AS summed, round(avg(100 * abs(pe)), 6) AS average FROM long WHERE pe IS NOT NULL GROUP BY prefecture")
+def _(spark, d):
+    out = analysis.group_error(melted(spark, d), "prefecture")
+    return out.select("prefecture", "n", rounded(F.col("summed"), "summed", 3), rounded(F.col("average"), "average"))
+
+
+@register("rank_sum", ", v AS (SELECT round(sqm, 0) AS v, keller AS one FROM sale), r AS (SELECT one, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) AS rk FROM v) SELECT CAST(sum(rk) - count(*) * (count(*) + 1) / 2.0 AS DOUBLE) AS u FROM r WHERE one")
+def _(spark, d):
+    rows = sale(spark, d).select(F.round("sqm", 0).alias("v"), F.when(F.col("keller"), 1).otherwise(2).alias("sample"))
+    return analysis.rank_sum(rows, "sample", "v").select("u")
+
+
+@register("significant_digits", "SELECT id, CASE WHEN sqm = 0 THEN 0.0 ELSE round(sqm * pow(10, 2 - floor(log10(abs(sqm))))) / pow(10, 2 - floor(log10(abs(sqm)))) END AS v FROM sale")
+def _(spark, d):
+    return sale(spark, d).select("id", S.significant(F.col("sqm")).alias("v"))
+
+
+@register("writeback_roundtrip", f"{PRED} SELECT id, round(p * wohnflaeche, 2) AS dully FROM pred")
+def _(spark, d):
+    """What the prediction sink would hand to a reader: one row an id, a column for each key, nulls left out."""
+    rows = dully_predictions(spark, d).where(F.col("pred_marktwert").isNotNull()).select("id", F.lit("dully").alias("key"), F.col("pred_marktwert").alias("prediction"))
+    return rows.groupBy("id").pivot("key", ["dully"]).agg(F.first("prediction")).select("id", rounded(F.col("dully"), "dully", 2))
