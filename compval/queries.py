@@ -385,7 +385,14 @@ def _(spark, d):
     return aggregates.weighted_median(sale(spark, d).select("prefecture", "id", "sqm", "wohnflaeche"), ["prefecture"], "sqm", "wohnflaeche", "id", "median")
 
 
-PRED = f", pred AS (SELECT t.id, any_value(t.sqm) AS sqm, any_value(t.prefecture) AS prefecture, any_value(t.wohnflaeche) AS wohnflaeche, sum(n.sqm / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0)) AS p FROM test t JOIN train n ON {D2} <= 1e8 GROUP BY t.id)"
+def chosen_sql(targets: str = "test", others: str = "train") -> str:
+    """near: comparables within 10 km, or the 10 nearest where these are fewer than 10."""
+    return f""", inside AS (SELECT t.id AS t_id, n.id AS n_id FROM {targets} t JOIN {others} n ON {D2} <= 1e8), enough AS (SELECT t_id FROM inside GROUP BY t_id HAVING count(*) >= 10),
+near AS (SELECT * FROM inside WHERE t_id IN (SELECT t_id FROM enough) UNION ALL SELECT t_id, n_id FROM (SELECT t.id AS t_id, n.id AS n_id, row_number() OVER (PARTITION BY t.id ORDER BY {D2}, n.id) AS r FROM {targets} t, {others} n WHERE t.id NOT IN (SELECT t_id FROM enough)) WHERE r <= 10)"""
+
+
+CAPPED = f"least(greatest({D2}, 100.0), 1e10)"
+PRED = f"{chosen_sql()}, pred AS (SELECT t.id, any_value(t.sqm) AS sqm, any_value(t.prefecture) AS prefecture, any_value(t.wohnflaeche) AS wohnflaeche, sum(n.sqm / {CAPPED}) / sum(1 / {CAPPED}) AS p FROM near JOIN test t ON t.id = t_id JOIN train n ON n.id = n_id GROUP BY t.id)"
 KPI_SQL = """round(avg(pow(sqm - p, 2)), 2) AS mse, round(sqrt(avg(pow(sqm - p, 2))), 4) AS rmse, round(avg(abs(sqm - p)), 4) AS mae, round(avg((sqm - p) / sqm), 7) AS mpe, round(avg(abs((sqm - p) / sqm)), 7) AS mape,
 round(list_sort(list(abs((sqm - p) / sqm)))[CAST(least((count(*) + 1) // 2, count(*) - 1) AS INT) + 1], 7) AS median_ape,
 round(avg(pow(ln(1 + sqm) - ln(1 + p), 2)), 7) AS msle, round(sqrt(avg(pow(ln(1 + sqm) - ln(1 + p), 2))), 7) AS rmsle, round(avg(abs(1 - ln(sqm) / ln(p))), 7) AS mape_on_logs, round(1 - avg(pow(sqm - p, 2)) / var_pop(sqm), 7) AS r2,
@@ -482,16 +489,16 @@ def _(spark, d):
     return predicted(model.train(train).predict(test))
 
 
-@register("predict_median", f", near AS (SELECT t.id, t.wohnflaeche, n.sqm, n.id AS n_id, 1 / greatest({D2}, 100.0) AS w FROM test t JOIN train n ON {D2} <= 1e8), cum AS (SELECT *, sum(w) OVER (PARTITION BY id ORDER BY sqm, n_id ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY id) AS total FROM near) SELECT id, round(min(sqm), 4) AS pred_sqm, round(any_value(wohnflaeche) * min(sqm), 2) AS pred_marktwert FROM cum WHERE c >= total / 2 GROUP BY id")
+@register("predict_median", f"{chosen_sql()}, w AS (SELECT t.id, t.wohnflaeche, n.sqm, n_id, 1 / {CAPPED} AS w FROM near JOIN test t ON t.id = t_id JOIN train n ON n.id = n_id), cum AS (SELECT *, sum(w) OVER (PARTITION BY id ORDER BY sqm, n_id ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY id) AS total FROM w) SELECT id, min(sqm) AS pred_sqm, any_value(wohnflaeche) * min(sqm) AS pred_marktwert FROM cum WHERE c >= total / 2 GROUP BY id")
 def _(spark, d):
     train, test = parts(spark, d)
-    return predicted(predictors.WeightedAverage(median=True).train(train).predict(test))
+    return predictors.WeightedAverage(median=True).train(train).predict(test).select("id", "pred_sqm", "pred_marktwert")
 
 
 EXPONENTS = [1.0, 1.5, 2.0, 2.5, 3.0]
 
 
-@register("predict_learning_dully", f", near AS (SELECT t.id, t.sqm, n.sqm AS nsqm, greatest({D2}, 100.0) AS d2 FROM train t JOIN train n ON t.id <> n.id AND {D2} <= 1e8), e AS (SELECT * FROM (VALUES {', '.join(f'({e})' for e in EXPONENTS)}) AS v(exponent)), each AS (SELECT id, exponent, any_value(sqm) AS sqm, sum(nsqm / pow(d2, exponent / 2)) / sum(1 / pow(d2, exponent / 2)) AS p FROM near, e GROUP BY id, exponent) SELECT CAST(exponent AS DOUBLE) AS exponent, round(avg(abs((sqm - p) / sqm)), 6) AS error FROM each GROUP BY exponent")
+@register("predict_learning_dully", f"{chosen_sql('train', 'train')}, w AS (SELECT t.id, t.sqm, n.sqm AS nsqm, greatest({D2}, 100.0) AS d2 FROM near JOIN train t ON t.id = t_id JOIN train n ON n.id = n_id WHERE t_id <> n_id), e AS (SELECT * FROM (VALUES {', '.join(f'({e})' for e in EXPONENTS)}) AS v(exponent)), each AS (SELECT id, exponent, any_value(sqm) AS sqm, sum(nsqm / least(pow(d2, exponent / 2), 1e10)) / sum(1 / least(pow(d2, exponent / 2), 1e10)) AS p FROM w, e GROUP BY id, exponent) SELECT CAST(exponent AS DOUBLE) AS exponent, round(avg(abs((sqm - p) / sqm)), 6) AS error FROM each GROUP BY exponent")
 def _(spark, d):
     train, _ = parts(spark, d)
     out = predictors.LearningDully(1.0, 3.0, len(EXPONENTS)).errors(train)
@@ -505,7 +512,10 @@ def _(spark, d):
     return predicted(model.predict(test))
 
 
-@register("predict_normalised", f", level AS (SELECT *, CASE WHEN greatest(least(date_diff('day', {DAY}, DATE '2019-01-01'), 1095), -730) >= 0 THEN 1.20 ELSE 1.12 END AS base, greatest(least(date_diff('day', {DAY}, DATE '2019-01-01'), 1095), -730) / 365.0 AS years FROM real), l AS (SELECT *, pow(base, years) AS f FROM level) SELECT t.id, round(sum(n.sqm * n.f / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0)) / any_value(t.f), 4) AS pred_sqm, round(any_value(t.wohnflaeche) * (sum(n.sqm * n.f / greatest({D2}, 100.0)) / sum(1 / greatest({D2}, 100.0))) / any_value(t.f), 2) AS pred_marktwert FROM l t JOIN l n ON {D2} <= 1e8 WHERE t.{DAY} >= DATE '{CUT}' AND n.{DAY} < DATE '{CUT}' GROUP BY t.id")
+LEVEL = f", days AS (SELECT id AS d_id, greatest(least(date_diff('day', {DAY}, DATE '2019-01-01'), 1095), -730) AS days FROM real), f AS (SELECT d_id, pow(CASE WHEN days >= 0 THEN 1.20 ELSE 1.12 END, days / 365.0) AS f FROM days)"
+
+
+@register("predict_normalised", f"{chosen_sql()}{LEVEL}, p AS (SELECT t.id, any_value(t.wohnflaeche) AS wohnflaeche, sum(n.sqm * g.f / {CAPPED}) / sum(1 / {CAPPED}) / any_value(h.f) AS p FROM near JOIN test t ON t.id = t_id JOIN train n ON n.id = n_id JOIN f g ON g.d_id = n_id JOIN f h ON h.d_id = t_id GROUP BY t.id) SELECT id, round(p, 4) AS pred_sqm, round(wohnflaeche * p, 2) AS pred_marktwert FROM p")
 def _(spark, d):
     train, test = parts(spark, d)
     return predicted(predictors.Normalizing(predictors.dully(), normalizers.Handcrafted()).train(train).predict(test))
