@@ -69,4 +69,26 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: XXH64, tokenizers, PNG and learnt models have no SQL; tests/llm holds those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op3_substring_dedup": """WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+w AS (SELECT doc_id, i, CAST(doc_id AS HUGEINT) * 4294967296 + i AS p, hash(array_slice(h, i + 1, i + 100)) AS k FROM n, LATERAL (SELECT unnest(range(0, n_bytes - 99)) AS i)),
+f AS (SELECT k, min(p) AS p FROM w GROUP BY k HAVING count(*) > 1), later AS (SELECT doc_id, i FROM w JOIN f ON w.k = f.k AND w.p > f.p),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(CASE WHEN i - p <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM later)) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS a, s AS b FROM runs UNION ALL SELECT n.doc_id, coalesce(max(e), 0), any_value(n_bytes) FROM n LEFT JOIN runs ON runs.doc_id = n.doc_id GROUP BY n.doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN b > a THEN hex(array_slice(h, a + 1, b)) ELSE '' END, '' ORDER BY a) AS h FROM gaps JOIN n USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256 FROM n JOIN kept USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op9_chat": """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+e AS (SELECT *, length(role) + length(text) + 14 + CASE WHEN contains(text, '\\') OR contains(text, '</turn>') OR contains(role, '\\') OR contains(role, ': ') THEN
+(length(role || text) - length(replace(role || text, '\\', ''))) + (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, ': ', ''))) // 2 + (length(text) - length(replace(text, '</turn>', ''))) // 7
++ (length(role) - length(replace(role, '### ', ''))) // 4 + (length(role) - length(replace(role, ': ', ''))) // 2 + (length(role) - length(replace(role, '</turn>', ''))) // 7 ELSE 0 END AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST), '')) AS loss_sha256,
+CAST(sum(size) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+}

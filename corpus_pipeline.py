@@ -18,12 +18,14 @@ from compval.llm import packing, quality, secret_scan, simhash, substring_dedup
 from compval.llm.common import NULL_ID, map_text, read, written
 from compval.llm.queries import TOKENIZER
 
-KEY = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with one of the ids (a column doc_id, NULL_ID for null)."""
-    return docs.withColumn("_key", KEY).join(ids.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key").select(*docs.columns)
+    return _keyed(docs).join(ids.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key").select(*docs.columns)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = secret_scan.secret_spans(docs).where("spans <> ''").groupBy(F.col("doc_id").alias("_key")).agg(F.min("spans").alias("_spans"))
-    joined = docs.withColumn("_key", KEY).join(spans, "_key", "left").select(*docs.columns, "_spans")
+    joined = _keyed(docs).join(spans, "_key", "left").select(*docs.columns, "_spans")
     return _counted(map_text(joined, secret_scan.redact, "_spans")).select(*docs.columns)
 
 
