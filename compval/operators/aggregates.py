@@ -113,5 +113,10 @@ def deviation(pairs: DataFrame, relative: bool, percentiles: int = 9, real: str
     return v.agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).select("*", *[F.lit(x).alias(f"p{i}") for i, x in enumerate(found, 1)])
 
 
+def fold_mean(pairs: DataFrame, fold: str = "fold") -> DataFrame:
+    """The mean over folds of each fold's measures."""
+    return summarised(evaluate(pairs.withColumn(fold, F.col(fold).cast("string")), [fold]))
+
+
 def with_sqm(listings: DataFrame) -> DataFrame:
     return listings.withColumn("sqm", sqm_price())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from compval.functions import costs as C
 from compval.functions import dissimilarity as D
+from compval.functions import enums as E
 from compval.functions import scalars as S
 from compval.listings import SQL, listings
 from compval.operators import aggregates, analysis, cleaning, clustering, environment, evolution, features, normalizers, predictors, spatial, splits
@@ -174,6 +175,17 @@ def _(spark, d):
     return texts(spark).select("k", S.furnishing_grade(F.col("s")).alias("v"))
 
 
+LABELS = ["Eigentumswohnung", "gut", "sehr gut", "GK 3", "mittel (Stufe 3)", "5 - durchschnittlich", "Flachdach", "eingeschränkt", "Holzhaus", "Fremdnutzung", "?"]
+LABEL_VALUES = "labels_ AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(LABELS)) + ", (99, NULL)) AS v(k, s))"
+TABLES = {"object_type": E.OBJECT_TYPE, "condition": E.CONDITION, "location": E.LOCATION, "construction": E.CONSTRUCTION, "rentability": E.RENTABILITY, "marketability": E.MARKETABILITY, "attic": E.ATTIC, "usage": E.USAGE}
+
+
+@register("parse_labels", "SELECT k, " + ", ".join("CASE s " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in t.items()) + f" END AS {n}" for n, t in TABLES.items()) + ", CASE WHEN s LIKE '%GK 1%' THEN 4 WHEN s LIKE '%GK 2%' THEN 3 WHEN s LIKE '%GK 3%' THEN 2 WHEN s LIKE '%GK 4%' THEN 1 ELSE 5 END AS flood, TRY_CAST(nullif(regexp_extract(s, '[1-5]', 0), '') AS INT) AS furnishing FROM labels_", f"WITH {LABEL_VALUES}")
+def _(spark, d):
+    rows = spark.createDataFrame([*enumerate(LABELS), (99, None)], "k int, s string")
+    return rows.select("k", *[E.number(F.col("s"), t).alias(n) for n, t in TABLES.items()], E.flood_zone(F.col("s")).alias("flood"), E.furnishing(F.col("s")).alias("furnishing"))
+
+
 RAW = {
     "money_combo": "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(o_orderkey * 1000 AS VARCHAR(20)) END",
     "house_area": "CAST(o_custkey % 200 AS VARCHAR(20))",
@@ -360,6 +372,27 @@ def _(spark, d):
     return spatial.radius_join(test, train, 2000).select("t_id", "n_id", F.when(v < float("inf"), F.round(v, 8)).alias("d"))
 
 
+EXPERT_GUARD_SQL = " AND ".join(
+    [
+        within_sql("t.regiotyp", "n.regiotyp", 0),
+        within_sql(OT, ON, 0),
+        within_sql("t.zustand", "n.zustand", 1),
+        within_sql(at(YEAR_SQL, "t"), at(YEAR_SQL, "n"), 0),
+        f"(NOT (({OT}) = 3 AND ({ON}) = 3) OR {within_sql('t.ausstattung', 'n.ausstattung', 1)})",
+        f"(NOT (({OT}) IN (1, 2) AND ({ON}) IN (1, 2)) OR {within_sql(at(LOT_SQL, 't'), at(LOT_SQL, 'n'), 0)})",
+        f"(({OT}) <> ({ON}) OR {within_sql(at(AREA_SQL, 't'), at(AREA_SQL, 'n'), 0)})",
+        f"abs(date_diff('day', n.{DAY}, t.{DAY})) < 1830",
+    ]
+)
+
+
+@register("predict_expert", f", s AS (SELECT t.id AS t_id, t.wohnflaeche, n.id AS n_id, n.sqm, CASE WHEN {EXPERT_GUARD_SQL} THEN 1 / (0.9 * {PART1} + 0.1 * {PART2}) ELSE 1e10 END AS d FROM test t JOIN train n ON {D2} <= 1e8) SELECT t_id AS id, round(sum(sqm / d) / sum(1 / d), 4) AS pred_sqm FROM s GROUP BY t_id")
+def _(spark, d):
+    train, test = parts(spark, d)
+    model = driver.predictor_of(driver.Config("expert"), train)
+    return model.train(train).predict(test).select("id", rounded(F.col("pred_sqm"), "pred_sqm", 4))
+
+
 @register("topk_most_similar", f", near AS ({pairs_sql(lp_sql(1.5), digits=4)}) SELECT t_id, n_id FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY d, n_id) AS r FROM near) WHERE r <= 3")
 def _(spark, d):
     pairs = dissimilarities(spark, d, lambda _: D.lp(1.5), 4)
@@ -647,6 +680,25 @@ def _(spark, d):
     return spark.createDataFrame([(i, e) for i, e in enumerate(history)], "generation int, error double")
 
 
+@register("evolve_test_genome")
+def _(spark, d):
+    train, test = parts(spark, d)
+    found = evolution.lp_predictor(evolution.lp_genome(), D.min_max_scale(train))
+    return digits_of(evolution.tested(found, train, test))
+
+
+@register("evolve_expert_genome")
+def _(spark, d):
+    train, test = parts(spark, d)
+    return predicted(evolution.expert_predictor(evolution.expert_genome()).train(train).predict(test))
+
+
+@register("agg_fold_mean")
+def _(spark, d):
+    folds = splits.by_fold(dully_predictions(spark, d))
+    return digits_of(aggregates.fold_mean(folds))
+
+
 @register("local_search_small")
 def _(spark, d):
     train, test = parts(spark, d)

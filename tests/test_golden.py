@@ -279,6 +279,31 @@ def test_genomes_keep_their_bounds(seed):
         assert g.distance(g) == 0 and 0 <= g.distance(h) <= 1
 
 
+def test_expert_genome_keeps_its_bounds_and_makes_a_predictor(spark):
+    rng, g = random.Random(3), evolution.expert_genome()
+    for _ in range(20):
+        h = g.mutate(rng, evolution.Mutation(rate=1.0, sigma=2.0, switch=0.5))
+        for (v, lo, hi), w in zip(evolution.GUARD_BOUNDS.values(), h["guards"]):
+            assert lo <= w.inner.value <= hi
+        assert 0 <= g.distance(h) <= 1
+        g = g.crossover(h, rng)
+    df = points(spark, [(0, 0), (0, 1), (5, 5)], [9.0, 9.0, 9.0], objektunterart="Eigentumswohnung")
+    out = driver.leave_one_out(evolution.expert_predictor(g), df)
+    assert {round(r["pred_sqm"], 9) for r in out.collect() if r["pred_sqm"] == r["pred_sqm"]} <= {9.0}
+
+
+def test_cellar_share(spark):
+    from compval.functions.enums import cellar_share
+
+    df = spark.createDataFrame([("nicht unterkellert", "75%"), ("unterkellert", "75%"), (None, "5"), (None, None)], "k string, p string")
+    assert [r[0] for r in df.select(cellar_share(F.col("k"), F.col("p"))).collect()] == [0, 75, None, None]
+
+
+def test_mean_over_folds(spark):
+    df = spark.createDataFrame([(0, 10.0, 11.0), (1, 10.0, 13.0)], "fold int, sqm double, pred_sqm double")
+    assert aggregates.fold_mean(df).first()["mape"] == pytest.approx(0.2)
+
+
 def test_fitness_sharing():
     a = evolution.Genome((("v", evolution.Bounded(0.0, 0.0, 1.0)),))
     b = evolution.Genome((("v", evolution.Bounded(0.1, 0.0, 1.0)),))
