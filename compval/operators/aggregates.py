@@ -66,6 +66,8 @@ def evaluate(pairs: DataFrame, by: list[str] | None = None, real: str = "sqm", p
     invalid = F.coalesce(bad(r) | bad(p) | (r <= 1), F.lit(True))
     measures = {k: v for k, v in kpi(r, p, strict).items() if k != "median_ape"}
     columns = [v.alias(k) for k, v in measures.items()]
+    # What is measured is a few columns a pair; the predictions behind it are computed once.
+    pairs = pairs.select(*(by or []), real, pred).persist()
     if by is None:
         n = pairs.agg(F.count("*").alias("n"), F.count(F.when(invalid, 1)).alias("bad")).first()
         if not n["n"] or n["bad"]:

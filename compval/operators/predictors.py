@@ -38,40 +38,67 @@ class WeightedAverage:
             raise ValueError("no usable rows to train on")
         return replace(self, train_rows=usable)
 
-    def neighbours(self, targets: DataFrame) -> DataFrame:
+    def _hidden(self, targets: DataFrame) -> DataFrame:
         if self.train_rows is None:
             raise ValueError("not trained")
-        targets = completed(targets.drop(*HIDDEN)).withColumns({c: F.lit(None).cast("double") for c in HIDDEN})
+        return completed(targets.drop(*HIDDEN)).withColumns({c: F.lit(None).cast("double") for c in HIDDEN})
+
+    def _pairs(self, targets: DataFrame) -> DataFrame:
+        """Comparables by radius or number, before the fallback."""
         if self.k is not None:
             pairs = spatial.knn_join(targets, self.train_rows, self.k).drop("knn_rank")
-            pairs = spatial.strict_cap(pairs, self.cap_kilometres) if self.cap_kilometres is not None else pairs
-        else:
-            radius = self.radius if self.cap_kilometres is None else min(self.radius, 1000 * self.cap_kilometres)
-            pairs = spatial.radius_join(targets, self.train_rows, radius)
+            return spatial.strict_cap(pairs, self.cap_kilometres) if self.cap_kilometres is not None else pairs
+        radius = self.radius if self.cap_kilometres is None else min(self.radius, 1000 * self.cap_kilometres)
+        return spatial.radius_join(targets, self.train_rows, radius)
+
+    def neighbours(self, targets: DataFrame) -> DataFrame:
+        targets = self._hidden(targets)
+        pairs = self._pairs(targets)
         return spatial.with_fallback(pairs, targets, self.train_rows, self.fallback) if self.fallback else pairs
 
-    def scored(self, targets: DataFrame) -> DataFrame:
-        """Pairs with dissim and weight, after the choice of the most similar."""
-        pairs = self.neighbours(targets).withColumn("dissim", self.dissimilarity("t_", "n_"))
+    def _weighed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with dissim and weight, after the choice of the most similar; found is their number before it."""
+        pairs = pairs.withColumn("dissim", self.dissimilarity("t_", "n_"))
         if self.most_similar is not None or self.most_similar_by_category:
-            rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.nanvl("dissim", F.lit(0.0)), "n_id"))
+            group = Window.partitionBy("t_id")
+            rank = F.row_number().over(group.orderBy(F.nanvl("dissim", F.lit(0.0)), "n_id"))
+            most = F.lit(self.most_similar if self.most_similar is not None else 2**31 - 1)
             if self.most_similar_by_category:
                 category, most = object_category("t_"), F.lit(2**31 - 1)
                 for c, n in self.most_similar_by_category.items():
                     most = F.when(category == c, n).otherwise(most)
-                pairs = pairs.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
-            else:
-                pairs = pairs.withColumn("_rank", rank).where(F.col("_rank") <= self.most_similar).drop("_rank")
+            pairs = pairs.withColumns({"_rank": rank, "found": F.count("*").over(group)}).where(F.col("_rank") <= most).drop("_rank")
+        else:
+            pairs = pairs.withColumn("found", F.lit(None).cast("long"))
         return pairs.withColumn("weight", D.weight_of(F.col("dissim")))
 
+    def scored(self, targets: DataFrame) -> DataFrame:
+        return self._weighed(self.neighbours(targets)).drop("found")
+
+    def _prices(self, pairs: DataFrame) -> DataFrame:
+        """id, pred_sqm, and the number of comparables."""
+        pairs = self._weighed(pairs)
+        found = F.coalesce(F.max("found"), F.count("*")).alias("found")
+        if not self.median:
+            return pairs.groupBy(F.col("t_id").alias("id")).agg(aggregates.weighted_mean(F.col("n_sqm"), F.col("weight")).alias("pred_sqm"), found)
+        group = Window.partitionBy("t_id")
+        cum = F.sum("weight").over(group.orderBy("n_sqm", "n_id").rowsBetween(Window.unboundedPreceding, 0))
+        half = pairs.select("t_id", "n_id", "n_sqm", "weight", "found").withColumns({"_cum": cum, "_half": F.sum("weight").over(group) / 2})
+        return half.groupBy(F.col("t_id").alias("id")).agg(F.min(F.when(F.col("_cum") >= F.col("_half"), F.col("n_sqm"))).alias("pred_sqm"), found)
+
     def predict(self, targets: DataFrame) -> DataFrame:
-        """targets with pred_sqm and pred_marktwert; null where there is no comparable."""
-        pairs = self.scored(targets)
-        if self.median:
-            out = aggregates.weighted_median(pairs.select("t_id", "n_id", "n_sqm", "weight"), ["t_id"], "n_sqm", "weight", "n_id", "pred_sqm")
-        else:
-            out = pairs.groupBy("t_id").agg(aggregates.weighted_mean(F.col("n_sqm"), F.col("weight")).alias("pred_sqm"))
-        joined = targets.join(out.withColumnRenamed("t_id", "id"), "id", "left")
+        """targets with pred_sqm and pred_marktwert; null where there is no comparable. The pairs are joined once: how many
+        a target has comes with its price, and only targets with too few are predicted anew from the nearest."""
+        hidden = self._hidden(targets)
+        out = self._prices(self._pairs(hidden))
+        if self.fallback:
+            out = out.persist()
+            enough = out.where(F.col("found") >= self.fallback)
+            few = hidden.join(enough, "id", "left_anti").persist()
+            if not few.isEmpty():
+                nearest = spatial.knn_join(few, self.train_rows, self.fallback).drop("knn_rank")
+                out = enough.unionByName(self._prices(nearest))
+        joined = targets.join(out.select("id", "pred_sqm"), "id", "left")
         return joined.withColumn("pred_marktwert", F.col("wohnflaeche") * F.col("pred_sqm"))
 
 

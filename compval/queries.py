@@ -271,6 +271,12 @@ def _(spark, d):
     return spatial.epsilon_edges(small(listings(spark, d)), 700).select("a_id", "b_id")
 
 
+def chosen_sql(targets: str = "test", others: str = "train") -> str:
+    """near: comparables within 10 km, or the 10 nearest where these are fewer than 10."""
+    return f""", inside AS (SELECT t.id AS t_id, n.id AS n_id FROM {targets} t JOIN {others} n ON {D2} <= 1e8), enough AS (SELECT t_id FROM inside GROUP BY t_id HAVING count(*) >= 10),
+near AS (SELECT * FROM inside WHERE t_id IN (SELECT t_id FROM enough) UNION ALL SELECT t_id, n_id FROM (SELECT t.id AS t_id, n.id AS n_id, row_number() OVER (PARTITION BY t.id ORDER BY {D2}, n.id) AS r FROM {targets} t, {others} n WHERE t.id NOT IN (SELECT t_id FROM enough)) WHERE r <= 10)"""
+
+
 # ------------------------------------------------------------------ dissimilarities
 NEAR = f"{D2} <= 2000.0 * 2000.0"
 STATS = ", stats AS (SELECT " + ", ".join(f"min(CAST({f} AS DOUBLE)) AS lo_{f}, max(CAST({f} AS DOUBLE)) AS hi_{f}, avg({f}) AS mean_{f}, stddev_pop({f}) AS dev_{f}" for f in FILLED) + " FROM train)"
@@ -386,7 +392,7 @@ EXPERT_GUARD_SQL = " AND ".join(
 )
 
 
-@register("predict_expert", f", s AS (SELECT t.id AS t_id, t.wohnflaeche, n.id AS n_id, n.sqm, CASE WHEN {EXPERT_GUARD_SQL} THEN 1 / (0.9 * {PART1} + 0.1 * {PART2}) ELSE 1e10 END AS d FROM test t JOIN train n ON {D2} <= 1e8) SELECT t_id AS id, round(sum(sqm / d) / sum(1 / d), 4) AS pred_sqm FROM s GROUP BY t_id")
+@register("predict_expert", f"{chosen_sql()}, s AS (SELECT t_id, n.sqm, CASE WHEN {EXPERT_GUARD_SQL} AND {D2} <= 1.6e9 THEN 1 / (0.9 * {PART1} + 0.1 * {PART2}) ELSE 1e10 END AS d FROM near JOIN test t ON t.id = t_id JOIN train n ON n.id = n_id) SELECT t_id AS id, round(sum(sqm / d) / sum(1 / d), 4) AS pred_sqm FROM s GROUP BY t_id")
 def _(spark, d):
     train, test = parts(spark, d)
     model = driver.predictor_of(driver.Config("expert"), train)
@@ -418,12 +424,6 @@ def _(spark, d):
     return aggregates.weighted_median(sale(spark, d).select("prefecture", "id", "sqm", "wohnflaeche"), ["prefecture"], "sqm", "wohnflaeche", "id", "median")
 
 
-def chosen_sql(targets: str = "test", others: str = "train") -> str:
-    """near: comparables within 10 km, or the 10 nearest where these are fewer than 10."""
-    return f""", inside AS (SELECT t.id AS t_id, n.id AS n_id FROM {targets} t JOIN {others} n ON {D2} <= 1e8), enough AS (SELECT t_id FROM inside GROUP BY t_id HAVING count(*) >= 10),
-near AS (SELECT * FROM inside WHERE t_id IN (SELECT t_id FROM enough) UNION ALL SELECT t_id, n_id FROM (SELECT t.id AS t_id, n.id AS n_id, row_number() OVER (PARTITION BY t.id ORDER BY {D2}, n.id) AS r FROM {targets} t, {others} n WHERE t.id NOT IN (SELECT t_id FROM enough)) WHERE r <= 10)"""
-
-
 CAPPED = f"least(greatest({D2}, 100.0), 1e10)"
 PRED = f"{chosen_sql()}, pred AS (SELECT t.id, any_value(t.sqm) AS sqm, any_value(t.prefecture) AS prefecture, any_value(t.wohnflaeche) AS wohnflaeche, sum(n.sqm / {CAPPED}) / sum(1 / {CAPPED}) AS p FROM near JOIN test t ON t.id = t_id JOIN train n ON n.id = n_id GROUP BY t.id)"
 KPI_SQL = """round(avg(pow(sqm - p, 2)), 2) AS mse, round(sqrt(avg(pow(sqm - p, 2))), 4) AS rmse, round(avg(abs(sqm - p)), 4) AS mae, round(avg((sqm - p) / sqm), 7) AS mpe, round(avg(abs((sqm - p) / sqm)), 7) AS mape,
