@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside the operators; it sorts before all others.
+#: Keys below this stand for null ids inside the operators, and sort before all others.
+NULL_BELOW = -(2**62)
+#: The lowest of them, where there is no text to tell rows with a null id apart.
 NULL_ID = -(2**63)
 
 
@@ -18,17 +20,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def key() -> Column:
+    """doc_id as a long; for a null one a key below NULL_BELOW by the hash of the text, so that rows with a null id are one
+    document only if their texts are equal."""
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.coalesce(F.col("doc_id").cast("long"), text.bitwiseAND(F.lit(2**62 - 1)) + F.lit(NULL_ID))
+
+
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id (long, NULL_ID for null) and text (empty for null); all other columns are left out."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    """doc_id (long, key() for null) and text (empty for null); all other columns are left out."""
+    return docs.select(key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def id_out(name: str = "doc_id") -> Column:
-    """The id as it was given: null for NULL_ID."""
-    return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
+    """The id as it was given: null for what stands for null."""
+    return F.when(F.col(name) >= NULL_BELOW, F.col(name)).alias(name)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +71,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, longer where df has a column of that name."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

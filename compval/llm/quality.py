@@ -202,7 +202,7 @@ def _unordered(x: np.ndarray) -> np.ndarray:
 
 
 def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.01, seed: int = 42, **options) -> DataFrame:
-    """doc_id (NULL_ID for null), log_ratio, log_weight, key and keep for every text."""
+    """doc_id (a key() for null), log_ratio, log_weight, key and keep for every text."""
     model, scored = fit(docs, labels, **options)
     cut = model.threshold if np.isfinite(model.threshold) else -1e6
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

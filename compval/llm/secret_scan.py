@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import NULL_ID, id_out, slices, written
+from compval.llm.common import id_out, key, slices, written
 
 KINDS = ("assign", "access", "hex", "live")
 #: Fixed patterns, with the least length of what is named.
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
 
     null = F.lit(None).cast("string")
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+        key().alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         (F.col(owner).cast("string") if owner in docs.columns else null).alias("owner"),

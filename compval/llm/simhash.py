@@ -13,7 +13,7 @@ large and small stars, each a partial minimum and a join that AQE can split.
 
 Texts are lower-cased in A-Z and cut at ASCII white space. Null texts are empty; a text without words has fingerprint
 zero and links like any other. Rows that share an id are one document: they join their groups. Null ids sort first
-and come back as null. An empty table gives no rows; other columns are ignored.
+and come back as null; rows with a null id are one document if their texts are equal. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 2000) -> DataFrame:
-    """doc_id (NULL_ID for null), fp, and component_id: the smallest doc_id reachable by links."""
+    """doc_id (a key() for null), fp, and component_id: the smallest doc_id reachable by links."""
     rows = written(fingerprints(docs, words, seed), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     root = components(links(nodes, radius, most))

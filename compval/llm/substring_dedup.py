@@ -20,7 +20,7 @@ of each class of equal ones mark what they cover.
 
 Texts are taken as UTF-8, null texts as empty. Documents shorter than LENGTH lose nothing. Repeated rows (one id, one
 text) are the same place and get the same result; where rows share an id but not the text, marks of either count for
-both. Null ids sort first and come back as null. An empty table gives no rows; other columns are ignored.
+both. Null ids sort first and come back as null; rows with a null id are one document if their texts are equal. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import NULL_ID, documents, id_out, map_text, rows_out, slices, written
+from compval.llm.common import documents, id_out, key, map_text, rows_out, slices, spare, written
 
 LENGTH, GRAM, STEP = 100, 32, 8
 #: Suffixes of a run: as many as an anchor has places before it.
@@ -346,7 +346,7 @@ def spans_of(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, most: int = 4000) -> DataFrame:
-    """doc_id, text and spans (start and end of the bytes to remove) of each row; doc_id is NULL_ID for null."""
+    """doc_id, text and spans (start and end of the bytes to remove) of each row; doc_id is a key() for null."""
     rows = documents(docs)
     found = written(marks(rows, most), "marks")
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
@@ -394,6 +394,6 @@ def without_spans(text: str, marks: list[dict] | None) -> str:
 def deduplicated_text(docs: DataFrame, most: int = 4000) -> DataFrame:
     """docs, all columns, each text without its repeated spans."""
     found = written(marks(documents(docs), most), "marks")
-    lists = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("first", "n")).alias("_marks"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return map_text(keyed.join(lists, "_key", "left").drop("_key"), without_spans, "_marks")
+    at, held = spare(docs, "_key"), spare(docs, "_marks")
+    lists = found.groupBy(F.col("doc_id").alias(at)).agg(F.collect_list(F.struct("first", "n")).alias(held))
+    return map_text(docs.withColumn(at, key()).join(lists, at, "left").drop(at), without_spans, held)

@@ -15,17 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from compval.llm import packing, quality, secret_scan, simhash, substring_dedup
-from compval.llm.common import NULL_ID, map_text, read, written
+from compval.llm.common import key, map_text, read, spare, written
 from compval.llm.queries import TOKENIZER
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-
-
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids (a column doc_id, NULL_ID for null)."""
-    return _keyed(docs).join(ids.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_semi").drop("_key").select(*docs.columns)
+    """The documents with one of the ids (a column doc_id, key() for null)."""
+    at = spare(docs, "_key")
+    return docs.withColumn(at, key()).join(ids.select(F.col("doc_id").alias(at)).distinct(), at, "left_semi").select(*docs.columns)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -41,19 +38,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = _kept(docs, found.where("doc_id = component_id"))
     # Rows that share an id are one document; only where there are any is their text dealt again.
     again = found.groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    at = spare(docs, "_key")
+    return out if again.isEmpty() else out.withColumn(at, key()).dropDuplicates([at]).select(*docs.columns)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    was = docs.withColumn("_was", F.coalesce(F.length("text"), F.lit(0)))
-    out = substring_dedup.deduplicated_text(was)
-    return _counted(out.where((F.col("_was") == 0) | (F.length("text") > 0)).select(*docs.columns))
+    was = spare(docs, "_was")
+    out = substring_dedup.deduplicated_text(docs.withColumn(was, F.coalesce(F.length("text"), F.lit(0))))
+    return _counted(out.where((F.col(was) == 0) | (F.length("text") > 0)).select(*docs.columns))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spans = secret_scan.secret_spans(docs).where("spans <> ''").groupBy(F.col("doc_id").alias("_key")).agg(F.min("spans").alias("_spans"))
-    joined = _keyed(docs).join(spans, "_key", "left").select(*docs.columns, "_spans")
-    return _counted(map_text(joined, secret_scan.redact, "_spans")).select(*docs.columns)
+    at, held = spare(docs, "_key"), spare(docs, "_spans")
+    spans = secret_scan.secret_spans(docs).where("spans <> ''").groupBy(F.col("doc_id").alias(at)).agg(F.min("spans").alias(held))
+    joined = docs.withColumn(at, key()).join(spans, at, "left").select(*docs.columns, held)
+    return _counted(map_text(joined, secret_scan.redact, held)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,21 @@ def by_id(df, *cols):
     return {r["doc_id"]: tuple(r[c] for c in cols) for r in df.collect()}
 
 
+def test_rows_with_a_null_id_are_documents_of_their_own(spark):
+    rnd = random.Random(8)
+    say = lambda: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(40))
+    shared, a, b, c = say(), say(), say(), say()
+    texts, ids = [f"{a} {shared}", f"{b} {shared}", c, c, a, None], [None, None, None, None, 3, None]
+    rows = substring_dedup.deduplicate(table(spark, texts, ids)).collect()
+    assert [r["doc_id"] for r in rows].count(None) == 5
+    # The shared passage goes once, the 3 as a repeat of an earlier (null) id; the repeated row is one place.
+    gone = sorted((r["n_removed"], r["n_bytes"]) for r in rows)
+    assert [g for g, _ in gone[:4]] == [0] * 4 and (len(a), len(a)) in gone
+    assert len(shared) <= max(g for g, n in gone if n > len(a) + 10) <= len(shared) + 2
+    found = simhash.near_duplicates(table(spark, texts, ids)).collect()
+    assert len({r["component_id"] for r in found}) == len({r["fp"] for r in found}) == 5
+
+
 # ------------------------------------------------------------------ 1
 def brute_top(rows, k):
     out = set()

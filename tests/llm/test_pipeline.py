@@ -109,3 +109,31 @@ def test_stages_against_brute_force(spark, folder):
     assert {r["doc_id"] for r in rows} == set(texts)
     digest = lambda rs: hashlib.sha256(repr(sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rs)).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, root).collect()) == digest(rows)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _key string, _was int, _MARKS int, _spans string, first int, size int"
+
+
+def test_pipeline_of_null_ids_clashing_columns_and_an_empty_table(spark, tmp_path):
+    rnd = random.Random(2)
+    say = lambda k: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(k))
+    secret = f'token = "Zq{rnd.getrandbits(120):x}"'
+    texts = [say(30), f"{say(20)} {secret} {say(9)}", say(25), "", None, "x"]
+    texts += [texts[0]]
+    rows = [(None, t, "en", "s", None, "k", 1, 2, "p", 3, 4) for t in texts] + [(7, say(40), None, None, 1, None, None, None, None, None, None)]
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, CLASH).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, change in corpus_pipeline.STAGES[:-1]:
+            docs = written(change(spark, docs, f"{tmp_path}/{name}"), stage)
+            assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in spark.read.parquet(f"{tmp_path}/{name}/documents.parquet").schema]
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if not data:
+            assert docs.count() == len(out) == 0
+            continue
+        left = [r["text"] for r in docs.collect()]
+        assert sorted(t[:20] for t in left if t and t != "x") == sorted(t[:20] for t in {*texts[:3], rows[-1][1]})
+        assert not any(secret in (t or "") for t in left) and sum("<SECRET>" in (t or "") for t in left) == 1
+        assert sum(r["_key"] == "k" for r in docs.collect()) == len(left) - 1
+        assert len(out) == len(left) and sum(r["doc_id"] is None for r in out) == len(out) - 1
