@@ -74,8 +74,13 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
             s, e = m.span(2)
         out[s, e] = text[s:e]
     if DIGIT.search(text):
+        # Tokens come in order of place, so the taken places that end before one are passed for good.
+        taken, at, reach = sorted(out), 0, 0
         for m in TOKEN.finditer(text):
-            if not any(s <= m.start() < e or m.start() <= s < m.end() for s, e in out):
+            while at < len(taken) and taken[at][0] < m.end():
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= m.start():
                 out[m.span()] = m[0]
     return [(v, s, e) for (s, e), v in out.items() if looks_random(v)]
 

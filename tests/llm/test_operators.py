@@ -288,6 +288,19 @@ def test_secrets(spark):
     assert secret_scan.secret_digests(empty(spark)).count() == 0
 
 
+def test_candidates_of_long_texts():
+    rnd = random.Random(4)
+    value = lambda: "".join(rnd.choices("abcdef0123456789GHk/_+", k=rnd.choice([8, 20, 24, 30])))
+    for _ in range(50):
+        text = "".join(rnd.choice([" ", " ", "=", ":", '"', "token=", "secret: ", "AKIA"]) + value() for _ in range(rnd.randint(0, 60)))
+        spans = secret_scan.base_spans(text)
+        taken = [secret_scan.ASSIGN.match(text, s).span(2) if k == "assign" else (s, e) for k, s, e in spans]
+        places = {m.span() for m in secret_scan.TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)} | set(taken)
+        assert sorted(secret_scan.candidates(text, spans)) == sorted((text[s:e], s, e) for s, e in places if secret_scan.looks_random(text[s:e]))
+    text = " ".join(f"k{rnd.getrandbits(120):030x}Z" for _ in range(100_000))  # quadratic work would take minutes
+    assert len(secret_scan.candidates(text, secret_scan.base_spans(text))) >= 99_000
+
+
 def test_redact():
     assert secret_scan.redact("a token=abcdefghijkl b", "assign:2:20,live:8:20") == "a <SECRET> b"
     assert secret_scan.redact("plain", "") == secret_scan.redact("plain", None) == "plain"
