@@ -28,8 +28,9 @@ from compval.llm.common import NULL_ID, id_out, rows_out
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>"
 _CONTROL = re.compile(r"\\|#(?=## )|:(?= )|<(?=/turn>)")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_ROLE = re.compile(r"(?:\\.|(?!: )[^\\])*", re.S)
-_BODY = re.compile(r"(?:\\.|(?!</turn>)[^\\])*", re.S)
+# Possessive, so that a long text takes no memory to go back through.
+_ROLE = re.compile(r"(?:[^\\:]++|\\.|:(?! ))*+", re.S)
+_BODY = re.compile(r"(?:[^\\<]++|\\.|<(?!/turn>))*+", re.S)
 
 
 def escape(text: str) -> str:
