@@ -5,7 +5,7 @@ its log frequency in each language. An unseen word falls back to its longest n-g
 log frequency of those that are known, or of the next shorter ones if none is, down to single characters. A text's
 language has the highest sum; the score is its share after a softmax of the mean over words, times up to `trust` words.
 
-Fitting takes at most about `per_language` texts of each language, dealt by a hash of the id, and keeps at most
+Fitting takes at most about `per_language` texts of each language, dealt by a hash of the id (null: of the text), and keeps at most
 `most_words` words and `most_grams` n-grams, the commonest; prediction takes every text, whole. Null texts and texts
 without a letter are `und` with score 0. Ties go to the first language by name. Rows with a null lang teach nothing; a
 model without any language answers `und`. Repeated rows give repeated results, other columns are ignored.
@@ -62,7 +62,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
-        if not counts or not self.languages:
+        if not counts or not self.languages or not any(c.isalpha() for w in counts for c in w):
             return UND, 0.0
         total = np.array(list(map(self.word, counts))).T @ np.fromiter(counts.values(), float, len(counts))
         n = sum(counts.values())
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, per_language: int = 3000, most_words: int = 60_000, mos
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], {}, [])
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    share = F.pmod(F.xxhash64(F.coalesce("doc_id", "text")), F.lit(1_000_000))  # null ids are dealt by text
     take = F.coalesce(*[F.when(F.col("lang") == k, share < int(1_000_000 * min(1.0, per_language / n)) + 1) for k, n in counts.items()])
     by_word, by_gram = _counted(rows.where(take), longest)
     by_word, by_gram = by_word.persist(), by_gram.persist()

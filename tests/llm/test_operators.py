@@ -215,14 +215,14 @@ def test_language_id(spark):
         lang = rnd.choice(list(parts))
         rows.append((i, " ".join(word(lang) for _ in range(40)), lang if i % 7 else None, "s", 0, i))
     truth = {r[0]: "ción" in r[1] and "es" or "sch" in r[1] and "de" or "en" for r in rows}
-    rows += [(900, None, "en", "s", 0, 0), (901, "", "en", "s", 0, 0), (902, "12 !!", None, "s", 0, 0), (None, "the thing", None, "s", 0, 0), (903, "the er " * 40000, None, "s", 0, 0)]
+    rows += [(900, None, "en", "s", 0, 0), (901, "", "en", "s", 0, 0), (902, "12 !!", None, "s", 0, 0), (904, "² ½", None, "s", 0, 0), (None, "the thing", None, "s", 0, 0), (903, "the er " * 40000, None, "s", 0, 0)]
     out = language_id.identify(spark.createDataFrame(rows, DOCS)).collect()
     got = {r["doc_id"]: r for r in out}
     assert len(out) == len(rows)
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in truth)
     held = [i for i in truth if got[i]["held_out"]]
     assert sum(got[i]["lang_pred"] == truth[i] for i in held) / len(held) > 0.95
-    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (900, 901, 902, 904)] == [("und", 0.0)] * 4
     assert got[903]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in out)
     assert language_id.identify(empty(spark)).count() == 0
 
