@@ -675,8 +675,8 @@ def _(spark, d):
 @register("evolve_small")
 def _(spark, d):
     train, test = parts(spark, d)
-    fitness = evolution.Fitness(train, test, batch=200, reach=3000, nearest=20)
-    _, error, history = evolution.evolve(fitness, evolution.lp_genome(), evolution.Config(population=4, generations=2))
+    fitness = evolution.Fitness(train, test, batch=None)
+    _, error, history = evolution.evolve(fitness, evolution.lp_genome(), evolution.Config())
     return spark.createDataFrame([(i, e) for i, e in enumerate(history)], "generation int, error double")
 
 
@@ -702,8 +702,8 @@ def _(spark, d):
 @register("local_search_small")
 def _(spark, d):
     train, test = parts(spark, d)
-    fitness = evolution.Fitness(train, test, batch=200, reach=3000, nearest=20)
-    _, error = evolution.local_search(fitness, evolution.lp_genome(), steps=3)
+    fitness = evolution.Fitness(train, test, batch=None)
+    _, error = evolution.local_search(fitness, evolution.lp_genome())
     return spark.createDataFrame([(error,)], "error double")
 
 

@@ -339,3 +339,17 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("prices").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert [(r["id"], r["marktwert"]) for r in spark.table("prices").collect()] == [("a", 3e5)]
+
+
+def market(spark, n, seed=1):
+    rng = random.Random(seed)
+    return points(spark, [(rng.uniform(0, 20_000), rng.uniform(0, 20_000)) for _ in range(n)], [rng.uniform(1, 9) for _ in range(n)])
+
+
+def test_fitness_takes_all_rows_or_a_new_batch_a_call(spark):
+    train, test = market(spark, 60), market(spark, 30, 2).withColumn("id", F.concat(F.lit("v"), "id"))
+    seen = lambda f: (f([evolution.lp_genome()]), {r[0] for r in f.pairs.select("t_id").distinct().collect()})[1]
+    assert len(seen(evolution.Fitness(train, test, batch=None))) == 30
+    some = evolution.Fitness(train, test, batch=8)
+    first, second = seen(some), seen(some)
+    assert len(first) == len(second) == 8 and first != second
