@@ -353,3 +353,23 @@ def test_fitness_takes_all_rows_or_a_new_batch_a_call(spark):
     some = evolution.Fitness(train, test, batch=8)
     first, second = seen(some), seen(some)
     assert len(first) == len(second) == 8 and first != second
+
+
+def lp_variant(radius=None, k=1, most_similar=None):
+    reach = evolution.Either(evolution.Bounded(radius or 10.0, 10.0, 10_000.0), evolution.Bounded(k, 1, 2000, True), radius is not None)
+    most = evolution.Optional(evolution.Bounded(most_similar or 1, 1, 500, True), most_similar is not None)
+    return evolution.Genome(tuple({**dict(evolution.lp_genome().parts), "reach": reach, "most_similar": most}.items()))
+
+
+def predictor_mape(genome, train, test):
+    out = evolution.lp_predictor(genome, D.min_max_scale(train)).train(train).predict(test)
+    return out.agg(F.avg(F.coalesce(F.abs(F.col("sqm") - F.col("pred_sqm")) / F.col("sqm"), F.lit(1.0)))).first()[0]
+
+
+@pytest.mark.parametrize("batch", [None, 30])
+def test_fitness_reaches_as_far_as_the_genomes(spark, batch):
+    train, test = market(spark, 500), market(spark, 30, 2).withColumn("id", F.concat(F.lit("v"), "id"))
+    genomes = [lp_variant(radius=9000.0), lp_variant(radius=7000.0, most_similar=7), lp_variant(k=300), lp_variant(k=450, most_similar=20)]
+    want = [predictor_mape(g, train, test) for g in genomes]
+    assert len({round(w, 9) for w in want}) == 4
+    assert evolution.Fitness(train, test, batch)(genomes) == pytest.approx(want)
