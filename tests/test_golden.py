@@ -363,7 +363,7 @@ def lp_variant(radius=None, k=1, most_similar=None):
 
 def predictor_mape(genome, train, test):
     out = evolution.lp_predictor(genome, D.min_max_scale(train)).train(train).predict(test)
-    return out.agg(F.avg(F.coalesce(F.abs(F.col("sqm") - F.col("pred_sqm")) / F.col("sqm"), F.lit(1.0)))).first()[0]
+    return out.agg(F.avg(F.coalesce(F.nanvl(F.abs(F.col("sqm") - F.col("pred_sqm")) / F.col("sqm"), F.lit(None)), F.lit(1.0)))).first()[0]
 
 
 @pytest.mark.parametrize("batch", [None, 30])
@@ -373,3 +373,13 @@ def test_fitness_reaches_as_far_as_the_genomes(spark, batch):
     want = [predictor_mape(g, train, test) for g in genomes]
     assert len({round(w, 9) for w in want}) == 4
     assert evolution.Fitness(train, test, batch)(genomes) == pytest.approx(want)
+
+
+def test_fitness_counts_every_target(spark):
+    """Few or no comparables within reach, the target itself among the training rows, and one target without a place."""
+    train = market(spark, 60)
+    other = market(spark, 20, 2).withColumns({"id": F.concat(F.lit("v"), "id"), "x": F.when(F.col("id") != "003", F.col("x"))})
+    test = other.unionByName(train.limit(5))
+    genomes = [lp_variant(radius=10.0), lp_variant(radius=3000.0, most_similar=3), lp_variant(k=4), lp_variant(k=12, most_similar=1)]
+    got = evolution.Fitness(train, test, batch=None)(genomes)
+    assert got == pytest.approx([predictor_mape(g, train, test) for g in genomes])
