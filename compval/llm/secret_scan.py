@@ -2,9 +2,11 @@ r"""Secret scans with corpus-wide ownership.
 
 Three patterns find spans in each text (leftmost, non-overlapping within a kind, code points, end exclusive):
 assign, access and hex. Every value they hold, and every other long token that mixes letters and digits, is a
-candidate. Candidates' hashes are counted over the corpus by distinct repositories and owners: a value that several
-owners hold is a copied example; a value of a single owner that looks random is live-looking, and the place of the
-value is a further span, of kind live. The patterns' own spans stay in either case.
+candidate. Candidates' hashes are counted over the corpus by distinct repositories, owners and texts. A value is a
+copied example if more than MOST_REPOS repositories hold it, be they of one owner, or if more than MOST_OWNERS owners
+do and none of them has all the texts that it stands in: where one has, the others are mirrors (exact copies) of its
+documents. Any other value that looks random is live-looking, and its place is a further span, of kind live. The
+patterns' own spans stay in either case.
 
 The owner is the `source` column and the repository the document, unless other columns are named. Null texts are empty,
 null owners are one owner. Repeated rows count as repositories of their own only if their ids differ. An empty table
@@ -35,6 +37,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 DIGIT = re.compile(r"[0-9]")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
+#: What a value that is not widely copied has at most.
+MOST_REPOS, MOST_OWNERS = 10, 1
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -95,10 +99,15 @@ BASE = pa.schema(
         ("n_access", pa.int64()),
         ("n_hex", pa.int64()),
         ("base", pa.string()),
+        ("digest", pa.binary()),
         ("found", pa.list_(pa.struct([("hash", pa.binary()), ("start", pa.int64()), ("end", pa.int64())]))),
     ]
 )
-BASE_DDL = "doc_id long, row long, owner string, repo string, n_assign long, n_access long, n_hex long, base string, found array<struct<hash:binary,start:long,end:long>>"
+BASE_DDL = "doc_id long, row long, owner string, repo string, n_assign long, n_access long, n_hex long, base string, digest binary, found array<struct<hash:binary,start:long,end:long>>"
+
+
+def hashed(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
 def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
@@ -106,12 +115,12 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for text in b.column(2).to_pylist():
                 spans = base_spans(text)
                 n = Counter(k for k, _, _ in spans)
-                found = [{"hash": hashlib.blake2b(v.encode(), digest_size=16).digest(), "start": s, "end": e} for v, s, e in candidates(text, spans)]
-                for c, x in zip(out, (n["assign"], n["access"], n["hex"], joined(spans), found)):
+                found = [{"hash": hashed(v), "start": s, "end": e} for v, s, e in candidates(text, spans)]
+                for c, x in zip(out, (n["assign"], n["access"], n["hex"], joined(spans), hashed(text) if found else None, found)):
                     c.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *(pa.array(c, BASE.field(i + 4).type) for i, c in enumerate(out))], schema=BASE)
 
@@ -127,19 +136,24 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """For each candidate's hash the distinct owners and repositories that hold it."""
-    each = scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), F.explode("found").alias("f")).select("f.hash", "owner", "repo")
+    """For each candidate's hash the distinct owners, repositories and texts that hold it, and the texts of the owner that
+    has most of them."""
+    each = scanned.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), "digest", F.explode("found").alias("f")).select("f.hash", "owner", "repo", "digest")
     by_repo = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("places"))
+    owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("places"))
+    most = each.select("hash", "owner", "digest").distinct().groupBy("hash", "owner").count().groupBy("hash").agg(F.max("count").alias("most_texts"))
+    texts = each.select("hash", "digest").distinct().groupBy("hash").agg(F.count("*").alias("texts"))
+    return owners.join(most, "hash").join(texts, "hash")
 
 
-def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owners: int = 1) -> DataFrame:
+def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """A row per document: counts, `base` spans, `live` spans (start and end), all `spans` joined, and how many of its
-    candidates are copied examples. A live value has at most most_owners owners."""
+    candidates are copied examples. A live value has at most most_repos repositories, and at most most_owners owners or
+    one that has all its texts."""
     scanned = written(scan(docs, owner, repo), "secrets")
     places = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = places.join(ownership(scanned), "hash").withColumn("live", F.col("owners") <= most_owners)
+    judged = places.join(ownership(scanned), "hash").withColumn("live", (F.col("repos") <= most_repos) & ((F.col("owners") <= most_owners) | (F.col("most_texts") == F.col("texts"))))
     added = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("live"), F.struct("start", "end")))).alias("live"),
         F.count(F.when(~F.col("live"), True)).alias("n_copied"),

@@ -288,6 +288,19 @@ def test_secrets(spark):
     assert secret_scan.secret_digests(empty(spark)).count() == 0
 
 
+def test_secrets_of_mirrors_and_mass_copies(spark):
+    value = lambda i: f"Zq{random.Random(i).getrandbits(120):030x}Y"
+    mirrored, mass, within, apart, part = map(value, range(5))
+    rows = [("a", f"see {mirrored} here"), ("b", f"see {mirrored} here"), ("c", f"one {apart}"), ("d", f"two {apart}")]
+    rows += [("a", f"first {part}"), ("b", f"first {part}"), ("b", f"second {part}")]
+    rows += [(f"s{i}", f"the same {mass}") for i in range(11)] + [("a", f"copy {i} {within}") for i in range(11)]
+    docs = spark.createDataFrame([(i, t, o) for i, (o, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    out = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in secret_scan.secret_digests(docs).collect()}
+    assert {rows[i][1] for i, n in out.items() if n == (1, 0)} == {f"see {mirrored} here", f"first {part}", f"second {part}"}
+    assert all(n in ((1, 0), (0, 1)) for n in out.values())
+    assert sum(r["n_live"] for r in secret_scan.secret_digests(docs.where("text not like '%copy 0 %'")).where("doc_id >= 18").collect()) == 10
+
+
 def test_candidates_of_long_texts():
     rnd = random.Random(4)
     value = lambda: "".join(rnd.choices("abcdef0123456789GHk/_+", k=rnd.choice([8, 20, 24, 30])))
