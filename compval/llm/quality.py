@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, buckets: int
     scored = written(rows.mapInArrow(score, "doc_id long, log_weight double, number long"), "scores")
     if chosen:
         ids = spark.createDataFrame([(k, v) for k, v in chosen.items()], "doc_id long, good boolean")
-        found = scored.join(F.broadcast(ids), "doc_id").select("good", (F.col("log_weight") / (F.col("number") + PRIOR)).alias("x")).limit(4 * per_class).collect()
+        by_row = scored.join(F.broadcast(ids), "doc_id").withColumn("x", F.col("log_weight") / (F.col("number") + PRIOR))
+        found = by_row.groupBy("doc_id", "good").agg(F.min("x").alias("x")).collect()  # one an id, as many as chosen
         model.threshold = threshold(np.array([r["x"] for r in found if r["good"]]), np.array([r["x"] for r in found if not r["good"]]), keep_good)
     return model, scored
 

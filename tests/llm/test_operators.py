@@ -252,6 +252,16 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "v", 501) is None
 
 
+def test_threshold_counts_an_id_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "threshold", lambda good, bad, keep: seen.append((len(good), len(bad))) or 0.0)
+    ids = list(range(20)) + [0] * 200
+    docs = table(spark, [f"text of number {i} and so on" for i in ids], ids)
+    labels = spark.createDataFrame([(i, int(i < 10), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    quality.quality(docs, labels, per_class=10).collect()
+    assert seen == [(10, 10)]
+
+
 # ------------------------------------------------------------------ 6
 SECRETS = [
     'password=b7db7aa4a5fcc78305 and token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"',
