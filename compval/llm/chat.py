@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import NULL_ID, id_out, rows_out
+from compval.llm.common import rows_out
 
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>"
 _CONTROL = re.compile(r"\\|#(?=## )|:(?= )|<(?=/turn>)")
@@ -86,7 +86,7 @@ def format_turns(conversations: DataFrame, learnt: tuple[str, ...] = ("assistant
             yield rows_out(TURNS, rows)
 
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(NULL_ID)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
+        *(F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
     )
     return rows.mapInArrow(run, "conv_id long, turn long, formatted string, body_start long, body_end long, loss boolean")
 
@@ -98,12 +98,12 @@ def digests(turns: DataFrame) -> DataFrame:
     """What each conversation says when its formatted turns are read back, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv = None
+        conv, n = None, 0
         for b in batches:
             rows = []
             for key, out, start, end, loss in zip(*(c.to_pylist() for c in b.columns)):
-                if key != conv:
-                    if conv is not None:
+                if not n or key != conv:
+                    if n:
                         rows.append((conv, n, every.hexdigest(), chars, learnt.hexdigest(), length))
                     conv, n, chars, length, every, learnt = key, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 for role, text, _, _ in parse(out):
@@ -115,9 +115,8 @@ def digests(turns: DataFrame) -> DataFrame:
                     chars += len(text)
                     learnt.update(text.encode())
             yield rows_out(DIGESTS, rows)
-        if conv is not None:
+        if n:
             yield rows_out(DIGESTS, [(conv, n, every.hexdigest(), chars, learnt.hexdigest(), length)])
 
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "formatted")
-    out = dealt.select("conv_id", "formatted", "body_start", "body_end", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return out.select(id_out("conv_id"), *out.columns[1:])
+    return dealt.select("conv_id", "formatted", "body_start", "body_end", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

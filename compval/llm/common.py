@@ -10,46 +10,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys below this stand for null ids inside the operators, and sort before all others.
-NULL_BELOW = -(2**62)
-#: The lowest of them, where there is no text to tell rows with a null id apart.
-NULL_ID = -(2**63)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def key() -> Column:
-    """doc_id as a long; for a null one a key below NULL_BELOW by the hash of the text, so that rows with a null id are one
-    document only if their texts are equal."""
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return F.coalesce(F.col("doc_id").cast("long"), text.bitwiseAND(F.lit(2**62 - 1)) + F.lit(NULL_ID))
-
-
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id (long, key() for null) and text (empty for null); all other columns are left out."""
-    return docs.select(key().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def text_hash(text: str = "text") -> Column:
+    """64 bits that tell apart the texts of rows that share an id, or have none."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def id_out(name: str = "doc_id") -> Column:
-    """The id as it was given: null for what stands for null."""
-    return F.when(F.col(name) >= NULL_BELOW, F.col(name)).alias(name)
+def documents(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id (long, null where it is), text (empty for null) and what more is asked for; all other columns are left out."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where neither the setting nor the context has one."""
+    """The folder in spark.checkpoint.dir. Only a local session without that setting gets a temporary folder of its own: on
+    a cluster executors would write to folders that nothing else sees."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         jdir = sc._jsc.sc().getCheckpointDir()
-        if not jdir.isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="compval-"))
-            jdir = sc._jsc.sc().getCheckpointDir()
-        found = jdir.get()
+        found = jdir.get() if jdir.isDefined() else None
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="compval-"))
     return found.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

@@ -7,7 +7,8 @@ bytes of an image's header for the metadata columns and the image itself for its
 
 A shard is written under a name of its own by each task attempt, and a row names the shard of the attempt that counted,
 so lost executors and repeated attempts leave at worst files that no row names. Null texts are empty, and an empty text
-is one row of zeros. Repeated rows and equal texts give equal values; columns other than doc_id and text are ignored.
+is one row of zeros. Repeated rows and equal texts give equal values, null ids come back as null; columns other than
+doc_id and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
-from compval.llm.common import documents, fresh_path, id_out, rows_out, slices
+from compval.llm.common import documents, fresh_path, rows_out, slices
 
 MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a PNG up to the end of its first chunk: size, depth and colour type.
@@ -75,11 +76,18 @@ def from_png(data: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Hadoop-style address and the path within it. Executors have no JVM to open Spark's own with, so
+    the names that Hadoop has for an object store are taken for that store's."""
+    scheme, _, rest = uri.partition(":")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest if rest else uri)
+
+
 class Shard:
     """A tar file that grows member by member and tells where each one's bytes are."""
 
     def __init__(self, root: str):
-        self.files, folder = fs.FileSystem.from_uri(root)
+        self.files, folder = opened(root)
         self.files.create_dir(folder, recursive=True)
         name = f"shard-{uuid.uuid4().hex}.tar"
         self.uri, self.out, self.size = f"{root}/{name}", self.files.open_output_stream(f"{folder}/{name}"), 0
@@ -148,7 +156,7 @@ def read_media(index: DataFrame, unit: int = 64) -> DataFrame:
             rows = []
             for doc, n, digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns)):
                 if shard != uri:
-                    files, path = fs.FileSystem.from_uri(shard)
+                    files, path = opened(shard)
                     uri, file, known = shard, files.open_input_file(path), {}
                 if offset not in known:
                     width, height, _ = png_header(file.read_at(HEADER, offset))
@@ -166,5 +174,4 @@ def read_media(index: DataFrame, unit: int = 64) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    out = read_media(write_media(docs, fresh_path(docs.sparkSession, "media")))
-    return out.select(id_out(), *out.columns[1:])
+    return read_media(write_media(docs, fresh_path(docs.sparkSession, "media")))
