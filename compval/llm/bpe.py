@@ -6,8 +6,9 @@ up the ranks of the two neighbours anew, until no row has a rank left. Rows of o
 scan covers all words that a batch has not met before. Long words take a heap instead, where a scan each round would
 be quadratic.
 
-Null texts are empty; an empty text has no tokens. Any length of text works: words never cross white space, and a
-batch holds a bounded number of characters. Repeated rows give repeated results; other columns are ignored.
+Null texts are empty; an empty text has no tokens. Any length of text works: words never cross white space, so long texts
+are cut at spaces, and a batch holds a bounded number of characters (or one longer word). Repeated rows give repeated
+results, null ids come back as null, other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from compval.llm.common import documents, id_out, slices
+from compval.llm.common import documents, slices
 
 #: Words of up to so many bytes are rows of a rank matrix.
 SHORT = 48
@@ -58,6 +59,24 @@ def _kinds() -> np.ndarray:
     return out
 
 
+def _distinct(at: np.ndarray, ends: np.ndarray, key: np.ndarray, code: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct words and the number of each word among them. Words of one hash are held against the first of them,
+    code point by code point; should any differ, the words themselves are told apart."""
+    low = code.astype("<u4").tobytes().decode("utf-32-le")
+    if not len(at):
+        return [], np.empty(0, np.int64)
+    inv, held = pd.factorize(key)
+    first = np.empty(len(held), np.int64)
+    first[inv[::-1]] = np.arange(len(inv) - 1, -1, -1)
+    size, model = ends - at, first[inv]
+    place = np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)
+    if (size[model] == size).all() and (code[place] == code[place + np.repeat(at[model] - at, size)]).all():
+        return [low[a:e] for a, e in zip(at[first].tolist(), ends[first].tolist())], inv
+    words = [low[a:e] for a, e in zip(at.tolist(), ends.tolist())]
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    return list(number), np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
 class WordBPE:
     """The model of a tokenizer file with word ends (lower case, white space dropped)."""
 
@@ -96,8 +115,9 @@ class WordBPE:
         self.power = np.empty(0, np.uint64)
 
     # ------------------------------------------------------------------ words
-    def _plain(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str] | None:
-        """Start and end of each word of a text, a 64-bit hash of each, and the text in lower case; None if not plain."""
+    def _plain(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Start and end of each word of a text, a 64-bit hash of each, and the text's code points in lower case; None if
+        not plain."""
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         if code.max() >= PLAIN:
             return None
@@ -131,7 +151,7 @@ class WordBPE:
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum(self.mix[code] * self.power[: len(code)], out=total[1:])
         key = (total[ends] - total[at]) * self.unpower[at] + (ends - at).astype(np.uint64)
-        return at, ends, key, code.astype("<u4").tobytes().decode("utf-32-le")
+        return at, ends, key, code
 
     def _other(self, text: str) -> list[bytes]:
         """Words of any text, by the tokenizer file's own normaliser and splitter; special tokens are words too."""
@@ -148,9 +168,8 @@ class WordBPE:
                 out += [bytes(map(self.to_byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
         return out
 
-    def runs(self, texts: list[str], most: int = 1 << 18) -> Iterator[tuple[list, list[bytes] | Callable, list[np.ndarray]]]:
-        """For runs of texts, in order: the keys of the distinct words, those words (called with their numbers), and for
-        each text the numbers of its words. A key is the word itself or its 64-bit hash by random weights."""
+    def runs(self, texts: list[str], most: int = 1 << 20) -> Iterator[tuple[list[str] | list[bytes], list[np.ndarray]]]:
+        """For runs of texts, in order: the distinct words, and for each text the numbers of its words."""
         i = 0
         while i < len(texts):
             j, size = i, 0
@@ -160,21 +179,18 @@ class WordBPE:
             joined = "\n".join(texts[i:j]) + "\n"
             plain = None if any(x in joined for x in self.special) else self._plain(joined)
             if plain:
-                at, ends, key, low = plain
-                inv, distinct = pd.factorize(key)
-                first = np.empty(len(distinct), np.int64)
-                first[inv[::-1]] = np.arange(len(inv))[::-1]
+                at, ends, key, code = plain
+                words, inv = _distinct(at, ends, key, code)
                 bounds = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[i:j]])]))
-                word = lambda k, a=at[first], e=ends[first], low=low: low[a[k] : e[k]].encode()
-                yield distinct.tolist(), word, [inv[bounds[k] : bounds[k + 1]] for k in range(j - i)]
+                yield words, [inv[bounds[k] : bounds[k + 1]] for k in range(j - i)]
             elif j - i > 1:
-                for t in texts[i:j]:
-                    yield from self.runs([t], most)
+                half = (i + j) // 2
+                yield from self.runs(texts[i:half], most)
+                yield from self.runs(texts[half:j], most)
             else:
                 found = self._other(texts[i])
                 number = {w: k for k, w in enumerate(dict.fromkeys(found))}
-                distinct = list(number)
-                yield distinct, distinct.__getitem__, [np.fromiter(map(number.__getitem__, found), np.int64, len(found))]
+                yield list(number), [np.fromiter(map(number.__getitem__, found), np.int64, len(found))]
             i = j
 
     # ----------------------------------------------------------------- merges
@@ -275,7 +291,7 @@ class WordBPE:
 
 
 class Cached:
-    """What `render` makes of the ids of each word, kept for the words met last."""
+    """What `render` makes of the ids of each word, kept for the words met last, by the word itself."""
 
     def __init__(self, model: WordBPE, render: Callable[[tuple[int, ...]], object], most: int = 400_000):
         self.model, self.render, self.most, self.kept = model, render, most, {}
@@ -283,21 +299,18 @@ class Cached:
     def __call__(self, runs: Iterator[tuple]) -> Iterator[tuple[list, list[np.ndarray]]]:
         """For runs of texts what is made of each distinct word, and the numbers of each text's words. Words that are
         new in several runs are merged together."""
-        while group := list(itertools.islice(runs, 12)):
+        while group := list(itertools.islice(runs, 3)):
             if len(self.kept) > self.most:
                 self.kept.clear()
-            new: dict = {}
-            for keys, word, _ in group:
-                for i, k in enumerate(keys):
-                    if k not in self.kept and k not in new:
-                        new[k] = word(i)
-            made = dict(zip(new, map(self.render, self.model.merge(list(new.values())))))
+            held = [list(map(self.kept.get, words)) for words, _ in group]
+            new = list({words[i] for x, (words, _) in zip(held, group) for i, y in enumerate(x) if y is None})
+            made = dict(zip(new, map(self.render, self.model.merge([w.encode() if isinstance(w, str) else w for w in new]))))
             self.kept.update(made)
-            for keys, _, docs in group:
-                yield list(map(self.kept.__getitem__, keys)), docs
-            for k, x in made.items():
-                if len(x[-1]) >= 512:
-                    del self.kept[k]
+            for x, (words, docs) in zip(held, group):
+                yield [made[words[i]] if y is None else y for i, y in enumerate(x)], docs
+            for w, x in made.items():
+                if len(x[-1]) >= 512 or len(w) >= 512:
+                    del self.kept[w]
 
 
 _KEPT: dict[tuple[str, str], Cached] = {}
@@ -311,14 +324,35 @@ def cached(path: str, name: str, render: Callable[[WordBPE], Callable[[tuple[int
     return _KEPT[path, name]
 
 
+def _cut(texts: list[str], most: int = 1 << 20) -> tuple[list[str], list[int]]:
+    """Texts in parts of about most characters, cut before a space, and the number of parts of each. No word or special
+    token holds a space, so the ids of a text are those of its parts one after the other."""
+    parts, number = [], []
+    for t in texts:
+        at, n = 0, len(parts)
+        while len(t) - at > 2 * most and (end := t.find(" ", at + most)) >= 0:
+            parts.append(t[at:end])
+            at = end
+        parts.append(t[at:] if at else t)
+        number.append(len(parts) - n)
+    return parts, number
+
+
 def id_bytes(texts: list[str], path: str) -> Iterator[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers."""
     pack = {n: struct.Struct(f"<{n}I").pack for n in range(1, SHORT + 1)}
     cache = cached(path, "bytes", lambda _: lambda ids: (pack[len(ids)](*ids) if len(ids) <= SHORT else struct.pack(f"<{len(ids)}I", *ids),))
-    for made, docs in cache(cache.model.runs(texts)):
-        blob = [x for (x,) in made]
-        for inv in docs:
-            yield b"".join(map(blob.__getitem__, inv.tolist()))
+
+    def each() -> Iterator[bytes]:
+        for made, docs in cache(cache.model.runs(parts)):
+            blob = [x for (x,) in made]
+            for inv in docs:
+                yield b"".join(map(blob.__getitem__, inv.tolist()))
+
+    parts, number = _cut(texts)
+    found = each()
+    for n in number:
+        yield next(found) if n == 1 else b"".join(itertools.islice(found, n))
 
 
 def encode(texts: list[str], path: str) -> list[list[int]]:
@@ -334,12 +368,23 @@ def encoded(texts: list[str], path: str) -> Iterator[tuple[int, bytes, bytes]]:
         return lambda ids: (len(ids), b" ".join([number[i] for i in ids]), b" ".join([token[i] for i in ids]))
 
     cache = cached(path, "text", make)
-    for made, docs in cache(cache.model.runs(texts)):
-        n, ids, text = zip(*made) if made else ((), (), ())
-        count = np.array(n, np.int64)
-        for inv in docs:
-            each = inv.tolist()
-            yield int(count[inv].sum()) if each else 0, b" ".join(map(ids.__getitem__, each)), b" ".join(map(text.__getitem__, each))
+
+    def each() -> Iterator[tuple[int, bytes, bytes]]:
+        for made, docs in cache(cache.model.runs(parts)):
+            n, ids, text = zip(*made) if made else ((), (), ())
+            count = np.array(n, np.int64)
+            for inv in docs:
+                row = inv.tolist()
+                yield int(count[inv].sum()) if row else 0, b" ".join(map(ids.__getitem__, row)), b" ".join(map(text.__getitem__, row))
+
+    parts, number = _cut(texts)
+    found = each()
+    for n in number:
+        if n == 1:
+            yield next(found)
+        else:
+            held = [x for x in itertools.islice(found, n) if x[0]]
+            yield sum(x[0] for x in held), b" ".join(x[1] for x in held), b" ".join(x[2] for x in held)
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -355,5 +400,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], schema=DIGESTS)
 
-    out = documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(id_out(), "n_tokens", "ids_sha256", "decoded_sha256")
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
