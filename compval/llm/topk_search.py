@@ -9,8 +9,9 @@ value, and of its ties the smallest ids. No task emits over k rows a query and r
 Queries are taken in blocks of `block` by id, so what the driver holds and broadcasts is bounded by block x dimension.
 Vectors are scaled and floored to integers; vectors that are null, or hold null or non-finite components, take no part,
 nor do rows with a null id. Only vectors of equal length are compared. A candidate with a query's own id is no answer
-to it; repeated rows are each a candidate, and each a query. Fewer than k candidates are all returned. Scores beyond 64
-bits are held at the ends of that range. An empty table gives no rows; other columns are ignored.
+to it; repeated rows are each a candidate, and each a query. Fewer than k candidates are all returned. Scores are exact
+over the whole range of a long; components and scores beyond it are held at its ends. An empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from compval.llm.common import fresh_path
 
 EXACT = 2.0**52
-TOP = 2**62
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -49,18 +50,21 @@ class Block:
     number: np.ndarray  # of the query within its block
 
 
-def _scores(block: Block, vecs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Inner products, offset by TOP so that none is negative; -1 for a query's own id."""
-    most = float(np.abs(block.vecs).max(initial=0)) * float(np.abs(vecs).max(initial=0)) * max(1, vecs.shape[1])
-    if most < EXACT:
+def _largest(x: np.ndarray) -> float:
+    """The largest magnitude; the least long has no positive twin, so no absolute value is taken."""
+    return max(float(x.max()), -float(x.min())) if x.size else 0.0
+
+
+def _scores(block: Block, vecs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products, and which of them count: all but a query's with its own id."""
+    if _largest(block.vecs) * _largest(vecs) * max(1, vecs.shape[1]) < EXACT:
         out = (block.vecs.astype(float) @ vecs.astype(float).T).astype(np.int64)
     else:
-        out = np.clip(block.vecs.astype(object) @ vecs.astype(object).T, -TOP + 1, TOP - 1).astype(np.int64)
-    out += TOP
-    own = np.flatnonzero(np.isin(ids, block.ids))
-    for j in own.tolist():
-        out[block.ids == ids[j], j] = -1
-    return out
+        out = np.clip(block.vecs.astype(object) @ vecs.astype(object).T, LEAST, MOST).astype(np.int64)
+    fine = np.ones(out.shape, bool)
+    for j in np.flatnonzero(np.isin(ids, block.ids)).tolist():
+        fine[block.ids == ids[j], j] = False
+    return out, fine
 
 
 def _parts(batch: pa.RecordBatch, queries: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -78,7 +82,7 @@ def _parts(batch: pa.RecordBatch, queries: int) -> Iterator[tuple[int, np.ndarra
 
 def _trim(q: np.ndarray, v: np.ndarray, c: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums counts of equal (query, value) and keeps, by query, the top values up to its need."""
-    order = np.lexsort((-v, q))
+    order = np.lexsort((~v, q))
     q, v, c = q[order], v[order], c[order]
     head = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])])) if len(q) else np.empty(0, int)
     if len(head):
@@ -96,15 +100,15 @@ def _histogram(blocks: dict[int, Block], shift: int, known: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {n: [np.empty(0, np.int64)] * 3 for n in blocks}
-        floor = {n: np.full(len(b.ids), -1, np.int64) for n, b in blocks.items()}
+        floor = {n: np.full(len(b.ids), LEAST, np.int64) for n, b in blocks.items()}
         for batch in batches:
             for n, vecs, ids in _parts(batch, max((len(b.ids) for b in blocks.values()), default=1)):
                 if n not in blocks:
                     continue
                 b = blocks[n]
-                s = _scores(b, vecs, ids)
+                s, ok = _scores(b, vecs, ids)
                 v = s >> shift
-                ok = (s >= 0) & (v >= floor[n][:, None])
+                ok &= v >= floor[n][:, None]
                 if known is not None:
                     ok &= (s >> known) == b.prefix[:, None]
                 q, j = np.nonzero(ok)
@@ -132,16 +136,16 @@ def _answers(blocks: dict[int, Block], k: int):
                 if n not in blocks:
                     continue
                 b = blocks[n]
-                s = _scores(b, vecs, ids)
-                q, j = np.nonzero(s >= np.where(b.all_in, 0, b.prefix)[:, None])
+                s, ok = _scores(b, vecs, ids)
+                q, j = np.nonzero(ok & (s >= np.where(b.all_in, LEAST, b.prefix)[:, None]))
                 q, v, i = (np.concatenate([x, y]) for x, y in zip(held[n], (q, s[q, j], ids[j])))
-                order = np.lexsort((i, -v, q))
+                order = np.lexsort((i, ~v, q))
                 q, v, i = q[order], v[order], i[order]
                 keep = np.arange(len(q)) - np.searchsorted(q, q) < k
                 held[n] = [q[keep], v[keep], i[keep]]
         for n, (q, v, i) in held.items():
             b = blocks[n]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (b.number[q], b.ids[q], i, v - TOP)], names=["q", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (b.number[q], b.ids[q], i, v)], names=["q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -156,7 +160,7 @@ def _search(block: list[tuple[int, list[int]]], candidates: DataFrame, k: int, d
         size = len(numbers)
         vecs = np.array([block[i][1] for i in numbers], np.int64).reshape(size, n)
         blocks[n] = Block(np.array([block[i][0] for i in numbers], np.int64), vecs, np.zeros(size, np.int64), np.full(size, k, np.int64), np.zeros(size, bool), np.array(numbers, np.int64))
-    shifts = [*range(_span(blocks, candidates) - digit, 0, -digit), 0]
+    shifts = [*range(_span(blocks, candidates) - digit, 0, -digit), 0]  # of signed numbers, so their order stays
     known = None
     for shift in shifts:
         shared = spark.sparkContext.broadcast(blocks)
@@ -183,12 +187,11 @@ def _search(block: list[tuple[int, list[int]]], candidates: DataFrame, k: int, d
 
 
 def _span(blocks: dict[int, Block], candidates: DataFrame) -> int:
-    """Binary digits below which offset scores may differ: the top digits of TOP - bound and TOP + bound agree above."""
+    """Binary digits below which scores may differ: above them there is the sign alone."""
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     most = candidates.agg(F.max(norm).alias("n")).first()["n"] or 0.0
     own = max((float((b.vecs.astype(float) ** 2).sum(axis=1).max(initial=0)) for b in blocks.values()), default=0.0)
-    bound = min(int((most * own) ** 0.5 * 1.001) + 2, TOP - 1)
-    return min(63, ((TOP - bound) ^ (TOP + bound)).bit_length())
+    return min(63, (int(min((most * own) ** 0.5 * 1.001, 2.0**63)) + 2).bit_length())
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 4096, digit: int = 12) -> DataFrame:
