@@ -1,33 +1,36 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
 Documents' tokens are cut into pieces of at most `limit`; whole ones fill sequences of their own. The other pieces are
-range-sorted by length, so that equal lengths are runs of the sorted order and a piece is known by its run and its rank
-within the run. A round takes the next run, the longest left. A sweep finds its successor among the sorted gaps: the
-smallest that holds it, then the next, until the run is used up; pieces and gaps of equal size are matched by rank, so
-no two claim one place; the gaps are updated, and what fits nowhere opens new sequences. This is best fit, decreasing,
-of all pieces at once: as equal pieces are interchangeable, a round is arithmetic on at most `limit` runs of gaps.
-The plan it leaves has a line for each (run of pieces, range of ranks); pieces find theirs by length and rank.
-
-The driver holds counts by length (at most `limit`), rows by partition, and the plan, none of which grows with the
-corpus but the rows by partition. Nothing is grouped by length, so a length that a third of all pieces share is a
-run like any other. Null texts are empty; an empty text is its closing id alone. Repeated rows are packed as rows of
-their own. Null ids sort first and come back as null. An empty table gives no rows; other columns are ignored.
+range-sorted by length. Equal pieces are interchangeable, and so are equal gaps, so both are held as runs: a piece is
+known by its length and its rank within it, a run of gaps by its first sequence and their number.
+
+As many sequences are opened as the tokens need at least. Windows of lengths, the longest first, are then matched in
+rounds. A round is a job over the range-sorted runs of gaps and of the window's pieces: every partition sweeps its
+range from large to small and gives each piece its successor, the smallest gap left that holds it; pieces that want one
+gap are in conflict, which goes by rank: the longer first, then the lower rank. As many equal pieces as a gap holds stay
+together. The gaps are updated, and the next round begins. Where nothing moved, ranges are widened up to one, and then
+the next window follows; what no gap holds in the end opens further sequences.
+
+The driver holds counts by length (at most `limit`), rows by partition, and the plan's lines, none of which grows with
+the corpus but the rows by partition; the pieces find their line by length and rank. Nothing is grouped by length, so a
+length that a third of all pieces share is a run like any other. Null texts are empty; an empty text is its closing id
+alone. Repeated rows are packed as rows of their own. Null ids sort first and come back as null. An empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from compval.llm import bpe
-from compval.llm.common import documents, id_out, slices, written
+from compval.llm.common import documents, dropped, rows_out, slices, written
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -51,52 +54,96 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, closing: int = 0)
     return documents(docs).mapInArrow(run, PIECES_DDL)
 
 
-def best_fit(counts: dict[int, int], limit: int = 2048) -> list[tuple[int, int, int, int, int]]:
-    """The plan for `counts` pieces by length: (length, first rank, number, first sequence, offset). Pieces first rank,
-    first rank + 1, ... stand at `offset` of sequences first sequence, first sequence + 1, ..."""
-    plan, opened = [], 0
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, number) of sequences that leave it
-    sizes: list[int] = []  # gaps in order
-
-    def leave(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            heapq.heappush(gaps[gap], (first, number))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-
-        def fill(gap: int, first: int, number: int) -> None:
-            """As many pieces as fit one after the other into each of `number` sequences, full ones first."""
-            nonlocal left, rank
-            each = gap // length
-            whole = min(number, left // each)
-            for i in range(each if whole else 0):
-                plan.append((length, rank, whole, first, limit - gap + i * length))
-                rank += whole
-            left -= each * whole
-            leave(gap - each * length, first, whole)
-            if whole < number and left:
-                for i in range(left):
-                    plan.append((length, rank, 1, first + whole, limit - gap + i * length))
-                    rank += 1
-                leave(gap - left * length, first + whole, 1)
-                whole, left = whole + 1, 0
-            leave(gap, first + whole, number - whole)
-
-        while left and (at := bisect_left(sizes, length)) < len(sizes):
-            gap = sizes.pop(at)
-            for first, number in sorted(gaps.pop(gap)):
-                if left:
-                    fill(gap, first, number)
-                else:
-                    leave(gap, first, number)
-        if left:
-            number = -(-left // (limit // length))
-            first, opened = opened, opened + number
-            fill(limit, first, number)
+#: Runs of a round: gaps (size, first sequence, number), pieces (length, first rank, number), and lines of the plan
+#: (length, first rank, number, first sequence, offset): pieces of these ranks stand there in sequences one after the other.
+GAP, PIECE, LINE = 0, 1, 2
+RUNS = pa.schema([("kind", pa.int32()), ("size", pa.int64()), ("first", pa.int64()), ("number", pa.int64()), ("sequence", pa.int64()), ("offset", pa.int64())])
+RUNS_DDL = "kind int, size long, first long, number long, sequence long, offset long"
+
+
+def sweep(runs: Iterator[tuple[int, int, int, int]], limit: int) -> Iterator[tuple[int, ...]]:
+    """Over runs (kind, size, first, number) from large to small, gaps before pieces of their size: lines of the plan, and
+    the runs that are left."""
+    gaps: list[list[int]] = []  # those met, the smallest last
+    for kind, size, first, number in runs:
+        if kind == GAP:
+            gaps.append([size, first, number])
+            continue
+        while number and gaps:
+            gap, sequence, held = gaps[-1]
+            each = min(gap // size, number)
+            whole = min(held, number // each)
+            for i in range(each):
+                yield LINE, size, first, whole, sequence, limit - gap + i * size
+                first += whole
+            number -= each * whole
+            if gap > each * size:
+                yield GAP, gap - each * size, sequence, whole, 0, 0
+            if whole == held:
+                gaps.pop()
+            else:
+                gaps[-1][1:] = sequence + whole, held - whole
+        if number:
+            yield PIECE, size, first, number, 0, 0
+    for gap, sequence, held in gaps:
+        yield GAP, gap, sequence, held, 0, 0
+
+
+def _round(runs: DataFrame, parts: int, limit: int) -> DataFrame:
+    """One sweep over each of `parts` ranges of sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield rows_out(RUNS, list(sweep(rows, limit)))
+
+    order = [F.desc("size"), F.asc("kind"), F.asc("first")]
+    ranged = runs.coalesce(1) if parts == 1 else runs.repartitionByRange(parts, F.desc("size"))
+    return ranged.sortWithinPartitions(*order).select("kind", "size", "first", "number").mapInArrow(run, RUNS_DDL)
+
+
+def best_fit(spark: SparkSession, counts: dict[int, int], limit: int = 2048, windows: int = 32, runs_a_task: int = 1 << 13) -> list[tuple[int, int, int, int, int]]:
+    """The plan for `counts` pieces by length: lines (length, first rank, number, first sequence, offset)."""
+    counts = {n: c for n, c in counts.items() if c}
+    tokens, over_half = sum(n * c for n, c in counts.items()), sum(c for n, c in counts.items() if 2 * n > limit)
+    opened = max(-(-tokens // limit), over_half)
+    plan = [(limit, 0, counts[limit], 0, 0)] if counts.get(limit) else []
+    done = counts.pop(limit, 0)
+    rows = [(GAP, limit, done, opened - done, 0, 0)] if opened > done else []
+    # Windows of about equal numbers of pieces; the first is of those that no two of fit one sequence.
+    small, at = sum(c for n, c in counts.items() if 2 * n <= limit), 0
+    window: dict[int, list[tuple]] = {}
+    for n in sorted(counts, reverse=True):
+        number = -1 if 2 * n > limit else windows * at // small
+        at += counts[n] if 2 * n <= limit else 0
+        window.setdefault(number, []).append((PIECE, n, 0, counts[n], 0, 0))
+    todo = [window[k] for k in sorted(window)]
+    rounds: list[DataFrame] = []
+    state, size, left = None, 0, 0  # the runs after the last round, about their number, and the tokens of pieces among them
+    while todo or left:
+        if todo:
+            rows += todo.pop(0)
+        else:  # no gap holds what is left
+            more = -(-left // limit)
+            rows.append((GAP, limit, opened, more, 0, 0))
+            opened += more
+        runs, parts = spark.createDataFrame(pa.Table.from_batches([rows_out(RUNS, rows)])), max(1, -(-(size + len(rows)) // runs_a_task))
+        if state is not None:
+            runs = state.unionByName(runs)
+        rows = []
+        while True:
+            seen = Observation()
+            kinds = {k: F.sum(F.when(F.col("kind") == k, x).otherwise(0)).alias(f"k{k}") for k, x in ((LINE, F.lit(1)), (PIECE, F.col("size") * F.col("number")))}
+            rounds.append(written(_round(runs, parts, limit).observe(seen, F.count("*").alias("n"), *kinds.values()), "round"))
+            moved, left, size = (seen.get[x] or 0 for x in (f"k{LINE}", f"k{PIECE}", "n"))
+            state = runs = rounds[-1].where(F.col("kind") != LINE)
+            if not left or (not moved and parts == 1):
+                break
+            if not moved:
+                parts = max(1, parts // 4)
+    if rounds:
+        every = reduce(DataFrame.unionByName, rounds).where(F.col("kind") == LINE)
+        plan += [tuple(r) for r in every.select("size", "first", "number", "sequence", "offset").collect()]
+        dropped(spark, every)
     return plan
 
 
@@ -118,7 +165,7 @@ def packed(parts: DataFrame, limit: int = 2048) -> DataFrame:
     for n in sorted(counts, reverse=True):
         first[n], at = at, at + counts[n]
     plan: dict[int, list] = {}
-    for line in best_fit(counts, limit):
+    for line in best_fit(spark, counts, limit):
         plan.setdefault(line[0], []).append(line[1:])
     tables = {n: np.array(sorted(lines), np.int64) for n, lines in plan.items()}
     shared = spark.sparkContext.broadcast((before, first, tables))
@@ -141,5 +188,4 @@ def packed(parts: DataFrame, limit: int = 2048) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, closing: int = 0) -> DataFrame:
-    out = packed(pieces(docs, tokenizer, limit, closing), limit)
-    return out.select(id_out(), *out.columns[1:])
+    return packed(pieces(docs, tokenizer, limit, closing), limit)
