@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import documents, id_out, key, map_text, rows_out, slices, spare, written
+from compval.llm.common import documents, map_text, rows_out, slices, spare, text_hash, written
 
 LENGTH, GRAM, STEP = 100, 32, 8
 #: Suffixes of a run: as many as an anchor has places before it.
@@ -126,28 +126,64 @@ def _parts(docs: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 RUNS = pa.schema([("anchor", pa.int64()), ("text", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
-#: place holds the first suffix above 14 bits, its distance from the anchor above 7, and the number of suffixes.
+#: place holds the first suffix above 14 bits, its distance from the anchor above 7, and the number of suffixes; that of
+#: a mark (text 0) holds the first suffix above 32 bits and the number.
 RUNS_DDL = "anchor long, text long, doc_id long, place long"
+#: Runs that a task holds before it passes them on.
+HELD = 1 << 20
+
+
+def _unrepeated(doc: np.ndarray, place: np.ndarray, h: np.ndarray, whole: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of equal runs the first, and marks (doc, first, n) of the others; the same place read twice is no repeat."""
+    order = np.lexsort((place, doc, whole, h))
+    doc, place, h, whole = doc[order], place[order], h[order], whole[order]
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (whole[1:] == whole[:-1])
+    twice = np.zeros(len(h), bool)
+    twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    head = np.flatnonzero(~same)
+    model = np.repeat(head, np.diff(np.append(head, len(h))))
+    again = same & ~twice & ((doc != doc[model]) | (place != place[model]))
+    return tuple(x[head] for x in (doc, place, h, whole)), (doc[again], place[again] >> 14, place[again] & 127)
+
+
+def _merged(doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Marks of one document that meet or overlap as one."""
+    if not len(doc):
+        return doc, first, n
+    order = np.lexsort((first, doc))
+    doc, first, end = doc[order], first[order], (first + n)[order]
+    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    reach = np.maximum.accumulate(end + (number << 33)) - (number << 33)  # the furthest end so far within the document
+    head = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (first[1:] > reach[:-1])]))
+    last = np.append(head[1:], len(doc)) - 1
+    return doc[head], first[head], reach[last] - first[head]
 
 
 def bucket_runs(docs: DataFrame) -> DataFrame:
-    """Runs by anchor; of equal ones that meet in a batch the first, while the others leave as marks (text 0)."""
+    """Runs by anchor; of equal ones that meet in a task the first, while the others leave as marks (text 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, marked, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            (doc, place, h, whole), found = _unrepeated(*(np.concatenate(x) for x in zip(*runs)))
+            d, first, n = _merged(*(np.concatenate(x) for x in zip(*marked, found)))
+            deal = d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # marks are dealt by document
+            cols = ((h, deal), (whole, np.zeros(len(d), np.uint64)), (doc, d), (place, (first << 32) | n))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x.view(np.int64), y.view(np.int64)])) for x, y in cols], schema=RUNS)
+
         for b in slices(batches):
-            found = list(_parts([(d, t.encode()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]))
-            if not found:
-                continue
-            doc, first, n, back, h, whole = (np.concatenate(x) for x in zip(*found))
-            place = (first << 14) | (back << 7) | n
-            order = np.lexsort((first, doc, whole, h))
-            doc, place, h, whole = doc[order], place[order], h[order], whole[order] | np.uint64(1)
-            again = np.zeros(len(h), bool)
-            again[1:] = (h[1:] == h[:-1]) & (whole[1:] == whole[:-1])
-            again &= np.concatenate([[False], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]) if len(h) else again
-            whole[again] = 0
-            h[again] = doc[again].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # marks are dealt by document
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(place)], schema=RUNS)
+            for doc, first, n, back, h, whole in _parts([(d, t.encode()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]):
+                kept, found = _unrepeated(doc, (first << 14) | (back << 7) | n, h, whole | np.uint64(1))
+                runs.append(kept)
+                marked.append(_merged(*found))
+                size += len(kept[0]) + len(marked[-1][0])
+                if size > HELD:
+                    yield out()
+                    runs, marked, size = [], [], 0
+        if runs:
+            yield out()
 
     return docs.mapInArrow(run, RUNS_DDL)
 
@@ -198,7 +234,8 @@ def settle_runs(runs: DataFrame) -> DataFrame:
             last = (int(anchor[-1]), int(text[-1]), int(doc[-1]), int(place[-1]))
             out = np.flatnonzero(keep | mark | repeat)
             kind = np.where(keep[out], text[out], 0)
-            cols = [np.concatenate([x, np.array([f[i] for f in out_first], np.int64)]) for i, x in enumerate((anchor[out], kind, doc[out], place[out]))]
+            where = np.where(repeat[out], (place[out] >> 14 << 32) | (place[out] & 127), place[out])
+            cols = [np.concatenate([x, np.array([f[i] for f in out_first], np.int64)]) for i, x in enumerate((anchor[out], kind, doc[out], where))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=RUNS)
 
     return runs.repartition("anchor").sortWithinPartitions("anchor", "text", "doc_id", "place").mapInArrow(run, RUNS_DDL)
@@ -321,7 +358,7 @@ def _spread(large: DataFrame) -> DataFrame:
 def marks(docs: DataFrame, most: int = 4000) -> DataFrame:
     """Runs of suffixes that also start earlier, of rows of documents(): (doc_id, first, n)."""
     settled = written(settle_runs(bucket_runs(docs)), "runs")
-    whole = settled.where("text = 0").select("doc_id", F.shiftright("place", 14).alias("first"), F.col("place").bitwiseAND(127).alias("n"))
+    whole = settled.where("text = 0").select("doc_id", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND((1 << 32) - 1).alias("n"))
     several = settled.where("text <> 0").select("anchor", "doc_id", "place")
     large = written(several.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > most), "large")
     held = contexts(docs, several)
@@ -345,12 +382,24 @@ def spans_of(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name`, a long in the order of documents: doc_id where that is unique and never null."""
+    own = F.col("doc_id").cast("long")
+    ids = docs.select(own.alias("doc_id"), text_hash().alias("h"))
+    if ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(name, own)
+    order = written(ids.distinct().repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("number", F.monotonically_increasing_id()), "order")
+    order = order.select(F.col("doc_id").alias(f"{name}d"), F.col("h").alias(f"{name}h"), F.col("number").alias(name))
+    same = own.eqNullSafe(F.col(f"{name}d")) & (text_hash() == F.col(f"{name}h"))
+    return written(docs.join(order, same).select(*docs.columns, name), "numbered")
+
+
 def repeated_spans(docs: DataFrame, most: int = 4000) -> DataFrame:
-    """doc_id, text and spans (start and end of the bytes to remove) of each row; doc_id is a key() for null."""
-    rows = documents(docs)
-    found = written(marks(rows, most), "marks")
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
-    return rows.join(lists, "doc_id", "left")
+    """doc_id, text and marks (first suffix and number of suffixes) of each row."""
+    rows = numbered(documents(docs), "number")
+    found = written(marks(rows.select(F.col("number").alias("doc_id"), "text"), most), "marks")
+    lists = found.groupBy(F.col("doc_id").alias("number")).agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    return rows.join(lists, "number", "left").select("doc_id", "text", "marks")
 
 
 def deduplicate(docs: DataFrame, most: int = 4000) -> DataFrame:
@@ -371,8 +420,7 @@ def deduplicate(docs: DataFrame, most: int = 4000) -> DataFrame:
                 rows.append((doc, len(raw), sum(e - s for s, e in spans), len(spans), digest.hexdigest()))
             yield rows_out(schema, rows)
 
-    out = repeated_spans(docs, most).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(id_out(), *out.columns[1:])
+    return repeated_spans(docs, most).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_spans(text: str, marks: list[dict] | None) -> str:
@@ -393,7 +441,9 @@ def without_spans(text: str, marks: list[dict] | None) -> str:
 
 def deduplicated_text(docs: DataFrame, most: int = 4000) -> DataFrame:
     """docs, all columns, each text without its repeated spans."""
-    found = written(marks(documents(docs), most), "marks")
     at, held = spare(docs, "_key"), spare(docs, "_marks")
+    rows = numbered(docs, at)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    found = written(marks(rows.select(F.col(at).alias("doc_id"), text), most), "marks")
     lists = found.groupBy(F.col("doc_id").alias(at)).agg(F.collect_list(F.struct("first", "n")).alias(held))
-    return map_text(docs.withColumn(at, key()).join(lists, at, "left").drop(at), without_spans, held)
+    return map_text(rows.join(lists, at, "left").drop(at), without_spans, held)
