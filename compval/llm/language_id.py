@@ -5,10 +5,11 @@ its log frequency in each language. An unseen word falls back to its longest n-g
 log frequency of those that are known, or of the next shorter ones if none is, down to single characters. A text's
 language has the highest sum; the score is its share after a softmax of the mean over words, times up to `trust` words.
 
-Fitting takes at most about `per_language` texts of each language, dealt by a hash of the id (null: of the text), and keeps at most
-`most_words` words and `most_grams` n-grams, the commonest; prediction takes every text, whole. Null texts and texts
+Fitting takes about `per_language` texts of each language at most, dealt by a hash of the id (null: of the text), and
+every word and n-gram that occurs `least` times in them; prediction takes every text, whole. Null texts and texts
 without a letter are `und` with score 0. Ties go to the first language by name. Rows with a null lang teach nothing; a
-model without any language answers `und`. Repeated rows give repeated results, other columns are ignored.
+model without any language answers `und`. Repeated rows give repeated results, null ids come back as null, other columns
+are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,17 +17,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import id_out, rows_out, slices
+from compval.llm.common import rows_out, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
+#: Unseen words that are kept at once, and the longest of them.
+SEEN, LONGEST_SEEN = 200_000, 40
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -34,40 +37,59 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class _Numbers(dict):
+    """The row of each word in the model's table; an unseen word gets one when it is first asked for."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__(model.words)
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        m = self.model
+        row = m.used
+        if row == len(m.table):
+            m.table = np.concatenate([m.table, np.zeros((max(1024, len(m.table) // 4), len(m.languages)))])
+        m.table[row] = m.backoff(word)
+        m.used += 1
+        if len(word) <= LONGEST_SEEN:
+            self[word] = row
+        return row
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: of words, and of n-grams by their length."""
+    """Log frequencies by language: a row a word, and a table of n-grams for each of their lengths."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    table: np.ndarray
     grams: list[dict[str, tuple[float, ...]]]
     trust: int = 20
-    seen: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
-    def word(self, word: str) -> tuple[float, ...]:
-        if (known := self.words.get(word) or self.seen.get(word)) is not None:
-            return known
-        out = (0.0,) * len(self.languages)
+    def __post_init__(self) -> None:
+        self.table = np.asarray(self.table, float).reshape(len(self.words), len(self.languages))
+        self.used, self.numbers = len(self.table), None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": self.table[: len(self.words)], "used": len(self.words), "numbers": None}
+
+    def backoff(self, word: str) -> tuple[float, ...]:
         for n in range(len(self.grams), 0, -1):
-            table = self.grams[n - 1]
-            found = [x for g in grams(word, n) if (x := table.get(g)) is not None]
+            found = [x for g in grams(word, n) if (x := self.grams[n - 1].get(g)) is not None]
             if found:
-                out = tuple(sum(c) / len(found) for c in zip(*found))
-                break
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        if len(word) <= 40:
-            self.seen[word] = out
-        return out
+                return tuple(sum(c) / len(found) for c in zip(*found))
+        return (0.0,) * len(self.languages)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
         if not counts or not self.languages or not any(c.isalpha() for w in counts for c in w):
             return UND, 0.0
-        total = np.array(list(map(self.word, counts))).T @ np.fromiter(counts.values(), float, len(counts))
+        if self.numbers is None or self.used > len(self.words) + SEEN:
+            self.used, self.numbers = len(self.words), _Numbers(self)
+        rows = np.fromiter(map(self.numbers.__getitem__, counts), np.int64, len(counts))
+        total = np.fromiter(counts.values(), float, len(counts)) @ self.table[rows]
         n = sum(counts.values())
-        mean = (total - total.max()) / n * min(n, self.trust)
-        share = np.exp(mean)
+        share = np.exp((total - total.max()) / n * min(n, self.trust))
         best = int(total.argmax())
         return self.languages[best], float(share[best] / share.sum())
 
@@ -105,52 +127,33 @@ def _counted(docs: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
     return by_word, by_gram
 
 
-def _commonest(counts: DataFrame, name: str, most: int, least: int) -> dict[str, dict[str, int]]:
-    """name -> {lang: n} for at most `most` names that occur at least `least` times, the commonest; whole classes of
-    equally common names, so that no tie is cut."""
+def _frequent(counts: DataFrame, name: str, least: int) -> dict[str, dict[str, int]]:
+    """name -> {lang: n} of the names that occur at least `least` times. The sample that was counted bounds them."""
     total = counts.groupBy(name).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    total = total.where(F.col("total") >= least).persist()
-    try:
-        held, floor = 0, None
-        sizes = total.select(F.least("total", F.lit(100_000)).alias("t")).groupBy("t").count()
-        for t, n in sorted(map(tuple, sizes.collect()), reverse=True):
-            if held + n > most and floor is not None:
-                break
-            held, floor = held + n, t
-            if held > most:
-                break
-        if floor is None:
-            return {}
-        rows = total.where(F.col("total") >= floor).orderBy(F.desc("total"), name).limit(2 * most).collect()
-        return {r[name]: r["by"] for r in rows}
-    finally:
-        total.unpersist()
+    return {r[name]: r["by"] for r in total.where(F.col("total") >= least).select(name, "by").toLocalIterator()}
 
 
-def fit(docs: DataFrame, per_language: int = 3000, most_words: int = 60_000, most_grams: int = 60_000, longest: int = 4, smooth: float = 0.5) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 3000, longest: int = 4, smooth: float = 0.5, least: int = 2) -> LanguageModel:
     """A model of the labelled rows of docs (doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(counts)
-    if not languages:
-        return LanguageModel([], {}, [])
-    share = F.pmod(F.xxhash64(F.coalesce("doc_id", "text")), F.lit(1_000_000))  # null ids are dealt by text
-    take = F.coalesce(*[F.when(F.col("lang") == k, share < int(1_000_000 * min(1.0, per_language / n)) + 1) for k, n in counts.items()])
-    by_word, by_gram = _counted(rows.where(take), longest)
+    sizes = rows.groupBy("lang").count()
+    dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", "text")), F.lit(1 << 52)) / float(1 << 52)  # null ids are dealt by text
+    by_word, by_gram = _counted(rows.join(sizes, "lang").where(dealt < per_language / F.col("count")), longest)
     by_word, by_gram = by_word.persist(), by_gram.persist()
     try:
         totals = {r["lang"]: r["n"] for r in by_word.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        logs = lambda found, total, kinds: {k: tuple(float(np.log((by.get(g, 0) + smooth) / (total.get(g, 0) + smooth * kinds))) for g in languages) for k, by in found.items()}
-        words = logs(_commonest(by_word, "word", most_words, 2), totals, most_words)
-        found = _commonest(by_gram, "gram", most_grams, 2)
+        languages = sorted({r["lang"] for r in sizes.collect()})
+        logs = lambda found, total: {k: tuple(float(np.log((by.get(g, 0) + smooth) / (total.get(g, 0) + smooth * len(found)))) for g in languages) for k, by in found.items()}
+        words = logs(_frequent(by_word, "word", least), totals)
+        found = _frequent(by_gram, "gram", least)
         tables = []
         for n in range(1, longest + 1):
             own = {k: v for k, v in found.items() if len(k) == n}
             sums = Counter()
             for by in own.values():
                 sums.update(by)
-            tables.append(logs(own, sums, len(own)))
-        return LanguageModel(languages, words, tables)
+            tables.append(logs(own, sums))
+        return LanguageModel(languages, {w: i for i, w in enumerate(words)}, np.array(list(words.values())), tables)
     finally:
         by_word.unpersist()
         by_gram.unpersist()
