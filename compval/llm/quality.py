@@ -1,17 +1,20 @@
 """Quality by importance resampling over hashed n-grams.
 
 Two generative models are counted over hashed uni- and bigrams of words and punctuation runs: of target texts (labelled
-good) and of raw texts (all of them). A text's importance is the ratio of its probabilities under the two; `log_ratio`
-is its logarithm over the number of n-grams (and PRIOR more), `log_weight` the whole logarithm. Which ratio still counts as good is
-learnt from labelled rows: the threshold parts good from bad best among those that keep at least `keep_good` of the
-good. The keys (log_ratio - threshold) / temperature plus Gumbel noise by id are then drawn: Gumbel top-k, with k as the
-number of texts at or above the threshold. The kth key is located by histograms of its digits, never by a global sort.
+good) and of raw texts (all of them). A text's importance is the ratio of its probabilities under the two; log_weight is
+its logarithm. Resampling adds Gumbel noise, by a hash of the id, to log_weight and draws the k highest keys: a sample
+without replacement in proportion to importance. The kth key is located by histograms of its digits, never by a global
+sort. k is a parameter; unless given it is the number of texts that the classifier keeps.
 
-Raw counts cover every text. Labelled rows, for target and threshold, are at most about `per_class` of each class, dealt
+The classifier reads the same ratio, made comparable between lengths: log_ratio is log_weight over the number of n-grams
+(and PRIOR more). Which log_ratio still counts as good is learnt from labelled rows: the threshold parts good from bad
+best among those that keep at least `keep_good` of the good. `keep` is whether a text reaches it; no noise is in that.
+
+Raw counts cover every text. Labelled rows, for target and threshold, are about `per_class` of each class at most, dealt
 by a hash of the id, so the ids that are broadcast have that bound. Counts are `buckets` numbers a task. Null texts are
-empty; an empty text has log_ratio 0. Without labelled rows of both classes there is no threshold and everything is
-kept. Repeated rows get equal keys, and at the kth value all ties are kept. Null ids come back as null; other columns
-are ignored. An empty table gives no rows.
+empty; an empty text has log_weight 0. Without labelled rows of both classes there is no threshold and everything is
+kept. Repeated rows get equal keys, and at the kth value all ties are drawn. Null ids come back as null, and their noise
+goes by the text; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import documents, id_out, slices, written
+from compval.llm.common import documents, slices, text_hash, written
 
 _rng = np.random.default_rng(5)
 _MIX = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -106,21 +109,20 @@ class Importance:
 
 
 def _chosen(labels: DataFrame, per_class: int) -> dict[int, bool]:
-    """About per_class ids of each class: good (quality 1, not toxic) and bad."""
+    """About per_class ids of each class, or all where there are fewer: good (quality 1, not toxic) and bad."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good"))
     counts = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    limit = {k: int(1_000_000 * min(1.0, per_class / n)) + 1 for k, n in counts.items()}
-    if len(limit) < 2:
+    if len(counts) < 2:
         return {}
-    return {r["doc_id"]: r["good"] for r in rows.where(F.when(F.col("good"), share < limit[True]).otherwise(share < limit[False])).collect()}
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    return {r["doc_id"]: r["good"] for r in rows.where(dealt < F.when(F.col("good"), per_class / counts[True]).otherwise(per_class / counts[False])).distinct().collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, buckets: int = 1 << 14, smooth: float = 1.0, keep_good: float = 0.999) -> tuple[Importance, DataFrame]:
-    """The model, and the written scores (doc_id, log_weight, number) of every text under it."""
+    """The model, and the written scores (doc_id, h, log_weight, number) of every text under it; h is a hash of the text."""
     spark = docs.sparkSession
-    rows = documents(docs)
+    rows = documents(docs, text_hash().alias("h"))
     chosen = _chosen(labels, per_class)
     held = spark.sparkContext.broadcast(chosen)
 
@@ -149,12 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, buckets: int
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             weight, number = shared.value.score(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight), pa.array(number)], names=["doc_id", "log_weight", "number"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(weight), pa.array(number)], names=["doc_id", "h", "log_weight", "number"])
 
-    scored = written(rows.mapInArrow(score, "doc_id long, log_weight double, number long"), "scores")
+    scored = written(rows.mapInArrow(score, "doc_id long, h long, log_weight double, number long"), "scores")
     if chosen:
         ids = spark.createDataFrame([(k, v) for k, v in chosen.items()], "doc_id long, good boolean")
-        by_row = scored.join(F.broadcast(ids), "doc_id").withColumn("x", F.col("log_weight") / (F.col("number") + PRIOR))
+        by_row = scored.join(ids, "doc_id").withColumn("x", F.col("log_weight") / (F.col("number") + PRIOR))
         found = by_row.groupBy("doc_id", "good").agg(F.min("x").alias("x")).collect()  # one an id, as many as chosen
         model.threshold = threshold(np.array([r["x"] for r in found if r["good"]]), np.array([r["x"] for r in found if not r["good"]]), keep_good)
     return model, scored
@@ -202,19 +204,19 @@ def _unordered(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, x ^ np.int64(2**63 - 1), x).view(float)
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = 0.01, seed: int = 42, **options) -> DataFrame:
-    """doc_id (a key() for null), log_ratio, log_weight, key and keep for every text."""
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 42, **options) -> DataFrame:
+    """doc_id, h (a hash of the text), log_weight, log_ratio, keep (the classifier's decision), key and drawn (whether the
+    text is among the k drawn) for every text."""
     model, scored = fit(docs, labels, **options)
-    cut = model.threshold if np.isfinite(model.threshold) else -1e6
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", "h"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     rows = scored.withColumn("log_ratio", F.col("log_weight") / (F.col("number") + PRIOR))
-    rows = rows.withColumn("key", (F.col("log_ratio") - F.lit(cut)) / temperature - F.log(-F.log(uniform)))
-    k = rows.where(F.col("log_ratio") >= cut).count()
-    least = kth_largest(rows, "key", k) if k else None
-    keep = F.lit(False) if least is None else F.col("key") >= F.lit(least)
-    return rows.select("doc_id", "log_ratio", "log_weight", "key", keep.alias("keep"))
+    rows = rows.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
+    keep = F.col("log_ratio") >= F.lit(model.threshold) if np.isfinite(model.threshold) else F.lit(True)
+    size = rows.where(keep).count() if k is None else min(k, rows.count())
+    least = kth_largest(rows, "key", size) if size else None
+    drawn = F.lit(False) if least is None else F.col("key") >= F.lit(least)
+    return rows.select("doc_id", "h", "log_weight", "log_ratio", keep.alias("keep"), "key", drawn.alias("drawn"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    out = resample(docs, labels, **options)
-    return out.select(id_out(), *out.columns[1:])
+    return resample(docs, labels, **options).drop("h")
