@@ -9,9 +9,10 @@ documents. Any other value that looks random is live-looking, and its place is a
 patterns' own spans stay in either case.
 
 The owner is the `source` column and the repository the document, unless other columns are named. Null texts are empty,
-null owners are one owner. Repeated rows count as repositories of their own only if their ids differ. An empty table
-gives no rows; other columns are ignored. Counts go through partial sums, so a value in any share of all rows is no
-hot spot; what comes back to documents are rows of candidates only.
+null owners are one owner, and null ids one repository; null ids come back as null. Repeated rows count as repositories
+of their own only if their ids differ. An empty table gives no rows; other columns are ignored. Counts go through partial
+sums and verdicts are salted, so a value in any share of all rows is no hot spot; what comes back to documents are rows
+of candidates only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import id_out, key, slices, written
+from compval.llm.common import slices, text_hash, written
 
 KINDS = ("assign", "access", "hex", "live")
 #: Fixed patterns, with the least length of what is named.
@@ -39,6 +40,7 @@ DIGIT = re.compile(r"[0-9]")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: What a value that is not widely copied has at most.
 MOST_REPOS, MOST_OWNERS = 10, 1
+SALTS = 8
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -93,6 +95,7 @@ BASE = pa.schema(
     [
         ("doc_id", pa.int64()),
         ("row", pa.int64()),
+        ("h", pa.int64()),
         ("owner", pa.string()),
         ("repo", pa.string()),
         ("n_assign", pa.int64()),
@@ -103,7 +106,7 @@ BASE = pa.schema(
         ("found", pa.list_(pa.struct([("hash", pa.binary()), ("start", pa.int64()), ("end", pa.int64())]))),
     ]
 )
-BASE_DDL = "doc_id long, row long, owner string, repo string, n_assign long, n_access long, n_hex long, base string, digest binary, found array<struct<hash:binary,start:long,end:long>>"
+BASE_DDL = "doc_id long, row long, h long, owner string, repo string, n_assign long, n_access long, n_hex long, base string, digest binary, found array<struct<hash:binary,start:long,end:long>>"
 
 
 def hashed(text: str) -> bytes:
@@ -116,21 +119,22 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: list[list] = [[] for _ in range(6)]
-            for text in b.column(2).to_pylist():
+            for text in b.column(5).to_pylist():
                 spans = base_spans(text)
                 n = Counter(k for k, _, _ in spans)
                 found = [{"hash": hashed(v), "start": s, "end": e} for v, s, e in candidates(text, spans)]
                 for c, x in zip(out, (n["assign"], n["access"], n["hex"], joined(spans), hashed(text) if found else None, found)):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *(pa.array(c, BASE.field(i + 4).type) for i, c in enumerate(out))], schema=BASE)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(c, BASE.field(i + 5).type) for i, c in enumerate(out))], schema=BASE)
 
     null = F.lit(None).cast("string")
     rows = docs.select(
-        key().alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        text_hash().alias("h"),
         (F.col(owner).cast("string") if owner in docs.columns else null).alias("owner"),
         (F.col(repo).cast("string") if repo in docs.columns else null).alias("repo"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     return rows.mapInArrow(run, BASE_DDL)
 
@@ -153,7 +157,9 @@ def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", m
     one that has all its texts."""
     scanned = written(scan(docs, owner, repo), "secrets")
     places = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = places.join(ownership(scanned), "hash").withColumn("live", (F.col("repos") <= most_repos) & ((F.col("owners") <= most_owners) | (F.col("most_texts") == F.col("texts"))))
+    # A value in any share of all places is dealt to SALTS tasks, its verdict to each of them.
+    salted = ownership(scanned).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    judged = places.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"]).withColumn("live", (F.col("repos") <= most_repos) & ((F.col("owners") <= most_owners) | (F.col("most_texts") == F.col("texts"))))
     added = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("live"), F.struct("start", "end")))).alias("live"),
         F.count(F.when(~F.col("live"), True)).alias("n_copied"),
@@ -167,13 +173,13 @@ def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", m
     # Documents without candidates have nothing to join, so only those with some are shuffled.
     with_some = scanned.where(F.size("found") > 0).join(added, "row", "left").withColumn("spans", spans)
     without = scanned.where(F.size("found") == 0).withColumns({"live": F.array().cast("array<struct<start:long,end:long>>"), "n_copied": F.lit(0).cast("long"), "spans": F.col("base")})
-    keep = ["doc_id", "row", "n_assign", "n_access", "n_hex", "base", "live", "n_copied", "spans"]
+    keep = ["doc_id", "h", "row", "n_assign", "n_access", "n_hex", "base", "live", "n_copied", "spans"]
     return with_some.select(*keep).unionByName(without.select(*keep))
 
 
 def secret_digests(docs: DataFrame, **options) -> DataFrame:
     out = secret_spans(docs, **options)
-    return out.select(id_out(), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", F.size("live").cast("long").alias("n_live"), "n_copied")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", F.size("live").cast("long").alias("n_live"), "n_copied")
 
 
 MASK = {"assign": "<SECRET>", "access": "<ACCESS_KEY>", "hex": "<HEX>", "live": "<SECRET>"}
