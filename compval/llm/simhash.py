@@ -4,21 +4,26 @@ A fingerprint has a bit set where over half of a text's shingle hashes have it.
 differing bits share their values under at least one of 2^(radius+1) - 1 masks: each bit position has a non-zero vector
 over GF(2) of radius + 1 dimensions, and mask v keeps the positions whose vector has an odd inner product with v. The
 vectors of up to radius positions never span the space, so some v is orthogonal to all of them and keeps none of them.
+With `check`, texts must also lie within that many bits in a second fingerprint, made of the same shingles by other
+bits: at a wider radius that is what keeps unrelated texts apart, however many there are.
 
-Equal fingerprints are one node with the smallest id of its rows, so a group of copies is a single row from then on.
-Nodes meet in the buckets of their masked values. A bucket of at most `most` nodes is compared in one place, which
-emits a spanning forest of its links and not its pairs; a larger one is dealt again by masks over the bits that its own
-mask leaves free, until by the number of free bits alone no bucket can be larger. Components come from alternating
-large and small stars, each a partial minimum and a join that AQE can split.
+Equal fingerprints are one node, so a group of copies is a single row from then on. Nodes meet in the buckets of their
+masked values, which are read as a sorted stream after one shuffle. A bucket of at most `most` nodes is compared in one
+place, which emits a spanning forest of its links and not its pairs; a larger one is dealt again by masks over the bits
+that its own mask leaves free, until by the number of free bits alone no bucket can be large. Components come from
+alternating large and small stars, each a partial minimum and a join that AQE can split.
 
 Texts are lower-cased in A-Z and cut at ASCII white space. Null texts are empty; a text without words has fingerprint
-zero and links like any other. Rows that share an id are one document: they join their groups. Null ids sort first
-and come back as null; rows with a null id are one document if their texts are equal. An empty table gives no rows; other columns are ignored.
+zero and links like any other. Rows that share an id are one document: they join their groups. Rows with a null id are
+documents of their own if their texts differ; a group's component_id is its smallest id, and null only if none of its
+rows has one. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,42 +31,57 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from compval.llm.common import documents, dropped, id_out, rows_out, slices, written
+from compval.llm.common import documents, dropped, rows_out, slices, text_hash, written
 
 
 #: Levels of masks at most.
 LEVELS = 3
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
+
+
+def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
     w = text.encode().lower().split()
     if not w:
-        return 0
-    if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), seed)
+        return np.empty(0, np.uint64)
     line = b" ".join(w)
+    if len(w) <= words:
+        return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
     size = np.fromiter(map(len, w), np.int64, len(w))
     end = np.cumsum(size + 1) - 1
     start = end - size
     one = xxhash.xxh64_intdigest
-    n = len(w) - words + 1
-    hashes = np.array([one(line[a:b], seed) for a, b in zip(start[:n].tolist(), end[words - 1 :].tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
+    return np.array([one(line[a:b], seed) for a, b in zip(start[: len(w) - words + 1].tolist(), end[words - 1 :].tolist())], np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row. No shuffle."""
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    return _majority(shingle_hashes(text, words, seed))
+
+
+def _other_bits(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each shingle from its first."""
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, second: bool = False) -> DataFrame:
+    """doc_id, h (a hash of the text), fp (the fingerprint as a signed long) and, with `second`, fp2 of each row (0 without).
+    No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
         for b in slices(batches):
-            found = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], schema=schema)
+            hashes = [shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()]
+            fp = np.array([_majority(x) for x in hashes], np.uint64)
+            fp2 = np.array([_majority(_other_bits(x)) for x in hashes], np.uint64) if second else np.zeros(len(fp), np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64))], names=["doc_id", "h", "fp", "fp2"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    return documents(docs, text_hash().alias("h")).mapInArrow(run, "doc_id long, h long, fp long, fp2 long")
 
 
 def covering_masks(kept: int = 0, radius: int = 3, bits: int = 64) -> list[int]:
@@ -72,59 +92,103 @@ def covering_masks(kept: int = 0, radius: int = 3, bits: int = 64) -> list[int]:
     return [kept | sum(1 << bit for bit, x in vector.items() if (x & v).bit_count() & 1) for v in range(1, most + 1)]
 
 
-def forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def forest(nodes: np.ndarray, fps: np.ndarray, radius: int, checks: np.ndarray | None = None, check: int = 64) -> list[tuple[int, int]]:
     """(node, root) for a spanning forest of the links within a bucket; a root is its tree's smallest node."""
     order = np.argsort(nodes, kind="stable")
     nodes, fps = nodes[order], fps[order].view(np.uint64)
-    left = np.ones(len(nodes), bool)
-    out = []
-    for i in range(len(nodes)):
-        if not left[i]:
-            continue
-        left[i] = False
-        front = np.array([i])
-        while len(front):
-            near = np.zeros(len(nodes), bool)
-            rest = np.flatnonzero(left)
-            for f in front.tolist():
-                near[rest[np.bitwise_count(fps[rest] ^ fps[f]) <= radius]] = True
-            front = np.flatnonzero(near & left)
-            left[front] = False
-            out += [(int(nodes[j]), int(nodes[i])) for j in front]
-    return out
-
-
-def links(nodes: DataFrame, radius: int = 3, most: int = 2000) -> DataFrame:
-    """Distinct edges (src > dst) whose components are those of all links among the nodes (node, fp; fp distinct)."""
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    if checks is not None:
+        near &= np.bitwise_count(checks[order].view(np.uint64)[:, None] ^ checks[order].view(np.uint64)[None, :]) <= check
+    if not (near.sum(axis=1) > 1).any():
+        return []
+    root = np.arange(len(nodes))
+    while True:
+        low = np.where(near, root[None, :], len(nodes)).min(axis=1)
+        low = low[low]
+        if (low == root).all():
+            return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(root.tolist()) if i != r]
+        root = low
+
+
+def _buckets(radius: int, check: int | None, most: int):
+    """Over rows (mask, node, fp, fp2) in order of their buckets: (a, b, c, mask) with mask null for links a > b, and else
+    with the rows node, fp, fp2 of buckets of over `most` nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+        names = ["a", "b", "c", "mask"]
+        table = lambda a, b, c, mask: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c, mask)], names=names)
+        held = [np.empty(0, np.int64)] * 4
+        large: tuple[int, int] | None = None  # the bucket that is being passed on
+        for b in itertools.chain(batches, [None]):
+            mask, node, fp, fp2 = held = held if b is None else [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, b.columns)]
+            if not len(mask):
+                continue
+            k = fp & mask
+            head = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (k[1:] != k[:-1])]))
+            size = np.diff(np.append(head, len(mask)))
+            over = size > most
+            over[0] |= large == (int(mask[0]), int(k[0]))
+            large = (int(mask[-1]), int(k[-1])) if over[-1] else None
+            # The last bucket may go on; it waits unless it is known to be large.
+            wait = 0 if b is None or over[-1] else int(size[-1])
+            if over.any():
+                rows = np.flatnonzero(np.repeat(over, size))
+                yield table(node[rows], fp[rows], fp2[rows], mask[rows])
+            fine = ~over
+            fine[-1] &= wait == 0
+            two = head[fine & (size == 2)]
+            near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
+            if check is not None:
+                near &= np.bitwise_count((fp2[two] ^ fp2[two + 1]).view(np.uint64)) <= check
+            two = two[near]
+            src, dst = [np.maximum(node[two], node[two + 1])], [np.minimum(node[two], node[two + 1])]
+            for i in np.flatnonzero(fine & (size > 2)).tolist():
+                part = slice(head[i], head[i] + size[i])
+                tree = forest(node[part], fp[part], radius, None if check is None else fp2[part], check or 0)
+                if tree:
+                    src.append(np.array([x for x, _ in tree], np.int64))
+                    dst.append(np.array([y for _, y in tree], np.int64))
+            src, dst = np.concatenate(src), np.concatenate(dst)
+            if len(src):
+                yield table(src, dst, np.zeros(len(src), np.int64), pa.nulls(len(src), pa.int64()))
+            held = [x[len(x) - wait :] for x in held]
+
+    return run
+
+
+def _finer(rows: DataFrame, radius: int) -> DataFrame:
+    """Rows (mask, node, fp, fp2) once under each mask that keeps the bits of theirs and part of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for b in batches:
-            rows = []
-            for held in b.column(0):
-                v = held.values
-                rows += forest(v.field("node").to_numpy(), v.field("fp").to_numpy(), radius)
-            yield rows_out(schema, rows)
-
-    masks, found, level = [0], None, 0
-    todo = nodes.withColumn("t", F.lit(0))
-    while True:
-        level += 1
-        finer = [covering_masks(m, radius) for m in masks]
-        masks = [m for ms in finer for m in ms]
-        n = len(finer[0])
-        table = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
-        keyed = todo.select("node", "fp", F.explode(F.sequence(F.col("t") * n, F.col("t") * n + n - 1)).alias("t"))
-        keyed = keyed.withColumn("k", F.col("fp").bitwiseAND(table[F.col("t")]))
-        counts = written(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-        # A bucket of the last level has at most 2^7 values left, as each mask keeps over half of the bits still free.
-        large = counts.where(F.col("n") > most) if level < LEVELS else counts.limit(0)
-        small = keyed.join(counts.where(F.col("n") <= most) if level < LEVELS else counts, ["t", "k"]).groupBy("t", "k").agg(F.collect_list(F.struct("node", "fp")).alias("held"))
-        edges = small.select("held").mapInArrow(run, "src long, dst long")
-        edges = written(edges.where("src <> dst").distinct(), "edges")
-        found = edges if found is None else found.unionByName(edges)
-        if large.isEmpty():
-            return found if level == 1 else found.distinct()
-        todo = written(keyed.join(large, ["t", "k"]).select("node", "fp", "t"), "large")
+            mask, *rest = (c.to_numpy() for c in b.columns)
+            for m in np.unique(mask).tolist():
+                if m not in known:
+                    known[m] = np.array(covering_masks(m & (1 << 64) - 1, radius), np.uint64).view(np.int64)
+                at = np.flatnonzero(mask == m)
+                for i in range(0, len(at), 1 << 12):
+                    part, n = at[i : i + (1 << 12)], len(known[m])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(known[m], len(part))), *(pa.array(np.repeat(x[part], n)) for x in rest)], names=b.schema.names)
+
+    return rows.mapInArrow(run, "mask long, node long, fp long, fp2 long")
+
+
+def links(nodes: DataFrame, radius: int = 3, most: int = 2000, check: int | None = None) -> DataFrame:
+    """Distinct edges (src > dst) whose components are those of all links among the nodes (node, fp, fp2; distinct)."""
+    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in covering_masks(0, radius)))
+    keyed = nodes.select(F.explode(masks).alias("mask"), "node", "fp", "fp2")
+    bucket, found = [F.col("mask"), F.col("fp").bitwiseAND(F.col("mask"))], []
+    for level in range(1, LEVELS + 1):
+        # A bucket of the last level has at most 2^8 fingerprints, as each mask keeps about half of the bits still free.
+        run = _buckets(radius, check, most if level < LEVELS else 1 << 62)
+        dealt = written(keyed.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(run, "a long, b long, c long, mask long"), "links")
+        found.append(dealt.where("mask is null and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        large = dealt.where("mask is not null").select("mask", F.col("a").alias("node"), F.col("b").alias("fp"), F.col("c").alias("fp2")).distinct()
+        if level == LEVELS or large.isEmpty():
+            break
+        keyed = _finer(large, radius)
+    return written(reduce(DataFrame.unionByName, found).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,15 +210,28 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before = small, now
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 2000) -> DataFrame:
-    """doc_id (a key() for null), fp, and component_id: the smallest doc_id reachable by links."""
-    rows = written(fingerprints(docs, words, seed), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    root = components(links(nodes, radius, most))
-    named = nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 2000, check: int | None = None) -> DataFrame:
+    """doc_id, h (a hash of the text), fp, component_id (the smallest doc_id reachable by links) and first: whether the row
+    stands for its group, having its smallest id and, under one id or none, the least h."""
+    rows = written(fingerprints(docs, words, seed, check is not None), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    nodes = written(rows.groupBy("fp", "fp2").agg(F.min(place).alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = links(nodes, radius, most, check)
+    prints = F.struct("fp", "fp2")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(prints).alias("least"), F.max(prints).alias("most")).where("least <> most")
+    several = written(several.select("doc_id"), "several")
+    if not several.isEmpty():
+        own = rows.join(several, "doc_id").select("doc_id", "fp", "fp2").distinct().join(nodes.select("fp", "fp2", "node"), ["fp", "fp2"])
+        own = own.join(own.groupBy("doc_id").agg(F.min("node").alias("dst")), "doc_id").where("node <> dst")
+        edges = written(edges.unionByName(own.select(F.col("node").alias("src"), "dst")).distinct(), "edges")
+    root = components(edges)
+    placed = nodes.join(root, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("root"), "least")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "fp2", "first")
+    out = rows.join(named, ["fp", "fp2"])
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    return out.select("doc_id", "h", "fp", F.col("first.doc_id").alias("component_id"), first.alias("first"))
 
 
 def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
     out = near_duplicates(docs, **options)
-    return out.select(id_out(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), id_out("component_id"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
