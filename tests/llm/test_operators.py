@@ -61,7 +61,49 @@ def test_rows_with_a_null_id_are_documents_of_their_own(spark):
     assert [g for g, _ in gone[:4]] == [0] * 4 and (len(a), len(a)) in gone
     assert len(shared) <= max(g for g, n in gone if n > len(a) + 10) <= len(shared) + 2
     found = simhash.near_duplicates(table(spark, texts, ids)).collect()
-    assert len({r["component_id"] for r in found}) == len({r["fp"] for r in found}) == 5
+    assert [r["component_id"] for r in found].count(None) == 5 and len({r["fp"] for r in found}) == 5
+    assert sorted(r["h"] for r in found if r["first"]) == sorted(r["h"] for r in found if r["first"] or r["doc_id"] is None and texts.count(c) < 2)
+
+
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def test_ids_take_the_whole_range_of_a_long(spark):
+    rnd = random.Random(12)
+    say = lambda k: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(k))
+    shared = say(30)
+    texts = [f"{say(9)} {shared}", f"{say(9)} {shared}", say(20), say(30), f"{shared} token=abcdef0123456789"]
+    for ids in ([LEAST, MOST, 0, None, None], [MOST, LEAST, LEAST + 1, 5, -1]):
+        df = table(spark, texts, ids)
+        want = sorted(map(str, ids))
+        for rows in (
+            packing.pack(df, TOKENIZER),
+            bpe.encode_digests(df, TOKENIZER),
+            media.media_digests(df),
+            secret_scan.secret_digests(df),
+            simhash.near_duplicate_classes(df),
+            substring_dedup.deduplicate(df),
+            language_id.identify(df),
+            quality.quality(df, spark.createDataFrame([(LEAST, 1, 0), (MOST, 0, 0)], "doc_id long, quality int, toxic int")),
+        ):
+            found = rows.collect()
+            assert sorted(str(r["doc_id"]) for r in found) == want
+        rows = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in substring_dedup.deduplicate(df).collect()}
+        first = min((i is not None, i or 0) for i, t in zip(ids, texts) if shared in t)
+        for i, t in zip(ids, texts):
+            assert (rows[i, len(t)] >= len(shared)) == (shared in t and (i is not None, i or 0) != first)
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    rnd = random.Random(13)
+    say = lambda k: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(k))
+    a, b, c = say(40), say(40), say(40)
+    df = table(spark, [a, b, c, a, b], [7, 7, 3, 2, None])
+    rows = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substring_dedup.deduplicate(df).collect())
+    assert rows == sorted([(-1, 0), (2, 0), (3, 0), (7, len(a)), (7, len(b))])
+    # 7 is one document, so its two texts link 2 and the row without an id.
+    got = simhash.near_duplicate_classes(df).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("2", 2), ("3", 3), ("7", 2), ("7", 2), ("None", 2)]
 
 
 # ------------------------------------------------------------------ 1
@@ -89,10 +131,22 @@ def test_top_k(spark, block, digit):
 
 
 def test_top_k_large_components(spark):
-    rows = [(0, [1e9, 1e9]), (1, [1e9, 2e9]), (2, [-1e300, 1e300])]
+    # Beyond the range of a long scores are held at its ends; floor(1024 * x) likewise.
+    rows = [(0, [1e9, 1e9]), (1, [1e9, 2e9]), (2, [-1e300, 1e300]), (3, [-1e9, -1e9]), (4, [-1e300, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk_search.top_k(df, df.where("vec_id = 0"))
-    assert [r["vec_id"] for r in got.orderBy("rank").collect()] in ([1, 2], [2, 1])
+    got = [tuple(r) for r in topk_search.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, MOST), (0, 2, 2, -1_024_000_000_000), (0, 3, 3, LEAST), (0, 4, 4, LEAST)]
+
+
+def test_top_k_over_the_whole_range_of_a_long(spark):
+    unit = 2.0**20  # times 1024 is 2**30
+    rows = [(0, [unit, unit]), *[(i, [unit * x, unit * y]) for i, (x, y) in enumerate([(4.1, 3.9), (4.2, -0.1), (4.1, 3.2), (-3.9, -4.05), (-0.1, 0.1), (4.1, 3.2), (1.7, 1.6)], 1)]]
+    df = spark.createDataFrame(rows + rows[3:4], "vec_id long, embedding array<double>")  # one row twice
+    exact = [[math.floor(1024 * x) for x in v] for _, v in rows]
+    scored = sorted((-sum(a * b for a, b in zip(exact[0], exact[i])), i) for i in [*range(1, 8), 3])
+    assert scored[0][0] < -(2**62) * 1.9 and scored[-1][0] > 2**62
+    got = topk_search.top_k(df.withColumn("score", df.vec_id), df.where("vec_id = 0"), k=8, digit=9).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
 
 
 # ------------------------------------------------------------------ 2
@@ -137,26 +191,41 @@ def brute_best_fit(lengths, limit):
     return len(gaps)
 
 
-def test_best_fit_is_best_fit_decreasing():
-    rnd = random.Random(4)
-    for limit in (10, 37, 100):
-        for _ in range(40):
-            lengths = [min(limit, 1 + int(rnd.expovariate(4 / limit))) for _ in range(rnd.randint(0, 300))]
-            plan = packing.best_fit(dict(Counter(lengths)), limit)
-            held = defaultdict(list)
-            ranks = Counter()
-            for length, rank, number, first, offset in plan:
-                ranks[length] += number
-                for i in range(number):
-                    held[first + i].append((offset, length))
-            assert ranks == Counter(lengths)
-            assert all(sum(n for _, n in parts) <= limit for parts in held.values())
-            for parts in held.values():
-                at = 0
-                for offset, n in sorted(parts):
-                    assert offset == at
-                    at += n
-            assert len(held) == brute_best_fit(lengths, limit)
+@pytest.mark.parametrize("limit,size,task", [(10, 0, 1 << 13), (10, 1, 4), (37, 200, 8), (100, 400, 1 << 13), (100, 300, 16)])
+def test_best_fit_in_rounds(spark, limit, size, task):
+    rnd = random.Random(limit + size)
+    lengths = [min(limit, 1 + int(rnd.expovariate(4 / limit))) for _ in range(size)] + [3] * (size // 2)
+    plan = packing.best_fit(spark, dict(Counter(lengths)), limit, runs_a_task=task)
+    held, ranks = defaultdict(list), defaultdict(list)
+    for length, rank, number, first, offset in plan:
+        ranks[length] += range(rank, rank + number)
+        for i in range(number):
+            held[first + i].append((offset, length))
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in Counter(lengths).items()}
+    for parts in held.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= limit
+    assert len(held) <= brute_best_fit(lengths, limit) + 1
+
+
+def test_a_sweep_gives_each_piece_the_smallest_gap_that_holds_it():
+    runs = [(0, 9, 0, 2), (0, 7, 5, 1), (1, 6, 0, 2), (0, 5, 8, 3), (1, 5, 4, 1), (0, 2, 20, 1), (1, 2, 0, 3), (1, 1, 0, 1)]
+    out = sorted(packing.sweep(iter(runs), 10))
+    lines = [r[1:] for r in out if r[0] == packing.LINE]
+    assert lines == [(1, 0, 1, 10, 5), (2, 0, 1, 20, 8), (2, 1, 1, 9, 5), (2, 2, 1, 9, 7), (5, 4, 1, 8, 5), (6, 0, 1, 5, 3), (6, 1, 1, 0, 1)]
+    assert [r[1:4] for r in out if r[0] == packing.GAP] == [(1, 5, 1), (1, 9, 1), (3, 0, 1), (4, 10, 1), (9, 1, 1)]
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    texts = ["alpha beta " * 9, "alpha beta " * 9, None, "gamma", "gamma"]
+    rows = packing.pack(table(spark, texts, [None, None, 4, 4, 4]), TOKENIZER, limit=8).collect()
+    library = Tokenizer.from_file(TOKENIZER)
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in rows if r["piece"] == 0) == sorted((i or -1, min(8, len(library.encode(t or "", add_special_tokens=False).ids) + 1)) for i, t in zip([None, None, 4, 4, 4], texts))
+    places = [(r["sequence_id"], x) for r in rows for x in range(r["offset"], r["offset"] + r["length"])]
+    assert len(places) == len(set(places))
 
 
 # ------------------------------------------------------------------ 3
@@ -196,6 +265,15 @@ def test_substring_dedup(spark, seed, most):
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_a_long_text_of_few_letters_is_few_runs(spark):
+    for text in ("q" * 3_000_000, "ab " * 400_000):
+        rows = substring_dedup.bucket_runs(table(spark, [text]).selectExpr("doc_id", "text")).collect()
+        assert len(rows) < 200
+        (got,) = substring_dedup.deduplicate(table(spark, [text])).collect()
+        period = 1 if text[0] == "q" else 3
+        assert (got["n_removed"], got["n_spans"]) == (len(text) - period, 1)
+
+
 def test_substring_dedup_edges(spark, monkeypatch):
     assert substring_dedup.deduplicate(empty(spark)).count() == 0
     text = "".join(random.Random(9).choices("abcdefgh", k=500))
@@ -227,6 +305,52 @@ def test_language_id(spark):
     assert language_id.identify(empty(spark)).count() == 0
 
 
+def test_language_model_against_brute_force(spark):
+    rnd = random.Random(18)
+    rows = [(i, " ".join(rnd.choices(["ab", "ba", "Abba", "cd", "dc1x", "ccd"] if i % 2 else ["xy", "yx", "ab", "xxy"], k=12)), ["one", "two"][i % 2], "s", 0, 0) for i in range(40)]
+    texts = [r[1] for r in rows] + ["abx zzz cdc", "ab xy", "é", "xyxyxy " * 50, ""]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(df.unionByName(df.where("lang is null")))
+    langs, words = ["one", "two"], {"one": Counter(), "two": Counter()}
+    for r in rows:
+        words[r[2]].update(re.findall(r"[a-z]+", r[1].lower()))
+    total = words["one"] + words["two"]
+    known = [w for w in total if total[w] > 1]
+    parts = {n: {k: Counter() for k in langs} for n in range(1, 5)}
+    for k in langs:
+        for w, c in words[k].items():
+            for n in parts:
+                p = f" {w} " if n > 1 else w
+                for i in range(len(p) - n + 1):
+                    parts[n][k][p[i : i + n]] += c
+
+    def score(w, k):
+        if w in known:
+            return math.log((words[k][w] + 0.5) / (sum(words[k].values()) + 0.5 * len(known)))
+        for n in (4, 3, 2, 1):
+            both = parts[n]["one"] + parts[n]["two"]
+            own = [g for g in both if both[g] > 1]
+            p = f" {w} " if n > 1 else w
+            found = [p[i : i + n] for i in range(len(p) - n + 1) if p[i : i + n] in own]
+            if found:
+                size = sum(parts[n][k][g] for g in own)
+                return sum(math.log((parts[n][k][g] + 0.5) / (size + 0.5 * len(own))) for g in found) / len(found)
+        return 0.0
+
+    for t in texts:
+        seen = re.findall(r"[^\W\d_]+", t.lower())
+        sums = [sum(score(w, k) for w in seen) for k in langs]
+        if not seen:
+            assert model.predict(t) == ("und", 0.0)
+            continue
+        e = [math.exp((x - max(sums)) / len(seen) * min(len(seen), 20)) for x in sums]
+        best = sums.index(max(sums))  # ties go to the first by name
+        lang, share = model.predict(t)
+        assert lang == langs[best] and abs(share - e[best] / sum(e)) < 1e-9
+    out = language_id.predict(spark.createDataFrame([(1, "ab xy"), (1, "ab xy"), (None, "ab xy")], "doc_id long, text string"), model).collect()
+    assert len(out) == 3 and len({tuple(r)[1:] for r in out}) == 1
+
+
 # ------------------------------------------------------------------ 5
 def test_quality(spark):
     rnd = random.Random(6)
@@ -239,10 +363,51 @@ def test_quality(spark):
     keep = {r["doc_id"]: r["keep"] for r in out}
     assert len(out) == len(texts)
     assert all(keep[i] == (i % 4 > 0) for i in range(400))
+    drawn = sorted(out, key=lambda r: -r["key"])
+    assert [r["drawn"] for r in drawn] == [True] * sum(keep.values()) + [False] * (len(out) - sum(keep.values()))
+    assert sum(r["drawn"] for r in quality.quality(docs, labels, k=17).collect()) == 17
     assert quality.quality(empty(spark), labels).count() == 0
     assert all(r["keep"] for r in quality.quality(docs, labels.limit(0)).collect())
 
 
+def brute_grams(text):
+    words = re.findall(r"[0-9A-Za-z_\u0080-\uffff]+|[^0-9A-Za-z_\u0080-\uffff \t\n\r\x0b\x0c]+", text)
+    return words + [("same",) if a == b else (a, b) for a, b in zip(words, words[1:])]
+
+
+def test_log_weight_is_the_ratio_of_two_generative_models(spark):
+    rnd = random.Random(14)
+    texts = [" ".join(rnd.choices(["the", "a--b", "x1", "end.", "!!", "é"], k=rnd.choice([1, 5, 30]))) for _ in range(60)] + [None, "", texts_tie := "the end.", texts_tie]
+    ids = [*range(62), 62, 62]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(30)]
+    out = quality.resample(table(spark, texts, ids), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), buckets=1 << 16).collect()
+    good = {i for i, q, t in labels if q and not t}
+    raw, target = Counter(), Counter()
+    for i, t in zip(ids, texts):
+        raw.update(brute_grams(t or ""))
+        if i in good:
+            target.update(brute_grams(t or ""))
+    n, m, buckets = sum(raw.values()), sum(target.values()), 1 << 16
+    ratio = lambda g: math.log((target[g] + 1) / (m + buckets)) - math.log((raw[g] + 1) / (n + buckets))
+    want = {i: sum(map(ratio, brute_grams(t or ""))) for i, t in zip(ids, texts)}
+    assert all(abs(r["log_weight"] - want[r["doc_id"]]) < 1e-9 for r in out)
+    tied = [r for r in out if r["doc_id"] == 62]
+    assert len(tied) == 2 and len({(r["key"], r["drawn"], r["keep"]) for r in tied}) == 1
+    each = {r["doc_id"]: r["log_ratio"] for r in out}
+    marks = {i: q and not t for i, q, t in labels}
+    cut = quality.threshold(np.array([each[i] for i, g in marks.items() if g]), np.array([each[i] for i, g in marks.items() if not g]), 0.999)
+    assert all(r["keep"] == (r["log_ratio"] >= cut) for r in out)
+
+
+def test_drawing_is_in_proportion_to_importance(spark):
+    docs = table(spark, ["good"] * 2000 + ["bad"] * 2000)
+    labels = spark.createDataFrame([(i, int(i < 2000), 0) for i in range(0, 4000, 4)], "doc_id long, quality int, toxic int")
+    out = quality.quality(docs, labels, k=400).collect()
+    weight = {r["doc_id"] < 2000: math.exp(r["log_weight"]) for r in out}
+    share = sum(r["drawn"] and r["doc_id"] < 2000 for r in out) / sum(r["drawn"] for r in out)
+    assert abs(share - weight[True] / (weight[True] + weight[False])) < 0.08
+
+
 def test_kth_largest(spark):
     rnd = random.Random(3)
     values = [rnd.choice([rnd.gauss(0, 1), 0.0, -1.5, 1e9]) for _ in range(500)]
@@ -298,6 +463,44 @@ def test_secrets(spark):
     assert secret_scan.secret_digests(empty(spark)).count() == 0
 
 
+def brute_live(rows):
+    """(document, start, end) of live values: random-looking ones of at most ten documents, and of one owner or one that
+    has all their texts."""
+    held = []
+    for i, text, owner in rows:
+        spans = {(m.start(2), m.end(2)) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12}
+        spans |= {m.span() for m in re.finditer("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", text)}
+        spans |= {m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text) if not any(s < m.end() and m.start() < e for s, e in spans)}
+        for s, e in spans:
+            v = text[s:e]
+            entropy = -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values())
+            if re.search("[A-Za-z]", v) and re.search("[0-9]", v) and entropy > 2.5:
+                held.append((v, i, owner, text, s, e))
+    out = set()
+    for v, i, owner, text, s, e in held:
+        same = [x for x in held if x[0] == v]
+        texts = {x[3] for x in same}
+        whole = any({x[3] for x in same if x[2] == o} == texts for o in {x[2] for x in same})
+        if len({x[1] for x in same}) <= 10 and (len({x[2] for x in same}) == 1 or whole):
+            out.add((i, s, e))
+    return out
+
+
+def test_live_spans_against_brute_force(spark):
+    rnd = random.Random(15)
+    values = [f"{rnd.choice(['ghp_', 'AKIA', '', 'Zq'])}{rnd.getrandbits(100):025x}".upper() if rnd.random() < 0.4 else f"{rnd.getrandbits(120):030x}" for _ in range(25)] + ["q" * 30, "a1" * 12]
+    parts = ["see", "token = ", 'secret: "', "x", "é"]
+    rows = []
+    for i in range(160):
+        text = " ".join(rnd.choice(parts) + rnd.choice(values[: 5 if i % 3 else None]) for _ in range(rnd.randint(0, 4)))
+        rows.append((i, rows[-1][1] if rows and i % 9 == 0 else text, rnd.choice(["a", "b", None])))
+    df = spark.createDataFrame([(i, t, o, 1) for i, t, o in rows], "doc_id long, text string, source string, row int").repartition(3)
+    found = secret_scan.secret_spans(df).collect()
+    assert {(r["doc_id"], x["start"], x["end"]) for r in found for x in r["live"]} == brute_live([(i, t, o or "") for i, t, o in rows])
+    again = secret_scan.secret_spans(df.unionByName(df)).collect()  # repeated rows are no repositories of their own
+    assert sorted((r["doc_id"], r["spans"]) for r in again) == sorted((r["doc_id"], r["spans"]) for r in found for _ in "ab")
+
+
 def test_secrets_of_mirrors_and_mass_copies(spark):
     value = lambda i: f"Zq{random.Random(i).getrandbits(120):030x}Y"
     mirrored, mass, within, apart, part = map(value, range(5))
@@ -349,6 +552,30 @@ def test_bpe_of_every_plain_character_and_random_strings():
     assert bpe.encode(texts, TOKENIZER) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_whose_hashes_collide(spark):
+    library = Tokenizer.from_file(TOKENIZER)
+    word = lambda n, a, b: "".join(b if i.bit_count() & 1 else a for i in range(n))
+    texts = [f"{x} {y} {x}" for n in (1024, 4096) for x, y in [(word(n, "a", "b"), word(n, "b", "a"))]]
+    texts += [t.split()[1] for t in texts]
+    assert bpe.encode(texts, TOKENIZER) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    at, ends = np.array([0, 2, 4]), np.array([2, 4, 6])
+    words, inv = bpe._distinct(at, ends, np.zeros(3, np.uint64), np.array([ord(c) for c in "abcdab"], np.uint32))
+    assert [words[i] for i in inv] == ["ab", "cd", "ab"]
+    df = table(spark, texts)
+    check_packing(packing.pack(df, TOKENIZER).collect(), dict(enumerate(texts)), 2048)
+
+
+def test_bpe_of_very_long_texts(monkeypatch):
+    library = Tokenizer.from_file(TOKENIZER)
+    rnd = random.Random(16)
+    monkeypatch.setattr(bpe._cut, "__defaults__", (50,))
+    texts = ["".join(rnd.choices(["a", "é", " ", "  ", "<|endoftext|>", "it's", "\n", "Ω"], k=rnd.choice([3, 400]))) for _ in range(40)] + ["z" * 500]
+    assert bpe.encode(texts, TOKENIZER) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, (n, ids, text) in zip(texts, bpe.encoded(texts, TOKENIZER)):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert (n, ids.decode(), text.decode()) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
+
+
 # ------------------------------------------------------------------ 8
 def test_media(spark):
     df, texts = doc_table(spark)
@@ -359,9 +586,11 @@ def test_media(spark):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and (r["width"], r["height"]) == (64, len(payload) // 64)
-        data = media.to_png(payload)
-        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        eighths = [sum(x >> 5 == i for x in payload) for i in range(8)] if len(payload) < 5000 else np.bincount(np.frombuffer(payload, np.uint8) // 32, minlength=8).tolist()
+        assert r["feature"] == f"{sum(payload)}:" + ",".join(map(str, eighths))
     assert media.media_digests(empty(spark)).count() == 0
+    got = media.media_digests(table(spark, ["a", "a", None], [None, 3, 3])).collect()
+    assert len(got) == 3 and len({tuple(r)[1:] for r in got}) == 2 and sum(r["doc_id"] is None for r in got) == 1
 
 
 def test_shards_are_tar_files_with_each_content_once(spark, tmp_path):
@@ -376,6 +605,20 @@ def test_shards_are_tar_files_with_each_content_once(spark, tmp_path):
             payload = media.from_png(tar.extractfile(m).read())
             assert hashlib.sha256(payload).hexdigest() + ".png" == m.name
     assert {(r["digest"], r["offset"]) for r in rows} == {(m.name[:-4], m.offset_data) for m in members}
+    with open(rows[0]["shard"].removeprefix("file://"), "rb") as f:
+        shard = f.read()
+    for r, read in zip(sorted(rows, key=lambda r: r["doc_id"]), media.read_media(spark.createDataFrame(rows)).orderBy("doc_id").collect()):
+        data = shard[r["offset"] : r["offset"] + r["length"]]
+        assert (read["media_bytes"], read["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        # An image by its specification: chunks of length, kind, body and checksum; here one of zlib data, rows after a 0.
+        at, body = 8, b""
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 4])
+            assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n])
+            body += data[at + 8 : at + 8 + n] if data[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        lines = zlib.decompress(body)
+        assert hashlib.sha256(b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65))).hexdigest() == r["digest"]
 
 
 # ------------------------------------------------------------------ 9
@@ -413,6 +656,13 @@ def test_chat(spark):
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_of_repeated_rows_and_equal_turns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, "user", "a"), (LEAST, 0, "assistant", "x: y")]
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\na\nuser\na\nuser\nb\nassistant\n\n").hexdigest()
+    assert (got[1]["n_turns"], got[None]["n_turns"], got[LEAST]["loss_chars"]) == (4, 1, 4)
+
+
 # ------------------------------------------------------------------ 10
 def brute_fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
@@ -421,7 +671,7 @@ def brute_fingerprint(text):
     return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, radius=3, second=None, check=64):
     root = {d: d for d in fps}
 
     def find(d):
@@ -432,7 +682,7 @@ def brute_components(fps):
     ids = sorted(fps)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
+            if (fps[a] ^ fps[b]).bit_count() <= radius and (second is None or (second[a] ^ second[b]).bit_count() <= check):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: find(d) for d in ids}
@@ -445,7 +695,27 @@ def test_simhash(spark):
     assert by_id(simhash.near_duplicate_classes(df), "fingerprint", "component_id") == want
     assert simhash.near_duplicate_classes(empty(spark)).count() == 0
     got = simhash.near_duplicate_classes(table(spark, ["a b c d", "a b c d", "", None], [4, None, 7, 9])).collect()
-    assert {(r["doc_id"], r["component_id"]) for r in got} == {(4, None), (None, None), (7, 7), (9, 7)}
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(4, 4), (None, 4), (7, 7), (9, 7)}
+
+
+@pytest.mark.parametrize("radius,check", [(6, 20), (5, None)])
+def test_wider_radius_with_a_second_fingerprint(spark, radius, check):
+    rnd = random.Random(17)
+    base, other, fps = rnd.getrandbits(64), rnd.getrandbits(64), {}
+    for d in range(90):
+        x, y = base, other if d % 3 else rnd.getrandbits(64)
+        for i in rnd.sample(range(64), rnd.choice([2, 4, 6, 9])):
+            x, y = x ^ (1 << i), y ^ (1 << (63 - i))
+        fps[d] = (x, y)
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= radius and (check is None or (a[1] ^ b[1]).bit_count() <= check)
+    want = {d: d for d in fps}
+    for _ in fps:
+        want = {d: min(want[e] for e in fps if near(fps[d], fps[e])) for d in fps}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(d, signed(x), signed(y)) for d, (x, y) in fps.items()], "node long, fp long, fp2 long").repartition(3)
+    for most in (2000, 25):
+        root = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, radius, most, check)).collect()}
+        assert {d: root.get(d, d) for d in fps} == want
 
 
 def test_masks_cover_every_difference_within_the_radius():
@@ -472,7 +742,7 @@ def test_links_of_a_crowded_bucket(spark, most):
             fps[d] = x
     for d in range(200, 260):
         fps[d] = rnd.getrandbits(64)
-    nodes = spark.createDataFrame([(d, x - (1 << 64) if x >> 63 else x) for d, x in fps.items()], "node long, fp long")
+    nodes = spark.createDataFrame([(d, x - (1 << 64) if x >> 63 else x) for d, x in fps.items()], "node long, fp long").selectExpr("*", "0L AS fp2")
     root = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, most=most)).collect()}
     assert {d: root.get(d, d) for d in fps} == brute_components(fps)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from compval.llm import quality, queries, secret_scan
+from compval.llm import quality, queries, secret_scan, simhash
 from compval.llm.common import written
 from tests.llm.test_operators import brute_components, brute_fingerprint, brute_marks, check_packing
 
@@ -77,7 +77,8 @@ def test_stages_against_brute_force(spark, folder):
     assert get(frame) == (texts := {d: texts[d] for d in kept}) and not kept & junk
 
     frame = written(stages["near_dedup"](spark, frame, root), "t2")
-    root_of = brute_components({d: brute_fingerprint(t) for d, t in texts.items()})
+    second = {d: simhash._majority(simhash._other_bits(simhash.shingle_hashes(t))) for d, t in texts.items()}
+    root_of = brute_components({d: brute_fingerprint(t) for d, t in texts.items()}, corpus_pipeline.RADIUS, second, corpus_pipeline.CHECK)
     texts = {d: t for d, t in texts.items() if root_of[d] == d}
     assert get(frame) == texts
 
