@@ -1,28 +1,34 @@
 """From raw documents to packed training sequences, in five stages.
 
-quality          drops what importance resampling rejects
-near_dedup       keeps the smallest document of each group of near duplicates
+quality          drops what the importance ratio rejects
+near_dedup       keeps one document of each group of near duplicates
 substring_dedup  cuts strings of 100 bytes that also start earlier; documents of which nothing is left go
 secrets          masks the spans of secrets
 packing          tokens of the remaining documents in sequences
 
-Each stage reads what its predecessor wrote. All but the last return the columns of documents, n_chars up to date.
+Each stage reads what its predecessor wrote. All but the last return the columns of documents, n_chars up to date. Rows
+that share an id but not the text, or have a null id, are documents of their own; of rows equal in id and text
+near_dedup keeps one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from compval.llm import packing, quality, secret_scan, simhash, substring_dedup
-from compval.llm.common import key, map_text, read, spare, written
+from compval.llm.common import map_text, read, spare, text_hash, written
 from compval.llm.queries import TOKENIZER
 
+#: Near duplicates differ in at most RADIUS bits of a fingerprint and CHECK bits of a second one.
+RADIUS, CHECK = 6, 14
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids (a column doc_id, key() for null)."""
-    at = spare(docs, "_key")
-    return docs.withColumn(at, key()).join(ids.select(F.col("doc_id").alias(at)).distinct(), at, "left_semi").select(*docs.columns)
+
+def _joined(docs: DataFrame, found: DataFrame, how: str, *names: str) -> DataFrame:
+    """docs with `names` of the rows of found (doc_id, h) that are theirs by id and text."""
+    at, h = spare(docs, "_id"), spare(docs, "_hash")
+    right = found.select(F.col("doc_id").alias(at), F.col("h").alias(h), *names)
+    return docs.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (text_hash() == F.col(h)), how).drop(at, h)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -30,16 +36,18 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, quality.resample(docs, read(spark, sf_dir, "labels")).where("keep"))
+    return _joined(docs, quality.resample(docs, read(spark, sf_dir, "labels")).where("keep"), "left_semi")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(simhash.near_duplicates(docs), "groups")
-    out = _kept(docs, found.where("doc_id = component_id"))
-    # Rows that share an id are one document; only where there are any is their text dealt again.
-    again = found.groupBy("doc_id").count().where("count > 1")
-    at = spare(docs, "_key")
-    return out if again.isEmpty() else out.withColumn(at, key()).dropDuplicates([at]).select(*docs.columns)
+    first = written(simhash.near_duplicates(docs, radius=RADIUS, check=CHECK).where("first"), "groups")
+    out = _joined(docs, first, "left_semi")
+    if first.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        return out
+    # Of rows equal in id and text the one with the least hash of its other columns stays.
+    order = Window.partitionBy(F.col("doc_id"), text_hash()).orderBy(F.xxhash64(*(F.col(c) for c in docs.columns)))
+    rank = spare(docs, "_rank")
+    return out.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +57,9 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    at, held = spare(docs, "_key"), spare(docs, "_spans")
-    spans = secret_scan.secret_spans(docs).where("spans <> ''").groupBy(F.col("doc_id").alias(at)).agg(F.min("spans").alias(held))
-    joined = docs.withColumn(at, key()).join(spans, at, "left").select(*docs.columns, held)
-    return _counted(map_text(joined, secret_scan.redact, held)).select(*docs.columns)
+    held = spare(docs, "_spans")
+    spans = secret_scan.secret_spans(docs).where("spans <> ''").groupBy("doc_id", "h").agg(F.min("spans").alias(held))
+    return _counted(map_text(_joined(docs, spans, "left", held), secret_scan.redact, held)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
