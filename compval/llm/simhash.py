@@ -8,7 +8,7 @@ With `check`, texts must also lie within that many bits in a second fingerprint,
 bits: at a wider radius that is what keeps unrelated texts apart, however many there are.
 
 Equal fingerprints are one node, so a group of copies is a single row from then on. Nodes meet in the buckets of their
-masked values, which are read as a sorted stream after one shuffle. A bucket of at most `most` nodes is compared in one
+masked values, which are read as a sorted stream after one shuffle. A bucket of at most `most` nodes is searched in one
 place, which emits a spanning forest of its links and not its pairs; a larger one is dealt again by masks over the bits
 that its own mask leaves free, until by the number of free bits alone no bucket can be large. Components come from
 alternating large and small stars, each a partial minimum and a join that AQE can split.
@@ -96,18 +96,28 @@ def forest(nodes: np.ndarray, fps: np.ndarray, radius: int, checks: np.ndarray |
     """(node, root) for a spanning forest of the links within a bucket; a root is its tree's smallest node."""
     order = np.argsort(nodes, kind="stable")
     nodes, fps = nodes[order], fps[order].view(np.uint64)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    if checks is not None:
-        near &= np.bitwise_count(checks[order].view(np.uint64)[:, None] ^ checks[order].view(np.uint64)[None, :]) <= check
-    if not (near.sum(axis=1) > 1).any():
-        return []
-    root = np.arange(len(nodes))
-    while True:
-        low = np.where(near, root[None, :], len(nodes)).min(axis=1)
-        low = low[low]
-        if (low == root).all():
-            return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(root.tolist()) if i != r]
-        root = low
+    checks = None if checks is None else checks[order].view(np.uint64)
+
+    def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(fps[some][:, None] ^ fps[others][None, :]) <= radius
+        return out if checks is None else out & (np.bitwise_count(checks[some][:, None] ^ checks[others][None, :]) <= check)
+
+    rest = np.arange(len(nodes))
+    if len(nodes) <= 256:  # those without any link are set aside at once
+        rest = np.flatnonzero(near(rest, rest).sum(axis=1) > 1)
+    out = []
+    while len(rest):
+        root, rest = rest[0], rest[1:]
+        front, fresh = [np.array([root])], 0
+        while fresh < len(front) and len(rest):
+            for i in range(0, len(front[fresh]), 64):
+                hit = near(front[fresh][i : i + 64], rest).any(axis=0)
+                if hit.any():
+                    front.append(rest[hit])
+                    rest = rest[~hit]
+            fresh += 1
+        out += [(int(nodes[j]), int(nodes[root])) for x in front[1:] for j in x.tolist()]
+    return out
 
 
 def _buckets(radius: int, check: int | None, most: int):
@@ -174,7 +184,7 @@ def _finer(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "mask long, node long, fp long, fp2 long")
 
 
-def links(nodes: DataFrame, radius: int = 3, most: int = 2000, check: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, most: int = 16384, check: int | None = None) -> DataFrame:
     """Distinct edges (src > dst) whose components are those of all links among the nodes (node, fp, fp2; distinct)."""
     masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in covering_masks(0, radius)))
     keyed = nodes.select(F.explode(masks).alias("mask"), "node", "fp", "fp2")
@@ -210,7 +220,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before = small, now
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 2000, check: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 16384, check: int | None = None) -> DataFrame:
     """doc_id, h (a hash of the text), fp, component_id (the smallest doc_id reachable by links) and first: whether the row
     stands for its group, having its smallest id and, under one id or none, the least h."""
     rows = written(fingerprints(docs, words, seed, check is not None), "fingerprints")
