@@ -145,7 +145,7 @@ class WordBPE:
         real = kind[at] != SPACE
         at, ends = at[real], ends[real]
         if len(self.power) < len(code):
-            base, m = 0x9E3779B97F4A7C15, max(len(code), 1 << 19)
+            base, m = 0x9E3779B97F4A7C15, max(len(code), 1 << 20)
             self.power = np.cumprod(np.full(m, base, np.uint64), dtype=np.uint64)
             self.unpower = np.cumprod(np.full(m, pow(base, -1, 2**64), np.uint64), dtype=np.uint64)
         total = np.zeros(len(code) + 1, np.uint64)
@@ -168,7 +168,7 @@ class WordBPE:
                 out += [bytes(map(self.to_byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
         return out
 
-    def runs(self, texts: list[str], most: int = 1 << 20) -> Iterator[tuple[list[str] | list[bytes], list[np.ndarray]]]:
+    def runs(self, texts: list[str], most: int = 1 << 19) -> Iterator[tuple[list[str] | list[bytes], list[np.ndarray]]]:
         """For runs of texts, in order: the distinct words, and for each text the numbers of its words."""
         i = 0
         while i < len(texts):
@@ -293,7 +293,7 @@ class WordBPE:
 class Cached:
     """What `render` makes of the ids of each word, kept for the words met last, by the word itself."""
 
-    def __init__(self, model: WordBPE, render: Callable[[tuple[int, ...]], object], most: int = 400_000):
+    def __init__(self, model: WordBPE, render: Callable[[tuple[int, ...]], object], most: int = 200_000):
         self.model, self.render, self.most, self.kept = model, render, most, {}
 
     def __call__(self, runs: Iterator[tuple]) -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -110,8 +110,11 @@ def forest(nodes: np.ndarray, fps: np.ndarray, radius: int, checks: np.ndarray |
         root, rest = rest[0], rest[1:]
         front, fresh = [np.array([root])], 0
         while fresh < len(front) and len(rest):
-            for i in range(0, len(front[fresh]), 64):
-                hit = near(front[fresh][i : i + 64], rest).any(axis=0)
+            todo = front[fresh]
+            while len(todo) and len(rest):
+                step = max(1, (1 << 19) // len(rest))
+                hit = near(todo[:step], rest).any(axis=0)
+                todo = todo[step:]
                 if hit.any():
                     front.append(rest[hit])
                     rest = rest[~hit]
@@ -184,7 +187,7 @@ def _finer(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "mask long, node long, fp long, fp2 long")
 
 
-def links(nodes: DataFrame, radius: int = 3, most: int = 16384, check: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, most: int = 1 << 17, check: int | None = None) -> DataFrame:
     """Distinct edges (src > dst) whose components are those of all links among the nodes (node, fp, fp2; distinct)."""
     masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in covering_masks(0, radius)))
     keyed = nodes.select(F.explode(masks).alias("mask"), "node", "fp", "fp2")
@@ -220,7 +223,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges, before = small, now
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 16384, check: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, most: int = 1 << 17, check: int | None = None) -> DataFrame:
     """doc_id, h (a hash of the text), fp, component_id (the smallest doc_id reachable by links) and first: whether the row
     stands for its group, having its smallest id and, under one id or none, the least h."""
     rows = written(fingerprints(docs, words, seed, check is not None), "fingerprints")

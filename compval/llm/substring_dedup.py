@@ -130,7 +130,7 @@ RUNS = pa.schema([("anchor", pa.int64()), ("text", pa.int64()), ("doc_id", pa.in
 #: a mark (text 0) holds the first suffix above 32 bits and the number.
 RUNS_DDL = "anchor long, text long, doc_id long, place long"
 #: Runs that a task holds before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 17
 
 
 def _unrepeated(doc: np.ndarray, place: np.ndarray, h: np.ndarray, whole: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
