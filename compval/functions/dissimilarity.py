@@ -22,6 +22,11 @@ def sqm_price_difference() -> Dissimilarity:
     return lambda a, b: F.pow(F.col(a + "sqm") - F.col(b + "sqm"), 2)
 
 
+def omniscient(price: str = "known_price") -> Dissimilarity:
+    """The difference of known prices, as join_known_prices() adds them: for analysis only, as targets' prices are in it."""
+    return lambda a, b: F.abs(F.col(a + price) - F.col(b + price))
+
+
 def distance(power: float = 2.0) -> Dissimilarity:
     """Distance to a power, of at least 10 units; 0 for the same record."""
     return lambda a, b: F.when(F.col(a + "id") == F.col(b + "id"), 0.0).otherwise(F.pow(F.greatest(S.squared_distance(a, b), F.lit(MIN_SQUARED_DISTANCE)), power / 2))

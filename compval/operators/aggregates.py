@@ -107,6 +107,12 @@ def summarised(kpis: DataFrame, how: str = "avg") -> DataFrame:
     return kpis.agg(*[pick(k).alias(k) for k in MEASURES])
 
 
+def differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The measures of one row less those of another."""
+    signed = first.select(*MEASURES).unionByName(second.select(*[(-F.col(k)).alias(k) for k in MEASURES]))
+    return signed.agg(*[F.sum(k).alias(k) for k in MEASURES])
+
+
 def deviation(pairs: DataFrame, relative: bool, percentiles: int = 9, real: str = "sqm", pred: str = "pred_sqm") -> DataFrame:
     """Mean, least and largest deviation, and the values at index floor(p n / (m + 1)) of its order for p = 1..m."""
     d = F.abs(F.col(real) - F.col(pred))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from compval.durable import saved
 from compval.functions import dissimilarity as D
 from compval.functions.scalars import object_category, sqm_price
 from compval.operators import aggregates, clustering, spatial
@@ -122,10 +123,19 @@ class LearningDully:
     def errors(self, rows: DataFrame) -> DataFrame:
         """exponent and error of each grid point, in one job: the pairs are joined once and weighed for each exponent."""
         base = dully(radius=self.radius).train(rows)
-        pairs = base.neighbours(base.train_rows).select("t_id", "n_id", "n_sqm", F.greatest(F.pow(F.col("t_x") - F.col("n_x"), 2) + F.pow(F.col("t_y") - F.col("n_y"), 2), F.lit(D.MIN_SQUARED_DISTANCE)).alias("d2"))
+        places = base.train_rows.select("id", "x", "y", "sqm")
         grid = [self.low + i * (self.high - self.low) / max(1, self.steps - 1) for i in range(self.steps)]
         w = lambda e: F.when(F.col("t_id") == F.col("n_id"), 0.0).otherwise(1 / F.least(F.greatest(F.pow("d2", F.lit(e / 2)), F.lit(1e-9)), F.lit(1e10)))
-        sums = pairs.groupBy("t_id").agg(*[x for i, e in enumerate(grid) for x in (F.sum(w(e) * F.col("n_sqm")).alias(f"a{i}"), F.sum(w(e)).alias(f"w{i}"))])
+
+        def sums_of(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.select("t_id", "n_id", "n_sqm", F.greatest(spatial.squared_distance("t_", "n_"), F.lit(D.MIN_SQUARED_DISTANCE)).alias("d2"))
+            return pairs.groupBy("t_id").agg(F.count("*").alias("found"), *[x for i, e in enumerate(grid) for x in (F.sum(w(e) * F.col("n_sqm")).alias(f"a{i}"), F.sum(w(e)).alias(f"w{i}"))])
+
+        # One pass weighs all pairs and counts them; only the few targets with too few pairs are searched again.
+        sums = saved(sums_of(spatial.radius_join(places, places, self.radius)).where(F.col("found") >= base.fallback))
+        few = saved(places.join(sums.select(F.col("t_id").alias("id")), "id", "left_anti"))
+        if not few.isEmpty():
+            sums = sums.unionByName(sums_of(spatial.knn_join(few, places, base.fallback)))
         both = base.train_rows.select(F.col("id").alias("t_id"), "sqm").join(sums, "t_id")
         each = F.array(*[F.struct(F.lit(e).alias("exponent"), F.try_divide(F.col(f"a{i}"), F.col(f"w{i}")).alias("pred_sqm")) for i, e in enumerate(grid)])
         long = both.select("sqm", F.explode(each).alias("e")).select("sqm", "e.*")

@@ -53,14 +53,16 @@ def _ranked(pairs: DataFrame, k: int, a: str, b: str) -> DataFrame:
 def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: str = "n_", radius: float | None = None, rounds: int = 40) -> DataFrame:
     """The k nearest others of each target, ties to the smaller id, with knn_rank. A target is done once k others lie
     within the radius searched; the rest search twice as far. The first radius follows from the density of the others."""
-    box = others.agg(F.count("x").alias("n"), *[g(c).alias(f"{n}{c}") for c in ("x", "y") for n, g in (("lo", F.min), ("hi", F.max))]).first()
+    located = F.col("x").isNotNull() & F.col("y").isNotNull()
+    others = others.where(located)
+    box = others.agg(F.count("*").alias("n"), *[g(c).alias(f"{n}{c}") for c in ("x", "y") for n, g in (("lo", F.min), ("hi", F.max))]).first()
     n = box["n"]
     if not n:
         return _ranked(radius_join(targets, others, 1.0, a, b), k, a, b)
     wide, high = box["hix"] - box["lox"], box["hiy"] - box["loy"]
     if radius is None:
         radius = max(1.0, (4.0 * k * max(wide, 1.0) * max(high, 1.0) / (n * 3.14159)) ** 0.5)
-    todo, out = targets.where(F.col("x").isNotNull() & F.col("y").isNotNull()), None
+    todo, out = targets.where(located), None
     for _ in range(rounds):
         found = _ranked(radius_join(todo, others, radius, a, b), k, a, b).persist()
         full = found.groupBy(f"{a}id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, n))
@@ -70,6 +72,8 @@ def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: st
         if todo.isEmpty():
             break
         radius *= 2
+    else:  # what was found for those that are still not full
+        out = out.unionByName(found.join(todo.select(F.col("id").alias(f"{a}id")), f"{a}id", "left_semi"))
     return out
 
 
@@ -98,3 +102,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str,
 def epsilon_edges(listings: DataFrame, epsilon: float) -> DataFrame:
     """Pairs of different listings within epsilon, each once (a_id < b_id)."""
     return radius_join(listings, listings, epsilon, "a_", "b_").where(F.col("a_id") < F.col("b_id"))
+
+
+def join_known_prices(rows: DataFrame, prices: DataFrame, name: str = "known_price", price: str = "sqm") -> DataFrame:
+    """rows with the price that a table (id, price) knows of them, null for those it hasn't; `in_prices` tells which."""
+    known = prices.select("id", F.col(price).alias(name), F.lit(True).alias("in_prices"))
+    return rows.join(known, "id", "left").withColumn("in_prices", F.coalesce("in_prices", F.lit(False)))

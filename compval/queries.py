@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from compval import durable
 from compval.functions import costs as C
 from compval.functions import dissimilarity as D
 from compval.functions import enums as E
@@ -17,8 +18,9 @@ from compval.functions import scalars as S
 from compval.listings import SQL, listings
 from compval.operators import aggregates, analysis, cleaning, clustering, environment, evolution, features, normalizers, predictors, spatial, splits
 from compval.plans import driver
-from compval.schema import completed
+from compval.schema import FEATURES, completed, feature_array
 from compval.sources.filters import compiled
+from compval.sources import sinks
 from compval.sources.readers import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,7 +139,8 @@ def _(spark, d):
 
 @register("feature_array_stats", " UNION ALL ".join(f"SELECT '{f}' AS feature, min(CAST({f} AS DOUBLE)) AS lo, max(CAST({f} AS DOUBLE)) AS hi, round(avg({f}), 6) AS mean, round(stddev_pop({f}), 6) AS dev, count({f}) AS n FROM listings" for f in FILLED))
 def _(spark, d):
-    long = listings(spark, d).select(*[F.col(f).cast("double").alias(f) for f in FILLED]).unpivot([], FILLED, "feature", "v")
+    rows = completed(listings(spark, d)).select(F.posexplode(feature_array()).alias("at", "v"))
+    long = rows.select(F.get(F.array(*map(F.lit, FEATURES)), F.col("at")).alias("feature"), "v").where(F.col("feature").isin(FILLED))
     return long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), rounded(F.avg("v"), "mean"), rounded(F.stddev_pop("v"), "dev"), F.count("v").alias("n"))
 
 
@@ -528,14 +531,15 @@ def _(spark, d):
     return predictors.WeightedAverage(median=True).train(train).predict(test).select("id", "pred_sqm", "pred_marktwert")
 
 
-EXPONENTS = [1.0, 1.5, 2.0, 2.5, 3.0]
+#: The whole grid of the predictor.
+EXPONENTS = [1.0 + i * 2.0 / 50 for i in range(51)]
 
 
-@register("predict_learning_dully", f"{chosen_sql('train', 'train')}, w AS (SELECT t.id, t.sqm, n.sqm AS nsqm, greatest({D2}, 100.0) AS d2 FROM near JOIN train t ON t.id = t_id JOIN train n ON n.id = n_id WHERE t_id <> n_id), e AS (SELECT * FROM (VALUES {', '.join(f'({e})' for e in EXPONENTS)}) AS v(exponent)), each AS (SELECT id, exponent, any_value(sqm) AS sqm, sum(nsqm / least(pow(d2, exponent / 2), 1e10)) / sum(1 / least(pow(d2, exponent / 2), 1e10)) AS p FROM w, e GROUP BY id, exponent) SELECT CAST(exponent AS DOUBLE) AS exponent, round(avg(abs((sqm - p) / sqm)), 6) AS error FROM each GROUP BY exponent")
+@register("predict_learning_dully", f"{chosen_sql('train', 'train')}, w AS (SELECT t.id, t.sqm, n.sqm AS nsqm, greatest({D2}, 100.0) AS d2 FROM near JOIN train t ON t.id = t_id JOIN train n ON n.id = n_id WHERE t_id <> n_id), e AS (SELECT * FROM (VALUES {', '.join(f'(CAST({e!r} AS DOUBLE))' for e in EXPONENTS)}) AS v(exponent)), each AS (SELECT id, exponent, any_value(sqm) AS sqm, sum(nsqm / least(pow(d2, exponent / 2), 1e10)) / sum(1 / least(pow(d2, exponent / 2), 1e10)) AS p FROM w, e GROUP BY id, exponent) SELECT round(exponent, 2) AS exponent, round(avg(abs((sqm - p) / sqm)), 6) AS error FROM each GROUP BY exponent")
 def _(spark, d):
     train, _ = parts(spark, d)
-    out = predictors.LearningDully(1.0, 3.0, len(EXPONENTS)).errors(train)
-    return out.select("exponent", rounded(F.col("error"), "error", 6))
+    out = predictors.LearningDully().errors(train)
+    return out.select(rounded(F.col("exponent"), "exponent", 2), rounded(F.col("error"), "error", 6))
 
 
 @register("predict_select_block")
@@ -554,10 +558,9 @@ def _(spark, d):
     return predicted(predictors.Normalizing(predictors.dully(), normalizers.Handcrafted()).train(train).predict(test))
 
 
-@register("union_predict_all", "SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT id) AS ids FROM real")
+@register("union_predict_all", f"{chosen_sql('real', 'train')} SELECT t.id, round(sum(n.sqm / {CAPPED}) FILTER (n.id <> t.id) / sum(1 / {CAPPED}) FILTER (n.id <> t.id), 4) AS pred_sqm, round(any_value(t.wohnflaeche) * sum(n.sqm / {CAPPED}) FILTER (n.id <> t.id) / sum(1 / {CAPPED}) FILTER (n.id <> t.id), 2) AS pred_marktwert FROM near JOIN real t ON t.id = t_id JOIN train n ON n.id = n_id GROUP BY t.id")
 def _(spark, d):
-    run = driver.Run(predictors.dully(), lambda df: splits.at_date(df, CUT), predict_all=True)
-    return run.parts(sale(spark, d))[1].agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return predicted(driver.Run(predictors.dully(), lambda df: splits.at_date(df, CUT), predict_all=True).predictions(sale(spark, d)))
 
 
 # ------------------------------------------------------------------ normalizers
@@ -660,10 +663,21 @@ def _(spark, d):
     return clustered(spark, d, True)[1]
 
 
-@register("cluster_connected", "SELECT count(*) AS unconnected FROM real WHERE false")
+@register("cluster_connected", f""", edges AS (SELECT t.id AS a, n.id AS b, t.prefecture AS block FROM real t JOIN real n ON t.id <> n.id AND t.prefecture = n.prefecture AND {D2} <= 1500.0 * 1500.0),
+blocks AS (SELECT prefecture AS block, min(id) AS first, count(*) AS n FROM real GROUP BY prefecture),
+met AS (WITH RECURSIVE found(id, block) AS (SELECT first, block FROM blocks UNION SELECT b, found.block FROM found JOIN edges ON edges.a = found.id) SELECT block, count(*) AS m FROM found GROUP BY block)
+SELECT blocks.block, n = m AS connected FROM blocks JOIN met USING (block)""")
 def _(spark, d):
+    """Whether the listings of each prefecture hang together by steps of 1500 m within it."""
+    rows = real(spark, d).where(F.col("prefecture").isNotNull())
+    return clustering.blocks_connected(rows.select("id", F.col("prefecture").alias("block")), spatial.epsilon_edges(small(rows), 1500))
+
+
+@register("cluster_contraction_connected")
+def _(spark, d):
+    """Contraction never leaves a block that does not hang together."""
     rows, found = clustered(spark, d)
-    return clustering.blocks_connected(found, spatial.epsilon_edges(small(rows), 1500)).where(~F.col("connected")).agg(F.count("*").alias("unconnected"))
+    return clustering.blocks_connected(found, spatial.epsilon_edges(small(rows), 1500)).agg(F.count(F.when(~F.col("connected"), True)).alias("unconnected"))
 
 
 @register("cluster_block_statistics")
@@ -819,6 +833,10 @@ def _(spark, d):
 
 @register("writeback_roundtrip", f"{PRED} SELECT id, round(p * wohnflaeche, 2) AS dully FROM pred")
 def _(spark, d):
-    """What the prediction sink would hand to a reader: one row an id, a column for each key, nulls left out."""
-    rows = dully_predictions(spark, d).where(F.col("pred_marktwert").isNotNull()).select("id", F.lit("dully").alias("key"), F.col("pred_marktwert").alias("prediction"))
-    return rows.groupBy("id").pivot("key", ["dully"]).agg(F.first("prediction")).select("id", rounded(F.col("dully"), "dully", 2))
+    """What a reader finds after two keys were written to the sink, one of them twice."""
+    root, rows = durable.folder(spark), dully_predictions(spark, d)
+    sinks.write_predictions(rows.withColumn("pred_marktwert", F.lit(0.0)), root, "dully")
+    sinks.write_predictions(rows, root, "dully")
+    sinks.write_predictions(rows.withColumn("pred_marktwert", F.lit(1.0)), root, "other")
+    found = spark.read.parquet(f"{root}/predictions").where("key = 'dully'")
+    return found.select("id", rounded(F.col("prediction"), "dully", 2))

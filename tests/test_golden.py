@@ -383,3 +383,56 @@ def test_fitness_counts_every_target(spark):
     genomes = [lp_variant(radius=10.0), lp_variant(radius=3000.0, most_similar=3), lp_variant(k=4), lp_variant(k=12, most_similar=1)]
     got = evolution.Fitness(train, test, batch=None)(genomes)
     assert got == pytest.approx([predictor_mape(g, train, test) for g in genomes])
+
+
+# ------------------------------------------------------------------ look-ups, editing, seeds
+def placed_rows(spark, rows):
+    return spark.createDataFrame(rows, "id string, x double, y double, sqm double")
+
+
+def test_seed_genome_from_json(tmp_path):
+    path = tmp_path / "seed.json"
+    path.write_text('{"exponent": 99, "reach": {"right": 12.4}, "most_similar": null, "weights": [%s]}' % ", ".join(["0.25"] * 22))
+    found = evolution.seeded(evolution.lp_genome(), str(path))
+    assert found["exponent"].value == 5.0 and not found["reach"].is_left and found["reach"].right.value == 12
+    assert found["most_similar"].value is None and {w.value for w in found["weights"]} == {0.25}
+    path.write_text("{}")
+    assert evolution.seeded(evolution.lp_genome(), str(path)) == evolution.lp_genome()
+
+
+def test_known_prices_and_the_omniscient_dissimilarity(spark):
+    rows = placed_rows(spark, [("a", 0.0, 0.0, 10.0), ("b", 1.0, 0.0, 13.0), ("c", 5.0, 0.0, None)])
+    known = spatial.join_known_prices(rows.drop("sqm"), rows.where("sqm is not null"))
+    assert {(r["id"], r["known_price"], r["in_prices"]) for r in known.collect()} == {("a", 10.0, True), ("b", 13.0, True), ("c", None, False)}
+    pairs = spatial.radius_join(known, known, 100.0, "a_", "b_").withColumn("d", D.omniscient()("a_", "b_"))
+    assert {(r["a_id"], r["b_id"]): r["d"] for r in pairs.collect()}["a", "b"] == 3.0
+    out = features.with_prediction(rows, spark.createDataFrame([("a", 7.0)], "id string, pred_sqm double"))
+    out = features.guessed_or_actual(out, "sqm", "cbr_price", "best")
+    assert {(r["id"], r["cbr_price"], r["best"]) for r in out.collect()} == {("a", 7.0, 10.0), ("b", None, 13.0), ("c", None, None)}
+
+
+def test_editing_a_clustering_and_what_it_costs(spark):
+    rows = placed_rows(spark, [("a", 0.0, 0.0, 1.0), ("b", 0.0, 0.0, 2.0), ("c", 0.0, 0.0, 4.0), ("d", 0.0, 0.0, 8.0)]).selectExpr("*", "0.0D AS u")
+    blocks = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "id string, block string")
+    assert sorted(map(tuple, clustering.added(blocks, spark.createDataFrame([("d", "r"), ("b", "q")], "id string, block string")).collect())) == [("a", "p"), ("b", "q"), ("c", "q"), ("d", "r")]
+    cost = lambda a, b: D.sqm_price_difference()(a, b)
+    total = lambda x: sum(r["cost"] for r in clustering.total_cost(x, rows, cost).collect())
+    moves = spark.createDataFrame([("b", "q"), ("a", "new"), ("c", "q")], "id string, block string")
+    got = {r["id"]: r["change"] for r in clustering.moving_cost(blocks, rows, moves, cost).collect()}
+    for one, to in (("b", "q"), ("a", "new"), ("c", "q")):
+        after = clustering.moved(blocks, spark.createDataFrame([(one, to)], "id string, block string"))
+        assert got[one] == total(after) - total(blocks)
+    assert clustering.merging_cost(blocks, rows, "p", "q", cost).first()["change"] == total(clustering.merged(blocks, "p", "q")) - total(blocks) == 2 * (9 + 4)
+
+
+def test_nearest_where_some_have_half_a_place(spark):
+    rows = [("a", 0.0, 0.0, 1.0), ("b", 3.0, 0.0, 1.0), ("c", 1.0, None, 1.0), ("d", None, 1.0, 1.0)]
+    found = spatial.knn_join(placed_rows(spark, rows).where("id = 'a'"), placed_rows(spark, rows), 3)
+    assert sorted((r["n_id"], r["knn_rank"]) for r in found.collect()) == [("a", 1), ("b", 2)]
+    cut = spatial.knn_join(placed_rows(spark, rows).where("id = 'a'"), placed_rows(spark, [*rows, ("z", 1e9, 0.0, 1.0)]), 3, radius=5.0, rounds=2)
+    assert sorted(r["n_id"] for r in cut.collect()) == ["a", "b"]
+
+
+def test_difference_of_measures(spark):
+    rows = [spark.createDataFrame([tuple(float(i + k) for i, _ in enumerate(aggregates.MEASURES))], ", ".join(f"{m} double" for m in aggregates.MEASURES)) for k in (5, 2)]
+    assert set(aggregates.differences(*rows).first()) == {3.0}
