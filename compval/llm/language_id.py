@@ -136,13 +136,16 @@ def _frequent(counts: DataFrame, name: str, least: int) -> dict[str, dict[str, i
 def fit(docs: DataFrame, per_language: int = 3000, longest: int = 4, smooth: float = 0.5, least: int = 2) -> LanguageModel:
     """A model of the labelled rows of docs (doc_id, text, lang)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language, as the model has
+    if not sizes:
+        return LanguageModel([], {}, np.empty((0, 0)), [])
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)])
     dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", "text")), F.lit(1 << 52)) / float(1 << 52)  # null ids are dealt by text
-    by_word, by_gram = _counted(rows.join(sizes, "lang").where(dealt < per_language / F.col("count")), longest)
+    by_word, by_gram = _counted(rows.where(dealt < share[F.col("lang")]), longest)
     by_word, by_gram = by_word.persist(), by_gram.persist()
     try:
         totals = {r["lang"]: r["n"] for r in by_word.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        languages = sorted({r["lang"] for r in sizes.collect()})
+        languages = sorted(sizes)
         logs = lambda found, total: {k: tuple(float(np.log((by.get(g, 0) + smooth) / (total.get(g, 0) + smooth * len(found)))) for g in languages) for k, by in found.items()}
         words = logs(_frequent(by_word, "word", least), totals)
         found = _frequent(by_gram, "gram", least)
