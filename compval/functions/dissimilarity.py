@@ -13,6 +13,8 @@ from compval.schema import FEATURES
 
 INF = float("inf")
 MIN_SQUARED_DISTANCE = 100.0
+#: Weights whose sum is no more than this count as none.
+NO_WEIGHT = 2.220446049250313e-16
 
 #: Builds the column from the prefixes of the two records.
 Dissimilarity = Callable[[str, str], Column]
@@ -150,6 +152,28 @@ def within(a: Column, b: Column, most: float) -> Column:
     return F.when(a.isNull() & b.isNull(), True).otherwise(F.coalesce(F.abs(a - b) <= most, F.lit(False)))
 
 
+def gaps(a: str, b: str, names: list[str]) -> list[Column]:
+    """By how much two records differ in each of the guards named, sizes and years as numbers: a guard passes where its limit
+    is at least that. -1 passes any limit, infinite none."""
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.when(x.isNull() & y.isNull(), -1.0).otherwise(F.coalesce(F.abs(x - y).cast("double"), F.lit(INF)))
+
+    ca, cb = S.object_category(a), S.object_category(b)
+    plain = lambda name: apart(F.col(a + name), F.col(b + name))
+    only = lambda where, name: F.when(where, plain(name)).otherwise(-1.0)
+    # Days are whole and must be fewer than the limit.
+    days = F.abs(F.datediff(F.col(a + "wertermittlungsstichtag"), F.col(b + "wertermittlungsstichtag"))) + 0.5
+    special = {
+        "objektunterart_category": lambda: apart(ca, cb),
+        "ausstattung": lambda: only(F.coalesce((ca == 3) & (cb == 3), F.lit(False)), "ausstattung"),
+        "grundstuecksgroesse": lambda: only(S.is_house(a) & S.is_house(b), "grundstuecksgroesse"),
+        "wohnflaeche": lambda: only(ca.eqNullSafe(cb), "wohnflaeche"),
+        "days": lambda: F.coalesce(days.cast("double"), F.lit(-1.0)),
+    }
+    return [special[name]() if name in special else plain(name) for name in names]
+
+
 def filtered(guards: Guards, inner: Dissimilarity) -> Dissimilarity:
     """inner, but infinite where a guard fails."""
     return lambda a, b: F.when(guards.passes(a, b), inner(a, b)).otherwise(INF)
@@ -176,30 +200,33 @@ class Expert:
         return F.coalesce(F.greatest(F.lit(0.0), 100.0 - F.abs(a - b) * factor), F.lit(0.0))
 
     @staticmethod
-    def _mean(parts: list[tuple[Column, Column | float]]) -> Column:
-        w = sum((F.lit(1.0) * x for _, x in parts), F.lit(0.0))
-        weighted = sum((v * x for v, x in parts), F.lit(0.0))
-        return F.when(w == 0, sum((v for v, _ in parts), F.lit(0.0)) / len(parts)).otherwise(weighted / w)
+    def _mean(parts: list[tuple[Column, float, Column]]) -> Column:
+        """The weighted mean of what applies (1 or 0); the plain mean of it where it has no weight."""
+        total = lambda f: sum((f(v, w, on) for v, w, on in parts), F.lit(0.0))
+        w = total(lambda _, w, on: on * w)
+        return F.when(F.abs(w) <= NO_WEIGHT, total(lambda v, _, on: v * on) / total(lambda _, __, on: on)).otherwise(total(lambda v, w, on: v * on * w) / w)
 
     def parts(self, a: str, b: str) -> tuple[Column, Column]:
-        """The two means: of year, area, distance, location and lot; of parking, rooms, usage and cellar."""
+        """The two means: of year, area, distance, location and lot; of parking, rooms, usage and cellar. Lots are of houses,
+        cellars of a target that is one."""
         w = lambda k: float(self.weights.get(k, 1.0))
+        always = F.lit(1.0)
         house = F.when(S.is_house(a), 1.0).otherwise(0.0)
         both = F.when(S.is_house(a) & S.is_house(b), 1.0).otherwise(0.0)
         area = F.when(S.is_house(a), self.house_area_factor).otherwise(self.flat_area_factor)
         one = [
-            (self._near(S.year_of(a), S.year_of(b), self.year_factor), w("year")),
-            (self._near(F.col(a + "wohnflaeche"), F.col(b + "wohnflaeche"), area), w("area")),
-            (self._near(F.sqrt(S.squared_distance(a, b)) / 1000, F.lit(0.0), self.distance_factor), w("distance")),
-            (self._near(S.location_score(a), S.location_score(b), self.location_factor), w("location")),
-            (self._near(F.col(a + "grundstuecksgroesse"), F.col(b + "grundstuecksgroesse"), self.lot_factor), both * w("lot")),
+            (self._near(S.year_of(a), S.year_of(b), self.year_factor), w("year"), always),
+            (self._near(F.col(a + "wohnflaeche"), F.col(b + "wohnflaeche"), area), w("area"), always),
+            (self._near(F.sqrt(S.squared_distance(a, b)) / 1000, F.lit(0.0), self.distance_factor), w("distance"), always),
+            (self._near(S.location_score(a), S.location_score(b), self.location_factor), w("location"), always),
+            (self._near(F.col(a + "grundstuecksgroesse"), F.col(b + "grundstuecksgroesse"), self.lot_factor), w("lot"), both),
         ]
         same = lambda c: F.when(F.col(a + c) == F.col(b + c), 100.0).otherwise(0.0)
         two = [
-            (self._near(F.col(a + "anzahl_stellplaetze"), F.col(b + "anzahl_stellplaetze"), self.parking_factor), w("parking")),
-            (self._near(F.col(a + "anzahl_zimmer"), F.col(b + "anzahl_zimmer"), self.room_factor), w("rooms")),
-            (same("verwendung"), w("usage")),
-            (same("keller"), house * w("cellar")),
+            (self._near(F.col(a + "anzahl_stellplaetze"), F.col(b + "anzahl_stellplaetze"), self.parking_factor), w("parking"), always),
+            (self._near(F.col(a + "anzahl_zimmer"), F.col(b + "anzahl_zimmer"), self.room_factor), w("rooms"), always),
+            (same("verwendung"), w("usage"), always),
+            (same("keller"), w("cellar"), house),
         ]
         return tuple(F.least(F.lit(100.0), F.greatest(F.lit(0.0), self._mean(x))) for x in (one, two))
 

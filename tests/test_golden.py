@@ -3,6 +3,7 @@
 import math
 import random
 from collections import defaultdict
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -15,7 +16,7 @@ from compval.functions import dissimilarity as D
 from compval.functions import scalars as S
 from compval.operators import aggregates, cleaning, clustering, environment, evolution, features, normalizers, predictors, spatial, splits
 from compval.plans import driver
-from compval.schema import completed
+from compval.schema import FEATURES, completed
 from compval.sources import readers, sinks
 from compval.sources.filters import compiled
 
@@ -355,10 +356,13 @@ def test_fitness_takes_all_rows_or_a_new_batch_a_call(spark):
     assert len(first) == len(second) == 8 and first != second
 
 
-def lp_variant(radius=None, k=1, most_similar=None):
+def lp_variant(radius=None, k=1, most_similar=None, weight=1.0, cap=None, **on):
     reach = evolution.Either(evolution.Bounded(radius or 10.0, 10.0, 10_000.0), evolution.Bounded(k, 1, 2000, True), radius is not None)
     most = evolution.Optional(evolution.Bounded(most_similar or 1, 1, 500, True), most_similar is not None)
-    return evolution.Genome(tuple({**dict(evolution.lp_genome().parts), "reach": reach, "most_similar": most}.items()))
+    weights = tuple(evolution.Bounded(weight, 0.0, 1.0) for _ in FEATURES)
+    guards = tuple(replace(w, on=name in on, inner=replace(w.inner, value=on.get(name, w.inner.value))) for name, w in zip(evolution.GUARD_BOUNDS, evolution.guard_weights()))
+    parts = {**dict(evolution.lp_genome().parts), "reach": reach, "most_similar": most, "weights": weights, "guards": guards}
+    return replace(evolution.lp_genome(cap_kilometres=cap), parts=tuple(parts.items()))
 
 
 def predictor_mape(genome, train, test):
@@ -375,6 +379,97 @@ def test_fitness_reaches_as_far_as_the_genomes(spark, batch):
     assert evolution.Fitness(train, test, batch)(genomes) == pytest.approx(want)
 
 
+def homes(spark, n, seed=1):
+    """Records with gaps in every part that guards and the expert similarity read."""
+    rng = random.Random(seed)
+    some = lambda v: None if rng.random() < 0.2 else v
+    rows = []
+    for i in range(n):
+        area, price = rng.uniform(30, 200), rng.uniform(1e5, 9e5)
+        kind = some(rng.choice(["Eigentumswohnung", "Einfamilienhaus", "Reihenhaus", "Mehrfamilienhaus"]))
+        day = some(date(2010 + rng.randrange(10), 1 + rng.randrange(12), 1 + rng.randrange(28)))
+        numbers = [some(float(rng.randrange(k))) for k in (50, 6, 5, 4, 30)]
+        rows.append((f"{seed}-{i:04}", rng.uniform(0, 30_000), rng.uniform(0, 30_000), area, price, price / area, some(1950 + rng.randrange(60)), some(rng.uniform(100, 900)), kind, day, *numbers, some(rng.choice("ab")), some(rng.random() < 0.5), some(float(rng.randrange(1, 7)))))
+    names = "id string, x double, y double, wohnflaeche double, marktwert double, sqm double, baujahr int, grundstuecksgroesse double, objektunterart string, wertermittlungsstichtag date, regiotyp double, zustand double, ausstattung double, anzahl_stellplaetze double, balcony_area double, verwendung string, keller boolean, anzahl_zimmer double"
+    return spark.createDataFrame(rows, names)
+
+
+@pytest.mark.parametrize("median", [False, True])
+def test_fitness_with_guards_and_a_cap(spark, median):
+    train, test = homes(spark, 300), homes(spark, 25, 2)
+    genomes = [
+        lp_variant(radius=9000.0, baujahr=10.0, days=900, zustand=1),
+        lp_variant(k=40, wohnflaeche=40.0, grundstuecksgroesse=200.0, objektunterart_category=0, regiotyp=9),
+        lp_variant(k=60, cap=6.0, ausstattung=0, balcony_area=5.0, most_similar=4),
+        lp_variant(radius=8000.0, cap=5.0, weight=0.0, most_similar=12),
+    ]
+    got = evolution.Fitness(train, test, batch=None, median=median)(genomes)
+    mape = lambda g: evolution.lp_predictor(g, D.min_max_scale(completed(train)), median).train(train).predict(test).agg(F.avg(F.abs(F.col("sqm") - F.col("pred_sqm")) / F.col("sqm"))).first()[0]
+    assert len({round(x, 9) for x in got}) == 4
+    assert got == pytest.approx([mape(g) for g in genomes])
+
+
+def test_fitness_of_expert_genomes(spark):
+    train, test, rng = homes(spark, 200), homes(spark, 20, 2), random.Random(5)
+    off = lambda g: replace(g, parts=tuple((k, tuple(replace(w, on=False) for w in v) if k == "guards" else v) for k, v in g.parts))
+    unweighed = lambda g: replace(g, parts=tuple((k, tuple(replace(w, value=0.0) for w in v) if k == "weights" else v) for k, v in g.parts))
+    start = evolution.expert_genome()
+    genomes = [off(start), unweighed(off(start)), start.mutate(rng, evolution.Mutation(rate=0.5, switch=0.3))]
+    mape = lambda g: evolution.expert_predictor(g).train(train).predict(test).agg(F.avg(F.abs(F.col("sqm") - F.col("pred_sqm")) / F.col("sqm"))).first()[0]
+    got = evolution.Fitness(train, test, batch=None, expert=True)(genomes)
+    assert got == pytest.approx([mape(g) for g in genomes])
+    best, error, _ = evolution.evolve(evolution.Fitness(train, test, batch=None, expert=True), off(start), evolution.Config(population=4, generations=2))
+    assert error <= got[0] + 1e-9 and set(dict(best.parts)) == set(dict(start.parts))
+
+
+def test_fitness_at_the_level_of_a_normalizer(spark):
+    class Doubling(normalizers.Normalizer):
+        """Prices double with every year."""
+
+        def factored(self, df):
+            return df.withColumn("_factor", F.pow(F.lit(2.0), 2015 - F.coalesce(F.year("wertermittlungsstichtag"), F.lit(2015))))
+
+    train, test, genome = homes(spark, 120), homes(spark, 20, 2), lp_variant(k=15)
+    found = predictors.Normalizing(evolution.lp_predictor(genome, D.min_max_scale(completed(train))), Doubling()).train(train).predict(test)
+    want = found.agg(F.avg(F.abs(F.col("marktwert") - F.col("pred_marktwert")) / F.col("marktwert"))).first()[0]
+    assert evolution.Fitness(train, test, normalizer=Doubling())([genome]) == pytest.approx([want])
+    assert evolution.Fitness(train, test)([genome]) != pytest.approx([want])
+
+
+def test_expert_means_only_what_applies(spark):
+    """Without weights: a flat has no lot and no cellar."""
+    one = {"id": "a", "x": 0.0, "y": 0.0, "wohnflaeche": 100.0, "baujahr": 2000, "anzahl_stellplaetze": 1.0, "anzahl_zimmer": 3.0, "verwendung": "w", "grundstuecksgroesse": 5.0, "keller": True}
+    df = spark.createDataFrame([{**one, "objektunterart": "Eigentumswohnung"}, {**one, "id": "b", "objektunterart": "Einfamilienhaus"}])
+    df = completed(df)
+    pairs = spatial.radius_join(df, df, 1.0).where("t_id = n_id")
+    parts = D.Expert(weights=dict.fromkeys(evolution.PARTS, 0.0)).parts("t_", "n_")
+    got = {r[0]: (r[1], r[2]) for r in pairs.select("t_id", *parts).collect()}
+    # Year, area and distance agree; no location score; the house's lot and cellar agree.
+    assert got["a"] == (75.0, 100.0) and got["b"] == (80.0, 100.0)
+
+
+def test_crossover_keeps_the_mothers_exponent_and_ignored_guards_stay_off():
+    rng = random.Random(2)
+    genome = evolution.lp_genome(ignore_guards=True, most_similar_limit=3, exponent=1.5)
+    for _ in range(20):
+        genome = genome.regenerate(rng).mutate(rng, evolution.Mutation(rate=1.0, switch=1.0))
+        assert all(w.value is None for w in genome["guards"])
+        assert genome["exponent"].value == 1.5 and 1 <= genome["most_similar"].value <= 3
+    mother, father = evolution.lp_genome().regenerate(rng), evolution.lp_genome().regenerate(rng)
+    children = [mother.crossover(father, rng) for _ in range(20)]
+    assert {c["exponent"] for c in children} == {mother["exponent"]} and len({c["weights"] for c in children}) > 1
+
+
+def test_settings_from_json(tmp_path):
+    path = tmp_path / "config.json"
+    path.write_text('{"population": 7, "mutation": {"rate": 0.5}, "cap_kilometres": 4, "exponent": 2.5}')
+    found = evolution.Config.load(str(path))
+    assert found.population == 7 and found.mutation.rate == 0.5 and found.generations == 200 and found.replace_ratio == 0.85
+    assert found.genome().cap_kilometres == 4 and found.genome()["exponent"].value == 2.5
+    with pytest.raises(ValueError):
+        evolution.Config(expert=True, ignore_guards=True).genome()
+
+
 def test_fitness_counts_every_target(spark):
     """Few or no comparables within reach, the target itself among the training rows, and one target without a place."""
     train = market(spark, 60)
