@@ -113,10 +113,17 @@ def differences(first: DataFrame, second: DataFrame) -> DataFrame:
     return signed.agg(*[F.sum(k).alias(k) for k in MEASURES])
 
 
-def deviation(pairs: DataFrame, relative: bool, percentiles: int = 9, real: str = "sqm", pred: str = "pred_sqm") -> DataFrame:
-    """Mean, least and largest deviation, and the values at index floor(p n / (m + 1)) of its order for p = 1..m."""
+def deviation(pairs: DataFrame, relative: bool, percentiles: int = 9, real: str = "sqm", pred: str = "pred_sqm", strict: bool = False) -> DataFrame:
+    """Mean, least and largest deviation, and the values at index floor(p n / (m + 1)) of its order for p = 1..m. Pairs
+    without a deviation are left out; with strict they are an error, and so are real prices of 0 in the relative one."""
+    if strict:
+        unknown = lambda c: c.isNull() | F.isnan(c)
+        nothing = (F.abs(F.col(real)) < 2.220446049250313e-16) & F.lit(relative)
+        bad = pairs.where(unknown(F.col(real)) | unknown(F.col(pred)) | nothing).count()
+        if bad:
+            raise ValueError(f"{bad} pairs have no deviation")
     d = F.abs(F.col(real) - F.col(pred))
-    v = pairs.select((d / F.col(real) if relative else d).alias("v")).where(~F.isnan("v"))
+    v = pairs.select((F.try_divide(d, F.col(real)) if relative else d).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     found = at_ranks(v, lambda n: [p * n // (percentiles + 1) for p in range(1, percentiles + 1)])
     return v.agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).select("*", *[F.lit(x).alias(f"p{i}") for i, x in enumerate(found, 1)])
 

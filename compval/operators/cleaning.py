@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,18 @@ def region_box(x: tuple[float, float], y: tuple[float, float], names: dict[str,
 
 #: Fixed values: (town, counties that mean it or null, county to set).
 TOWN_FIXES = [
+    ("Berlin", ["Berlin", ""], "Berlin, Stadt"),
     ("München", ["München", "München, Stadt", "Berlin, Stadt", "Müchen, Landeshauptstadt"], "München, Landeshauptstadt"),
     ("Würzburg", ["Würzburg", "Würzburg Land"], "Würzburg Stadt"),
 ]
 
 
+def load_rewrites(path: str) -> list[tuple[str, str]]:
+    """The ordered rewrites of a JSON file: a list of [old, new]."""
+    with open(path, encoding="utf-8") as f:
+        return [(old, new) for old, new in json.load(f)]
+
+
 def composed(rewrites: list[tuple[str, str]]) -> dict[str, str]:
     """What each name becomes when the rewrites apply one after the other to a whole table."""
     out: dict[str, str] = {}

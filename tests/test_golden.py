@@ -531,3 +531,51 @@ def test_nearest_where_some_have_half_a_place(spark):
 def test_difference_of_measures(spark):
     rows = [spark.createDataFrame([tuple(float(i + k) for i, _ in enumerate(aggregates.MEASURES))], ", ".join(f"{m} double" for m in aggregates.MEASURES)) for k in (5, 2)]
     assert set(aggregates.differences(*rows).first()) == {3.0}
+
+
+# ------------------------------------------------------------------ names, vectors, folds, updates
+def test_towns_and_a_file_of_rewrites(spark, tmp_path):
+    path = tmp_path / "rewrites.json"
+    path.write_text('[["A", "B"], ["B", "C"], ["Berlin, Stadt", "Berlin"]]')
+    df = spark.createDataFrame([("Berlin", ""), ("Berlin", None), ("Köln", "Berlin"), ("x", "A"), ("Würzburg", "Würzburg Land")], "ort string, kreis string")
+    out = cleaning.county_names(df, cleaning.load_rewrites(str(path)))
+    assert [r["kreis"] for r in out.collect()] == ["Berlin", "Berlin", "Berlin", "C", "Würzburg Stadt"]
+    assert [r["kreis"] for r in cleaning.county_names(df, []).collect()][:2] == ["Berlin, Stadt"] * 2
+
+
+def test_attributes_of_stored_documents(spark):
+    df = spark.sql("SELECT 'i' AS _id, named_struct('ALL', 3) AS scores, named_struct('ea-split201703-cleanv3', 5.0D) AS predictions, 7 AS other")
+    assert features.with_attributes(df, ["id", "scores_all", "ea_japan", "other"]).first().asDict() == {"id": "i", "scores_all": 3, "ea_japan": 5.0, "other": 7}
+    assert len(features.ATTRIBUTES) == 61
+
+
+def test_vector_of_the_comparison(spark):
+    whole = {"id": "a", "baujahr": 1990, "x": 1.0, "y": 2.0, "wohnflaeche": 50.0, "wertermittlungsstichtag": date(2015, 1, 11), "balcony_area": 3.0, "walking_distance": 4.0, "urbanity_score": 1, "floor_no": 5.0, "distance_elem_school": 6.0, "distance_jun_highschool": 7.0, "cbr_prediction": 100.0}
+    got = features.comparison_vector(rows(spark, whole)).first()["vector"]
+    assert got == [1990, 0, 1, 2, 50, 10, 2015, 1, 11, 3, 4, 1, 5, 6, 7, 2]
+    with pytest.raises(Exception, match="unknown"):
+        features.comparison_vector(rows(spark, whole).withColumn("baujahr", F.lit(None).cast("int"))).collect()
+
+
+def test_a_model_is_fitted_for_each_fold(spark):
+    df = spark.range(200).select(F.format_string("%03d", "id").alias("id"), F.col("id").cast("double").alias("v"), (F.col("id") * 3.0 + 10).alias("sqm"))
+    out = features.cross_validated(df, ["v"])
+    assert {r[0] for r in out.select("fold").distinct().collect()} == set(range(5)) and out.count() == 200
+    assert aggregates.fold_mean(out).first()["mape"] < 1e-4
+    # A fold that the others say nothing of shows that its own rows were not learnt from.
+    odd = df.join(splits.by_fold(df).select("id", "fold"), "id").withColumn("sqm", F.when(F.col("fold") == 2, 5000.0).otherwise(100.0)).drop("fold")
+    assert features.cross_validated(odd, ["v"]).where("fold = 2").agg(F.max("pred_sqm")).first()[0] < 1000
+
+
+def test_deviations_that_cannot_be_had(spark):
+    df = spark.createDataFrame([(2.0, 1.0), (0.0, 1.0), (4.0, None)], "sqm double, pred_sqm double")
+    assert aggregates.deviation(df.limit(1), True, 1, strict=True).first()["mean"] == 0.5
+    for relative, n in ((True, 2), (False, 1)):
+        with pytest.raises(ValueError, match=f"{n} pairs"):
+            aggregates.deviation(df, relative, 1, strict=True)
+
+
+def test_updates_overwrite(spark):
+    df = spark.createDataFrame([("a", 1.0, "k"), ("b", 2.0, "l")], "id string, u double, kreis string")
+    new = spark.createDataFrame([("a", 9.0, 1), ("z", 5.0, 2)], "id string, u double, n int")
+    assert {tuple(r) for r in sinks.updated(df, new).collect()} == {("a", 9.0, "k", 1), ("b", 2.0, "l", None)}
