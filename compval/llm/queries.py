@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compval.llm import bpe, chat, language_id, media, packing, quality, secret_scan, simhash, substring_dedup, topk_search
+from compval.llm import bpe, chat, divergence, extraction, language_id, lexical_search, media, packing, quality, secret_scan, simhash, substring_dedup, topk_search
 from compval.llm.common import read
 
 #: The tokenizer file of the token operators.
@@ -57,6 +57,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(read(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_packing": op2_packing,
@@ -68,8 +80,11 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_extraction": op13_extraction,
 }
-#: XXH64, tokenizers, PNG and learnt models have no SQL; tests/llm holds those against brute force.
+#: XXH64, tokenizers, PNG, markup and learnt models have no SQL; tests/llm holds those against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
 WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -91,4 +106,26 @@ e AS (SELECT *, length(role) + length(text) + 14 + CASE WHEN contains(text, '\\'
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
 CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST), '')) AS loss_sha256,
 CAST(sum(size) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op11_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(*) >= 30), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL), g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL), ln AS (SELECT lang, sum(n) AS total FROM used GROUP BY ALL), lc AS (SELECT lang, term, sum(n) AS n FROM used GROUP BY ALL),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(used.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(used.n, 0) + 5)) // (coalesce(gn.total, 0) + 5 * v.v) AS p
+FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN used USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (lc.n + 5)) // (ln.total + 5 * v.v) AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op12_lexical_search": r"""WITH t AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT row_number() OVER () AS r, doc_id,
+unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY ALL),
+d AS (SELECT r, sum(tf) AS n FROM t GROUP BY r), s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS l FROM d),
+m AS (SELECT r, 100 - 25 + (25 * CAST(n AS BIGINT) * docs) // l AS m FROM d, s), w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 20""",
 }
