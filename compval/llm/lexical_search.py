@@ -17,8 +17,8 @@ are one query. Queries without terms, empty tables and queries that nothing matc
 ignored. Long texts are read 4 MB at a time, and one makes a shard of its own.
 
 A shard is what a task holds, and its postings of a block's terms are what a search exchanges; a hot source or word makes
-no group but that. A block's terms, with their numbers of documents, go through the driver: a block is at most BLOCK
-queries, and fewer if they hold BLOCK_TERMS terms.
+no group but that. A block's terms, with their numbers of documents, go through the driver and are broadcast: a block is at
+most BLOCK queries, and fewer if they hold BLOCK_TERMS terms (one query alone may hold more).
 """
 
 from __future__ import annotations
@@ -73,9 +73,9 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unpacked(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
     last = np.flatnonzero(b < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
+    first = np.concatenate([[0], last + 1])[: len(last)]
     k = np.arange(len(b)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((b & 127).astype(np.int64) << 7 * k, first) if len(last) else np.zeros(0, np.int64)
+    return np.add.reduceat((b & 127).astype(np.int64) << 7 * k, first) if len(last) else last
 
 
 def shard_rows(shard: int, docs: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +230,15 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "item_id", k: int
     out = None
     for block in _blocks(queries, id_col) if n_docs else ():
         asked = spark.createDataFrame([(t,) for t in sorted(set().union(*(c for _, c in block)))], "term string")
-        found = index.join(asked, "term", "left_semi")
+        found = index.join(F.broadcast(asked), "term", "left_semi")
         df = dict(found.groupBy("term").agg(F.sum("df")).collect())
         # In doubles, as the score is defined; all else is in integers.
         weights = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
         terms = [{t: c for t, c in counts.items() if weights.get(t, 0) > 0} for _, counts in block]
         shards = found.unionByName(index.where("term IS NULL")).select("shard", "term", "postings")
-        hits = shards.groupBy("shard").applyInArrow(_searched(terms, weights, n_docs, n_terms, k), "query long, doc_id long, score long")
+        # A shard's work lies in its merges, not in its bytes, so partitions are not put together by size.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hits = shards.repartition(tasks, "shard").groupBy("shard").applyInArrow(_searched(terms, weights, n_docs, n_terms, k), "query long, doc_id long, score long")
         ids = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(block)], f"query long, {id_col} long")
         by = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         ranked = hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
