@@ -20,7 +20,7 @@ def folder(spark: SparkSession) -> str:
     if not found:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        found = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="compval-"))
+        found = _LOCAL.get(sc.applicationId) or _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="compval-"))
     return f"{found.rstrip('/')}/tables-{sc.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -30,3 +30,13 @@ def saved(df: DataFrame) -> DataFrame:
     path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of saved() that no later step reads."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tables-" in path:
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,21 @@ def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size)
 
 
+#: Cells are whole numbers within +-2^60; what lies beyond shares the outermost, and the exact condition decides.
+_MOST, _LEVELS = float(2**60), 61
+#: Nodes (level, node) that make up the cells _a.._b. At level k ceil(a / 2^k) up to floor((b + 1) / 2^k) are left to cover;
+#: an odd start is a node of its own, and so is what lies before an odd end.
+_FIRST, _END = "shiftright(_a + shiftleft(1L, k) - 1, k)", "shiftright(_b + 1, k)"
+_COVER = f"""filter(flatten(transform(sequence(0, {_LEVELS}), k -> array(
+IF(({_FIRST} & 1) = 1 AND {_FIRST} < {_END}, named_struct('level', k, 'node', {_FIRST}), NULL),
+IF(({_END} & 1) = 1 AND {_FIRST} + ({_FIRST} & 1) < {_END}, named_struct('level', k, 'node', {_END} - 1), NULL)))), n -> n IS NOT NULL)"""
+
+
+def _whole(value: Column, unit: float) -> Column:
+    """The cell of a number: its floor in units."""
+    return F.floor(F.least(F.greatest(value.cast("double") / unit, F.lit(-_MOST)), F.lit(_MOST))).cast("long")
+
+
 def radius_join(targets: DataFrame, others: DataFrame, radius: float, a: str = "t_", b: str = "n_", exclude_self: bool = False, compat: bool = False) -> DataFrame:
     """Pairs (a- and b-prefixed) within radius, inclusive. Cells are as wide as the radius, so a target meets its own and
     the eight around; only targets are repeated. Rows without coordinates have no neighbours. compat truncates the
@@ -34,15 +51,33 @@ def radius_join(targets: DataFrame, others: DataFrame, radius: float, a: str = "
     return out.where(F.col(f"{a}id") != F.col(f"{b}id")) if exclude_self else out
 
 
+def range_join(rects: DataFrame, points: DataFrame, x: tuple[str, str], y: tuple[str, str], at: tuple[str, str] = ("x", "y"), unit: float = 1.0) -> DataFrame:
+    """Rows of rects and points with low <= coordinate < high in both directions; each rectangle has its own bounds (columns
+    x and y of rects). On each axis a rectangle falls into the class of the power of two (of cells of `unit`) above its
+    width, where it meets two nodes at most; points are repeated for each pair of classes that occurs, not for widths."""
+    (xl, xh), (yl, yh), (px, py) = x, y, at
+    sized = rects.where((F.col(xl) < F.col(xh)) & (F.col(yl) < F.col(yh)))
+    for c, low, high in (("_x", xl, xh), ("_y", yl, yh)):
+        sized = sized.withColumns({f"{c}a": _whole(F.col(low), unit), f"{c}b": _whole(F.col(high), unit)})
+        sized = sized.withColumn(f"{c}k", F.length(F.bin(F.col(f"{c}b") - F.col(f"{c}a"))))
+    classes = [(r[0], r[1]) for r in sized.select("_xk", "_yk").distinct().collect()]  # 62 x 62 at most
+    for c in ("_x", "_y"):
+        node = lambda end, c=c: F.expr(f"shiftright({c}{end}, {c}k)")
+        sized = sized.withColumn(f"{c}n", F.explode(F.array_distinct(F.array(node("a"), node("b")))))
+    sized = sized.drop("_xa", "_xb", "_ya", "_yb")
+    if not classes:
+        return sized.crossJoin(points.limit(0)).drop("_xk", "_yk", "_xn", "_yn")
+    pairs = F.array(*[F.struct(F.lit(i).alias("xk"), F.lit(j).alias("yk")) for i, j in sorted(classes)])
+    placed = points.where(F.col(px).isNotNull() & F.col(py).isNotNull()).withColumn("_c", F.explode(pairs)).withColumns({"_xa": _whole(F.col(px), unit), "_ya": _whole(F.col(py), unit)})
+    placed = placed.withColumns({"_xk": F.col("_c.xk"), "_yk": F.col("_c.yk")}).withColumns({"_xn": F.expr("shiftright(_xa, _xk)"), "_yn": F.expr("shiftright(_ya, _yk)")}).drop("_c", "_xa", "_ya")
+    met = sized.join(placed, ["_xk", "_yk", "_xn", "_yn"]).drop("_xk", "_yk", "_xn", "_yn")
+    return met.where((F.col(px) >= F.col(xl)) & (F.col(px) < F.col(xh)) & (F.col(py) >= F.col(yl)) & (F.col(py) < F.col(yh)))
+
+
 def rectangle_join(targets: DataFrame, others: DataFrame, width: float, height: float, a: str = "t_", b: str = "n_") -> DataFrame:
     """Pairs where the other lies in [x, x + width) x [y, y + height) of the target."""
-    left = prefixed(targets, a)
-    last = lambda c, size: F.floor((F.col(c) + size) / size)
-    left = left.withColumn("_cx", F.explode(F.sequence(_cell(f"{a}x", width), last(f"{a}x", width))))
-    left = left.withColumn("_cy", F.explode(F.sequence(_cell(f"{a}y", height), last(f"{a}y", height))))
-    right = prefixed(others, b).withColumns({"_cx": _cell(f"{b}x", width), "_cy": _cell(f"{b}y", height)})
-    within = (F.col(f"{b}x") >= F.col(f"{a}x")) & (F.col(f"{b}x") < F.col(f"{a}x") + width) & (F.col(f"{b}y") >= F.col(f"{a}y")) & (F.col(f"{b}y") < F.col(f"{a}y") + height)
-    return left.join(right, ["_cx", "_cy"]).drop("_cx", "_cy").where(within)
+    left = prefixed(targets, a).withColumns({"_xh": F.col(f"{a}x") + width, "_yh": F.col(f"{a}y") + height})
+    return range_join(left, prefixed(others, b), (f"{a}x", "_xh"), (f"{a}y", "_yh"), (f"{b}x", f"{b}y"), min(1.0, width, height)).drop("_xh", "_yh")
 
 
 def _ranked(pairs: DataFrame, k: int, a: str, b: str) -> DataFrame:
@@ -93,10 +128,53 @@ def strict_cap(pairs: DataFrame, kilometres: float, a: str = "t_", b: str = "n_"
     return pairs.where(squared_distance(a, b) <= (1000.0 * kilometres) ** 2)
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, bucket: float) -> DataFrame:
-    """Rows of points and intervals with low <= point < high; an interval is repeated in each bucket that it touches."""
-    spread = intervals.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(_cell(low, bucket), _cell(high, bucket))))
-    return points.withColumn("_bucket", _cell(point, bucket)).join(spread, "_bucket").drop("_bucket").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, unit: float = 1.0) -> DataFrame:
+    """Rows of points and intervals with low <= point < high. The cells of `unit` that an interval touches are at most two
+    nodes a level of the tree of powers of two, so its rows grow with the logarithm of its width; points are repeated once a
+    level that occurs. Null bounds and empty intervals hold nothing."""
+    cells = intervals.where(F.col(low) < F.col(high)).withColumns({"_a": _whole(F.col(low), unit), "_b": _whole(F.col(high), unit)})
+    nodes = cells.withColumn("_n", F.explode(F.expr(_COVER))).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_a", "_b", "_n")
+    levels = sorted(r[0] for r in nodes.select("_level").distinct().collect())  # 62 at most
+    up = F.expr(f"explode(transform(array({', '.join(map(str, levels)) or 'CAST(NULL AS INT)'}), k -> named_struct('level', k, 'node', shiftright(_a, k))))")
+    above = points.where(F.col(point).isNotNull()).withColumn("_a", _whole(F.col(point), unit)).withColumn("_n", up).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_a", "_n")
+    return above.join(nodes, ["_level", "_node"]).drop("_level", "_node").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)))
+
+
+@dataclass(frozen=True)
+class IntervalIndex:
+    """Intervals [low, high) by a unique key. An index is a value: add and delete give new ones, whose plans are joins."""
+
+    intervals: DataFrame
+    key: str
+    low: str
+    high: str
+    unit: float = 1.0
+
+    def __post_init__(self) -> None:
+        twice = self.intervals.groupBy(self.key).count().where((F.col("count") > 1) | F.col(self.key).isNull()).count()
+        if twice:
+            raise ValueError(f"{twice} keys are null or not unique")
+
+    def _held(self, keys: DataFrame, how: str) -> DataFrame:
+        return keys.join(self.intervals.select(self.key), self.key, how)
+
+    def add(self, more: DataFrame) -> IntervalIndex:
+        """With further intervals; keys that the index or `more` already holds are an error."""
+        there = self._held(more.select(self.key), "left_semi").count()
+        if there:
+            raise ValueError(f"{there} keys are in the index already")
+        return replace(self, intervals=self.intervals.unionByName(more.select(*self.intervals.columns)))
+
+    def delete(self, keys: DataFrame) -> IntervalIndex:
+        """Without the intervals of these keys; keys that the index does not hold are an error."""
+        missing = self._held(keys.select(self.key).distinct(), "left_anti").count()
+        if missing:
+            raise ValueError(f"{missing} keys are not in the index")
+        return replace(self, intervals=self.intervals.join(keys.select(self.key), self.key, "left_anti"))
+
+    def stab(self, points: DataFrame, point: str) -> DataFrame:
+        """points with the intervals that hold them, a row each."""
+        return interval_join(points, self.intervals, point, self.low, self.high, self.unit)
 
 
 def epsilon_edges(listings: DataFrame, epsilon: float) -> DataFrame:

@@ -241,6 +241,14 @@ def _(spark, d):
     return spatial.rectangle_join(small(test), small(train), 2000, 1000).select("t_id", "n_id")
 
 
+@register("join_ranges", "SELECT t.id, count(*) AS n, CAST(sum(n.x) AS BIGINT) AS sum_x FROM listings t JOIN listings n ON n.x >= t.x AND n.x < t.x + t.wohnflaeche * 20 AND n.y >= t.y AND n.y < t.y + t.anzahl_zimmer * 400 GROUP BY t.id")
+def _(spark, d):
+    """Rectangles as wide as the listing is large and as high as it has rooms."""
+    rows = listings(spark, d)
+    rects = rows.select("id", F.col("x").alias("xl"), (F.col("x") + F.col("wohnflaeche") * 20).alias("xh"), F.col("y").alias("yl"), (F.col("y") + F.col("anzahl_zimmer") * 400).alias("yh"))
+    return spatial.range_join(rects, rows.select("x", "y"), ("xl", "xh"), ("yl", "yh")).groupBy("id").agg(F.count("*").alias("n"), F.sum("x").cast("long").alias("sum_x"))
+
+
 def nearest_sql(k: int) -> str:
     return f"SELECT * FROM (SELECT t.id AS t_id, n.id AS n_id, {D2} AS d2, CAST(row_number() OVER (PARTITION BY t.id ORDER BY {D2}, n.id) AS INT) AS rank FROM test t, train n) WHERE rank <= {k}"
 
@@ -269,6 +277,30 @@ def _(spark, d):
     return spatial.interval_join(listings(spark, d).select("wohnflaeche"), ranges, "wohnflaeche", "lo", "hi", 10).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
+#: Intervals of listings' x, from a width of 1 to far beyond all of it.
+SPANS = {"p_partkey": "p_partkey", "lo": "CAST(p_partkey * 7919 % 200000 AS DOUBLE)", "hi": "CAST(p_partkey * 7919 % 200000 AS DOUBLE) + CASE WHEN p_partkey % 500 = 0 THEN 1e12 ELSE pow(2, p_partkey % 18) END"}
+SPANS_SQL = ", ".join(f"{v} AS {k}" for k, v in SPANS.items())
+
+
+def spans(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").select(*[F.expr(v).alias(k) for k, v in SPANS.items()])
+
+
+@register("join_interval_wide", f"SELECT p_partkey, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x FROM listings JOIN (SELECT {SPANS_SQL} FROM part) ON x >= lo AND x < hi GROUP BY p_partkey")
+def _(spark, d):
+    found = spatial.interval_join(listings(spark, d).select("x"), spans(spark, d), "x", "lo", "hi")
+    return found.groupBy("p_partkey").agg(F.count("*").alias("n"), F.sum("x").cast("long").alias("sum_x"))
+
+
+@register("interval_index", f", kept AS (SELECT {SPANS_SQL} FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey + 1000000000, lo + 100, hi + 200 FROM (SELECT {SPANS_SQL} FROM part) WHERE p_partkey % 3 = 0) SELECT p_partkey, count(*) AS n FROM listings JOIN kept ON x >= lo AND x < hi GROUP BY p_partkey")
+def _(spark, d):
+    """An index of which a fifth is deleted, and to which a third is added under new keys."""
+    rows = spans(spark, d)
+    more = rows.where("p_partkey % 3 = 0").select((F.col("p_partkey") + 1000000000).alias("p_partkey"), (F.col("lo") + 100).alias("lo"), (F.col("hi") + 200).alias("hi"))
+    index = spatial.IntervalIndex(rows, "p_partkey", "lo", "hi").delete(rows.where("p_partkey % 5 = 0")).add(more)
+    return index.stab(listings(spark, d).select("x"), "x").groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
 @register("join_epsilon_edges", f"SELECT t.id AS a_id, n.id AS b_id FROM listings t JOIN listings n ON t.id < n.id AND {D2} <= 700.0 * 700.0")
 def _(spark, d):
     return spatial.epsilon_edges(small(listings(spark, d)), 700).select("a_id", "b_id")
