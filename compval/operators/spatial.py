@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from compval.durable import saved
 from compval.functions.scalars import squared_distance
 
 
@@ -86,10 +87,20 @@ def _ranked(pairs: DataFrame, k: int, a: str, b: str) -> DataFrame:
 
 
 def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: str = "n_", radius: float | None = None, rounds: int = 40) -> DataFrame:
-    """The k nearest others of each target, ties to the smaller id, with knn_rank. A target is done once k others lie
-    within the radius searched; the rest search twice as far. The first radius follows from the density of the others."""
+    """The k nearest others of each target, ties to the smaller id, with knn_rank; ids are unique on either side. A target is
+    done once k others lie within the radius searched; the rest search twice as far. The first radius follows from the
+    density of the others. Only ids and places are joined and ranked; what else the rows hold comes to the pairs chosen."""
     located = F.col("x").isNotNull() & F.col("y").isNotNull()
-    others = others.where(located)
+    narrow = lambda df: df.where(located).select("id", "x", "y")
+    pairs = _nearest(narrow(targets), narrow(others), k, a, b, radius, rounds)
+    for df, c in ((targets, a), (others, b)):
+        more = [x for x in df.columns if x not in ("x", "y")]
+        if more != ["id"]:
+            pairs = pairs.join(prefixed(df.select(*more), c), f"{c}id")
+    return pairs.select(*[f"{a}{c}" for c in targets.columns], *[f"{b}{c}" for c in others.columns], "knn_rank")
+
+
+def _nearest(targets: DataFrame, others: DataFrame, k: int, a: str, b: str, radius: float | None, rounds: int) -> DataFrame:
     box = others.agg(F.count("*").alias("n"), *[g(c).alias(f"{n}{c}") for c in ("x", "y") for n, g in (("lo", F.min), ("hi", F.max))]).first()
     n = box["n"]
     if not n:
@@ -97,13 +108,13 @@ def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: st
     wide, high = box["hix"] - box["lox"], box["hiy"] - box["loy"]
     if radius is None:
         radius = max(1.0, (4.0 * k * max(wide, 1.0) * max(high, 1.0) / (n * 3.14159)) ** 0.5)
-    todo, out = targets.where(located), None
+    todo, out = targets, None
     for _ in range(rounds):
-        found = _ranked(radius_join(todo, others, radius, a, b), k, a, b).persist()
+        found = saved(_ranked(radius_join(todo, others, radius, a, b), k, a, b))
         full = found.groupBy(f"{a}id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, n))
         done = found.join(full.select(f"{a}id"), f"{a}id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(full.select(F.col(f"{a}id").alias("id")), "id", "left_anti").persist()
+        todo = saved(todo.join(full.select(F.col(f"{a}id").alias("id")), "id", "left_anti"))
         if todo.isEmpty():
             break
         radius *= 2
