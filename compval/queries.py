@@ -146,46 +146,53 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ parsers
 TEXTS = ["ja", " Ja  ", "nEiN ", "janein ", "100%", "75%", "7", "10.5%", "gogglebod", "", "10,", "10,12", "10", "10,,", "ETW", "eine Doppelhaushälfte", "Reihenendhaus", "reihenmittelhaus", "Zweifamilienhaus", "Reihenhaus", "Mehrfamilienhaus", "EFH mit Einlieger", "EFH", "villa", "mittel (Stufe 3)"]
-VALUES = "texts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + ") AS v(k, s))"
+VALUES = "given AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + ") AS v(k, s))"
+#: The texts of parts: in turn one of these, and numbers and names of the part's own.
+PART_TEXT = "CASE p_partkey % 4 WHEN 1 THEN concat(' ', p_size, ' %') WHEN 2 THEN concat(p_size, ',', p_partkey % 100) WHEN 3 THEN concat(p_name, ' ', s) ELSE s END"
+VALUES += f", texts AS (SELECT p_partkey AS k, {PART_TEXT} AS s FROM part JOIN given ON given.k = (p_partkey // 4) % {len(TEXTS)})"
 
 
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TEXTS)), "k int, s string")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame(list(enumerate(TEXTS)), "i long, s string")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("i", F.expr(f"p_partkey DIV 4 % {len(TEXTS)}"))
+    return parts.join(given, "i").select(F.col("p_partkey").alias("k"), F.expr(PART_TEXT).alias("s"))
 
 
 @register("parse_ja_nein", "SELECT k, CASE lower(trim(s)) WHEN 'ja' THEN true WHEN 'nein' THEN false END AS v FROM texts", f"WITH {VALUES}")
 def _(spark, d):
-    return texts(spark).select("k", S.ja_nein(F.col("s")).alias("v"))
+    return texts(spark, d).select("k", S.ja_nein(F.col("s")).alias("v"))
 
 
 @register("parse_percentage", "SELECT k, round(TRY_CAST(replace(trim(s), '%', '') AS DOUBLE) / 100, 9) AS v FROM texts", f"WITH {VALUES}")
 def _(spark, d):
-    return texts(spark).select("k", F.round(S.percentage(F.col("s")), 9).alias("v"))
+    return texts(spark, d).select("k", F.round(S.percentage(F.col("s")), 9).alias("v"))
 
 
 @register("parse_decimal_comma", "SELECT k, TRY_CAST(replace(s, ',', '.') AS DOUBLE) AS v FROM texts", f"WITH {VALUES}")
 def _(spark, d):
-    return texts(spark).select("k", S.decimal_comma(F.col("s")).alias("v"))
+    return texts(spark, d).select("k", S.decimal_comma(F.col("s")).alias("v"))
 
 
 @register("parse_object_type", "SELECT k, CASE WHEN lower(s) LIKE '%etw%' OR lower(s) LIKE '%eigentumswohnung%' THEN 'Eigentumswohnung' " + " ".join(f"WHEN lower(s) LIKE '%{p}%' THEN '{name}'" for ps, name in S.OBJECT_TYPES[1:] for p in ps) + " END AS v FROM texts", f"WITH {VALUES}")
 def _(spark, d):
-    return texts(spark).select("k", S.object_type(F.col("s")).alias("v"))
+    return texts(spark, d).select("k", S.object_type(F.col("s")).alias("v"))
 
 
 @register("parse_furnishing_grade", "SELECT k, TRY_CAST(nullif(regexp_extract(s, '\\(Stufe ([2-5])\\)$', 1), '') AS INT) AS v FROM texts", f"WITH {VALUES}")
 def _(spark, d):
-    return texts(spark).select("k", S.furnishing_grade(F.col("s")).alias("v"))
+    return texts(spark, d).select("k", S.furnishing_grade(F.col("s")).alias("v"))
 
 
 LABELS = ["Eigentumswohnung", "gut", "sehr gut", "GK 3", "mittel (Stufe 3)", "5 - durchschnittlich", "Flachdach", "eingeschränkt", "Holzhaus", "Fremdnutzung", "?"]
-LABEL_VALUES = "labels_ AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(LABELS)) + ", (99, NULL)) AS v(k, s))"
+LABEL_VALUES = "given AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(LABELS)) + f", ({len(LABELS)}, NULL)) AS v(i, s)), labels_ AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE s END AS s FROM orders JOIN given ON i = o_orderkey % {len(LABELS) + 1})"
 TABLES = {"object_type": E.OBJECT_TYPE, "condition": E.CONDITION, "location": E.LOCATION, "construction": E.CONSTRUCTION, "rentability": E.RENTABILITY, "marketability": E.MARKETABILITY, "attic": E.ATTIC, "usage": E.USAGE}
 
 
 @register("parse_labels", "SELECT k, " + ", ".join("CASE s " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in t.items()) + f" END AS {n}" for n, t in TABLES.items()) + ", CASE WHEN s LIKE '%GK 1%' THEN 4 WHEN s LIKE '%GK 2%' THEN 3 WHEN s LIKE '%GK 3%' THEN 2 WHEN s LIKE '%GK 4%' THEN 1 ELSE 5 END AS flood, TRY_CAST(nullif(regexp_extract(s, '[1-5]', 0), '') AS INT) AS furnishing FROM labels_", f"WITH {LABEL_VALUES}")
 def _(spark, d):
-    rows = spark.createDataFrame([*enumerate(LABELS), (99, None)], "k int, s string")
+    given = spark.createDataFrame(list(enumerate([*LABELS, None])), "i long, s string")
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("i", F.expr(f"CAST(o_orderkey % {len(LABELS) + 1} AS BIGINT)"))
+    rows = orders.join(given, "i").select(F.col("o_orderkey").alias("k"), F.expr("CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority ELSE s END").alias("s"))
     return rows.select("k", *[E.number(F.col("s"), t).alias(n) for n, t in TABLES.items()], E.flood_zone(F.col("s")).alias("flood"), E.furnishing(F.col("s")).alias("furnishing"))
 
 
