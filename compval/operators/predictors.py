@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +111,28 @@ def dully(power: float = 2.0, radius: float = 10_000.0) -> WeightedAverage:
     return WeightedAverage(D.distance(power), radius=radius)
 
 
+def _grid_sums(low: float, step: float, steps: int):
+    """Of each batch's targets the number of pairs, then for each exponent the sum of weight x price, then that of weights. A
+    weight is the one of the exponent before it times a ratio, so a pair costs two powers whatever the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            target, price, d2 = (b.column(c).to_numpy() for c in ("t_id", "n_sqm", "d2"))
+            counts = ~b.column("own").to_numpy(zero_copy_only=False)
+            ids, code = np.unique(target, return_inverse=True)
+            w, ratio = (np.exp(np.log(d2) * (-e / 2)) for e in (low, step))
+            sums = np.empty((len(ids), 2 * steps))
+            for i in range(steps):
+                held = np.clip(w, 1e-10, 1e9) * counts
+                sums[:, i] = np.bincount(code, held * price, len(ids))
+                sums[:, steps + i] = np.bincount(code, held, len(ids))
+                w = w * ratio
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * 2 * steps), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(code, minlength=len(ids)).astype(np.int64)), cells], names=["t_id", "found", "sums"])
+
+    return run
+
+
 @dataclass
 class LearningDully:
     """The exponent of the distance, of a grid, with the least error when every row is predicted from the others."""
@@ -123,20 +148,26 @@ class LearningDully:
     def errors(self, rows: DataFrame) -> DataFrame:
         """exponent and error of each grid point, in one job: the pairs are joined once and weighed for each exponent."""
         base = dully(radius=self.radius).train(rows)
-        places = base.train_rows.select("id", "x", "y", "sqm")
-        grid = [self.low + i * (self.high - self.low) / max(1, self.steps - 1) for i in range(self.steps)]
-        w = lambda e: F.when(F.col("t_id") == F.col("n_id"), 0.0).otherwise(1 / F.least(F.greatest(F.pow("d2", F.lit(e / 2)), F.lit(1e-9)), F.lit(1e10)))
+        # Pairs carry a number and not the id, as there are many of them.
+        places = saved(base.train_rows.select("x", "y", "sqm").withColumn("id", F.monotonically_increasing_id()))
+        step = (self.high - self.low) / max(1, self.steps - 1)
+        grid = [self.low + i * step for i in range(self.steps)]
 
         def sums_of(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.select("t_id", "n_id", "n_sqm", F.greatest(spatial.squared_distance("t_", "n_"), F.lit(D.MIN_SQUARED_DISTANCE)).alias("d2"))
-            return pairs.groupBy("t_id").agg(F.count("*").alias("found"), *[x for i, e in enumerate(grid) for x in (F.sum(w(e) * F.col("n_sqm")).alias(f"a{i}"), F.sum(w(e)).alias(f"w{i}"))])
+            d2 = F.greatest(spatial.squared_distance("t_", "n_"), F.lit(D.MIN_SQUARED_DISTANCE))
+            pairs = pairs.select("t_id", "n_sqm", d2.alias("d2"), (F.col("t_id") == F.col("n_id")).alias("own"))
+            parts = pairs.mapInArrow(_grid_sums(self.low, step, self.steps), "t_id long, found long, sums array<double>")
+            each = [F.sum(F.col("sums")[j * self.steps + i]).alias(f"{c}{i}") for i in range(self.steps) for j, c in enumerate("aw")]
+            return parts.groupBy("t_id").agg(F.sum("found").alias("found"), *each)
 
         # One pass weighs all pairs and counts them; only the few targets with too few pairs are searched again.
-        sums = saved(sums_of(spatial.radius_join(places, places, self.radius)).where(F.col("found") >= base.fallback))
+        # The targets are spread by number: a table of few bytes is one file, but its pairs are work for every core.
+        spread = places.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+        sums = saved(sums_of(spatial.radius_join(spread, places, self.radius)).where(F.col("found") >= base.fallback))
         few = saved(places.join(sums.select(F.col("t_id").alias("id")), "id", "left_anti"))
         if not few.isEmpty():
             sums = sums.unionByName(sums_of(spatial.knn_join(few, places, base.fallback)))
-        both = base.train_rows.select(F.col("id").alias("t_id"), "sqm").join(sums, "t_id")
+        both = places.select(F.col("id").alias("t_id"), "sqm").join(sums, "t_id")
         each = F.array(*[F.struct(F.lit(e).alias("exponent"), F.try_divide(F.col(f"a{i}"), F.col(f"w{i}")).alias("pred_sqm")) for i, e in enumerate(grid)])
         long = both.select("sqm", F.explode(each).alias("e")).select("sqm", "e.*")
         return long.groupBy("exponent").agg(aggregates.kpi(F.col("sqm"), F.col("pred_sqm"))[self.measure].alias("error"))
