@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from compval.durable import saved
 from compval.functions.scalars import sqm_price
 
 
@@ -16,12 +17,31 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.when(w == 0, float("nan")).otherwise(F.try_divide(F.sum(value * weight), w))
 
 
-def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, tie: str, out: str) -> DataFrame:
-    """By group the smallest value whose cumulated weight reaches half of the whole."""
+def reaching(df: DataFrame, by: list[str], value: str, weight: Column, goal: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """By group (a null key is one) the smallest value where goal(weight of the values up to it, weight of the group) holds;
+    groups without weights have no row. Weights are 0 or more. Those of equal values are added up first; the sums are ranged
+    by group and value, so a group of any size is spread over tasks, and the ranges' sums say which one range of a group to
+    go through. Null values come first but are never the result."""
+    sums = df.groupBy(*by, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
+    ranged = saved(sums.repartitionByRange(*by, "_v").withColumn("_p", F.spark_partition_id()))
     group = Window.partitionBy(*by)
-    cum = F.sum(weight).over(group.orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = df.withColumns({"_cum": cum, "_total": F.sum(weight).over(group)})
-    return ranked.where(F.col("_cum") >= F.col("_total") / 2).groupBy(*by).agg(F.min(value).alias(out))
+    before = F.coalesce(F.sum("_s").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = ranged.groupBy(*by, "_p").agg(F.sum("_w").alias("_s")).withColumns({"_before": before, "_total": F.sum("_s").over(group)})
+    there = parts.where(goal(F.col("_before") + F.col("_s"), F.col("_total"))).groupBy(*by).agg(F.min(F.struct("_p", "_before", "_total")).alias("_at"))
+    there = there.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_at._before", "_at._total", F.col("_at._p").alias("_in"))
+    same = F.col("_p") == F.col("_in")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    cum = F.sum("_w").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.join(there, same).withColumn("_cum", F.col("_before") + cum)
+    # A sum that misses the goal by rounding alone ends at the range's last value.
+    last = F.coalesce(F.min(F.when(goal(F.col("_cum"), F.col("_total")), F.col("_v"))), F.max("_v"))
+    return found.groupBy(*by).agg(last.alias(out))
+
+
+def weighted_median(df: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
+    """By group the smallest value whose cumulated weight reaches half of the whole."""
+    return reaching(df, by, value, F.col(weight), lambda cum, total: cum >= total / 2, out)
 
 
 MEASURES = ("mse", "rmse", "mae", "mpe", "mape", "median_ape", "msle", "rmsle", "mape_on_logs", "r2", "pe5", "pe10", "pe15", "pe20")
@@ -52,10 +72,8 @@ def kpi(real: Column, pred: Column, strict: bool = False) -> dict[str, Column]:
 
 
 def _median_ape(df: DataFrame, by: list[str]) -> DataFrame:
-    """The absolute percentage error at 0-based index min(floor((n + 1) / 2), n - 1) of its order: a rank, not an array."""
-    group = Window.partitionBy(*by)
-    ranked = df.withColumns({"_i": F.row_number().over(group.orderBy("_ape")) - 1, "_n": F.count("*").over(group)})
-    return ranked.where(F.col("_i") == F.least(F.floor((F.col("_n") + 1) / 2), F.col("_n") - 1)).groupBy(*by).agg(F.first("_ape").alias("median_ape"))
+    """The absolute percentage error at 0-based index min(floor((n + 1) / 2), n - 1) of its order."""
+    return reaching(df, by, "_ape", F.lit(1), lambda cum, n: cum > F.least(F.floor((n + 1) / 2), n - 1), "median_ape")
 
 
 def evaluate(pairs: DataFrame, by: list[str] | None = None, real: str = "sqm", pred: str = "pred_sqm", strict: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,13 +87,14 @@ def _ranked(pairs: DataFrame, k: int, a: str, b: str) -> DataFrame:
     return pairs.withColumn("knn_rank", F.row_number().over(order)).where(F.col("knn_rank") <= k)
 
 
-def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: str = "n_", radius: float | None = None, rounds: int = 40) -> DataFrame:
+def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: str = "n_", radius: float | None = None, rounds: int = 20) -> DataFrame:
     """The k nearest others of each target, ties to the smaller id, with knn_rank; ids are unique on either side. A target is
-    done once k others lie within the radius searched; the rest search twice as far. The first radius follows from the
-    density of the others. Only ids and places are joined and ranked; what else the rows hold comes to the pairs chosen."""
+    done once k others lie within the radius it searched; the rest search four times as far. Its first radius follows from the
+    density of the others around it, or is the one given. Only ids and places are joined and ranked; what else the rows hold
+    comes to the pairs chosen."""
     located = F.col("x").isNotNull() & F.col("y").isNotNull()
     narrow = lambda df: df.where(located).select("id", "x", "y")
-    pairs = _nearest(narrow(targets), narrow(others), k, a, b, radius, rounds)
+    pairs = _nearest(saved(narrow(targets)), saved(narrow(others)), k, a, b, radius, rounds)
     for df, c in ((targets, a), (others, b)):
         more = [x for x in df.columns if x not in ("x", "y")]
         if more != ["id"]:
@@ -100,24 +102,66 @@ def knn_join(targets: DataFrame, others: DataFrame, k: int, a: str = "t_", b: st
     return pairs.select(*[f"{a}{c}" for c in targets.columns], *[f"{b}{c}" for c in others.columns], "knn_rank")
 
 
+#: Where no square as wide as the mean first radius holds more than CROWDED times k others, that radius serves all targets.
+CROWDED = 8
+#: Levels beyond that of the mean: targets where it is sparser start with up to 2^COARSER times its radius.
+COARSER = 2
+
+
+def _levels(targets: DataFrame, others: DataFrame, k: int, cell: float, top: int, box) -> DataFrame:
+    """targets with _l: the first level at which the square of 2^_l cells around a target (for one outside the box of the
+    others: around the box's nearest place) holds half of k others, and at least as far as the box. Cells are counted once,
+    at level 0, and added up from there."""
+    def placed(c: str) -> Column:
+        return _whole(F.least(F.greatest(F.col(c), F.lit(box[f"lo{c}"])), F.lit(box[f"hi{c}"])) - F.lit(box[f"lo{c}"]), cell)
+
+    up = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    at = ("_l", F.expr("shiftright(_cx, _l)").alias("_ux"), F.expr("shiftright(_cy, _l)").alias("_uy"))
+    counts = others.groupBy(placed("x").alias("_cx"), placed("y").alias("_cy")).agg(F.count("*").alias("_n"))
+    enough = counts.withColumn("_l", up).groupBy(*at).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= (k + 1) // 2).select("_l", "_ux", "_uy")
+    near = targets.withColumns({"_cx": placed("x"), "_cy": placed("y")})
+    cells = near.select("_cx", "_cy").distinct().withColumn("_l", up).select("_cx", "_cy", *at)
+    first = cells.join(enough, ["_l", "_ux", "_uy"]).groupBy("_cx", "_cy").agg(F.min("_l").alias("_l"))
+    away = F.greatest(*[F.abs(F.col(c) - F.least(F.greatest(F.col(c), F.lit(box[f"lo{c}"])), F.lit(box[f"hi{c}"]))) for c in ("x", "y")])
+    far = F.when(away > cell, F.least(F.ceil(F.log2(away / cell)), F.lit(50)).cast("int")).otherwise(0)
+    return near.join(first, ["_cx", "_cy"], "left").select("id", "x", "y", F.greatest(F.coalesce("_l", F.lit(top)), far).alias("_l"))
+
+
+def _levels_join(targets: DataFrame, others: DataFrame, cell: float, a: str, b: str) -> DataFrame:
+    """Pairs within cell * 2^_l, each target's own radius. Others are repeated for the levels that occur."""
+    levels = sorted(r[0] for r in targets.select("_l").distinct().collect())  # some 60 at most
+    size = F.expr("shiftleft(1L, _l)") * F.lit(cell)
+    cells = lambda c, plus: F.floor(F.col(c) / size) + plus
+    around = F.array(*[F.struct(cells("x", i).alias("cx"), cells("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = targets.withColumn("_c", F.explode(around)).select(*[F.col(c).alias(a + c) for c in ("id", "x", "y")], "_l", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
+    right = others.withColumn("_l", F.explode(F.array(*map(F.lit, levels)))).select(*[F.col(c).alias(b + c) for c in ("id", "x", "y")], "_l", cells("x", 0).alias("_cx"), cells("y", 0).alias("_cy"))
+    met = left.join(right, ["_l", "_cx", "_cy"])
+    return met.where(squared_distance(a, b) <= size * size).drop("_l", "_cx", "_cy")
+
+
 def _nearest(targets: DataFrame, others: DataFrame, k: int, a: str, b: str, radius: float | None, rounds: int) -> DataFrame:
     box = others.agg(F.count("*").alias("n"), *[g(c).alias(f"{n}{c}") for c in ("x", "y") for n, g in (("lo", F.min), ("hi", F.max))]).first()
     n = box["n"]
     if not n:
         return _ranked(radius_join(targets, others, 1.0, a, b), k, a, b)
     wide, high = box["hix"] - box["lox"], box["hiy"] - box["loy"]
+    cell, todo = radius, targets.withColumn("_l", F.lit(0))
     if radius is None:
-        radius = max(1.0, (4.0 * k * max(wide, 1.0) * max(high, 1.0) / (n * 3.14159)) ** 0.5)
-    todo, out = targets, None
+        cell = max(1.0, (4.0 * k * max(wide, 1.0) * max(high, 1.0) / (n * 3.14159)) ** 0.5)
+        most = others.groupBy(_cell("x", cell), _cell("y", cell)).count().agg(F.max("count")).first()[0]
+        if most > CROWDED * k:
+            finer = min(20, math.ceil(math.log(most / k, 4)))  # down to where the densest square holds k, if it is even
+            cell /= 2**finer
+            todo = saved(_levels(targets, others, min(k, n), cell, finer + COARSER, box))
+    out = None
     for _ in range(rounds):
-        found = saved(_ranked(radius_join(todo, others, radius, a, b), k, a, b))
+        found = saved(_ranked(_levels_join(todo, others, cell, a, b), k, a, b))
         full = found.groupBy(f"{a}id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min(k, n))
         done = found.join(full.select(f"{a}id"), f"{a}id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = saved(todo.join(full.select(F.col(f"{a}id").alias("id")), "id", "left_anti"))
+        todo = saved(todo.join(full.select(F.col(f"{a}id").alias("id")), "id", "left_anti").withColumn("_l", F.col("_l") + 2))
         if todo.isEmpty():
             break
-        radius *= 2
     else:  # what was found for those that are still not full
         out = out.unionByName(found.join(todo.select(F.col("id").alias(f"{a}id")), f"{a}id", "left_semi"))
     return out

@@ -463,7 +463,7 @@ def _(spark, d):
 
 @register("agg_weighted_median", "SELECT prefecture, min(sqm) AS median FROM (SELECT prefecture, sqm, sum(wohnflaeche) OVER (PARTITION BY prefecture ORDER BY sqm, id ROWS UNBOUNDED PRECEDING) AS c, sum(wohnflaeche) OVER (PARTITION BY prefecture) AS total FROM sale) WHERE c >= total / 2 GROUP BY prefecture")
 def _(spark, d):
-    return aggregates.weighted_median(sale(spark, d).select("prefecture", "id", "sqm", "wohnflaeche"), ["prefecture"], "sqm", "wohnflaeche", "id", "median")
+    return aggregates.weighted_median(sale(spark, d).select("prefecture", "id", "sqm", "wohnflaeche"), ["prefecture"], "sqm", "wohnflaeche", "median")
 
 
 CAPPED = f"least(greatest({D2}, 100.0), 1e10)"
@@ -712,6 +712,16 @@ def _(spark, d):
     return clustering.blocks_connected(rows.select("id", F.col("prefecture").alias("block")), spatial.epsilon_edges(small(rows), 1500))
 
 
+@register("components_added", f""", both AS (SELECT * FROM train UNION ALL SELECT * FROM test),
+edges AS (SELECT t.id AS a, n.id AS b FROM both t JOIN both n ON t.id <> n.id AND {D2} <= 1000.0 * 1000.0),
+met AS (WITH RECURSIVE found(first, id) AS (SELECT id, id FROM both UNION SELECT found.first, b FROM found JOIN edges ON edges.a = found.id) SELECT * FROM found)
+SELECT id, min(first) AS component FROM met GROUP BY id""")
+def _(spark, d):
+    """Components of the listings before the split date, into which those after it are added."""
+    old, new = (small(x) for x in parts(spark, d))
+    return clustering.components_extended(clustering.components(old, spatial.epsilon_edges(old, 1000)), new, clustering.edges_added(old, new, 1000))
+
+
 @register("cluster_contraction_connected")
 def _(spark, d):
     """Contraction never leaves a block that does not hang together."""

@@ -138,3 +138,36 @@ def test_ranges_of_any_size(spark):
 def test_one_of_each_pair_of_ends(spark):
     edges = spark.createDataFrame([(1, 2, -3.0), (2, 3, -5.0), (3, 4, -4.0), (5, 6, -1.0), (7, 8, 1.0), (9, 10, float("inf"))], "a long, b long, w double")
     assert sorted(map(tuple, rounds.best_pairs(edges).collect())) == [(2, 3), (5, 6)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_added_entries_extend_components(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(f"{i:03}", rnd.uniform(0, 400), rnd.uniform(0, 300)) for i in range(60)] + [("z1", None, 1.0)]
+    rnd.shuffle(rows)
+    old, new = (spark.createDataFrame(r, "id string, x double, y double") for r in (rows[:40], rows[40:]))
+    every = old.unionByName(new)
+    want = dict(clustering.components(every, spatial.epsilon_edges(every, REACH)).select("id", "component").collect())
+    found = clustering.components(old, spatial.epsilon_edges(old, REACH))
+    assert dict(clustering.components_extended(found, new, clustering.edges_added(old, new, REACH)).collect()) == want
+    nothing = new.limit(0)
+    assert dict(clustering.components_extended(found, nothing, clustering.edges_added(old, nothing, REACH)).collect()) == dict(found.select("id", "component").collect())
+
+
+def nearest(targets, others, k):
+    return {t[0]: [o[0] for o in sorted(others, key=lambda o: ((t[1] - o[1]) ** 2 + (t[2] - o[2]) ** 2, o[0]))[:k]] for t in targets}
+
+
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_nearest_where_most_lie_in_one_place(spark, k):
+    rnd = random.Random(k)
+    dense = [(i, float(rnd.randrange(40)), float(rnd.randrange(40))) for i in range(300)]
+    sparse = [(300 + i, float(rnd.randrange(100_000)), float(rnd.randrange(100_000))) for i in range(20)]
+    targets = [(1, 20.0, 20.0), (2, 50_000.0, 50_000.0), (3, 99_999.0, 3.0), (4, -1e9, 1e12), (5, 41.0, 41.0), *((10 + i, *r[1:]) for i, r in enumerate(sparse))]
+    schema = "id long, x double, y double"
+    made = lambda rows, also=(): spark.createDataFrame([*rows, *also], schema)
+    got = spatial.knn_join(made(targets, [(9, None, 1.0)]), made(dense + sparse, [(999, None, None)]), k).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["knn_rank"]):
+        by[r["t_id"]].append(r["n_id"])
+    assert by == nearest(targets, dense + sparse, k)

@@ -75,7 +75,7 @@ def test_expert_of_houses(spark):
 def test_weighted_mean_and_median(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 0.0)], "v double, w double")
     assert df.agg(aggregates.weighted_mean(F.col("v"), F.col("w"))).first()[0] == pytest.approx(4 / 3)
-    median = lambda ws: aggregates.weighted_median(spark.createDataFrame([(1, float(i + 1), float(w)) for i, w in enumerate(ws)], "g int, v double, w double"), ["g"], "v", "w", "v", "m").first()["m"]
+    median = lambda ws: aggregates.weighted_median(spark.createDataFrame([(1, float(i + 1), float(w)) for i, w in enumerate(ws)], "g int, v double, w double"), ["g"], "v", "w", "m").first()["m"]
     assert median([2, 1, 0]) == 1 and median([0, 0, 1]) == 3 and median([0, 0, 0]) == 1
 
 
