@@ -40,3 +40,40 @@ def dropped(df: DataFrame) -> None:
         if "/tables-" in path:
             path = jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(conf).delete(path, True)
+
+
+class Journal:
+    """Texts by number in a folder that outlives its application. A text is written under another name and then renamed, so
+    one that is found is whole; the two last are kept."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm, self.path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self.path)
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
+
+    def _names(self) -> list[str]:
+        return sorted(n for f in self.fs.listStatus(self.path) if (n := f.getPath().getName()).endswith(".json"))
+
+    def write(self, number: int, text: str) -> None:
+        name, part = f"{number:010}.json", self._at(f"{number:010}.part")
+        out = self.fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(self._at(name), False)
+        if not self.fs.rename(part, self._at(name)):
+            raise OSError(f"{name} was not written")
+        for old in self._names()[:-2]:
+            self.fs.delete(self._at(old), False)
+
+    def last(self) -> str | None:
+        names = self._names()
+        if not names:
+            return None
+        found = self.fs.open(self._at(names[-1]))
+        try:
+            return bytes(found.readAllBytes()).decode()
+        finally:
+            found.close()
