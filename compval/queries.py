@@ -712,9 +712,9 @@ def _(spark, d):
     return clustering.blocks_connected(rows.select("id", F.col("prefecture").alias("block")), spatial.epsilon_edges(small(rows), 1500))
 
 
-@register("components_added", f""", both AS (SELECT * FROM train UNION ALL SELECT * FROM test),
-edges AS (SELECT t.id AS a, n.id AS b FROM both t JOIN both n ON t.id <> n.id AND {D2} <= 1000.0 * 1000.0),
-met AS (WITH RECURSIVE found(first, id) AS (SELECT id, id FROM both UNION SELECT found.first, b FROM found JOIN edges ON edges.a = found.id) SELECT * FROM found)
+@register("components_added", f""", every AS (SELECT * FROM train UNION ALL SELECT * FROM test),
+edges AS (SELECT t.id AS a, n.id AS b FROM every t JOIN every n ON t.id <> n.id AND {D2} <= 1000.0 * 1000.0),
+met AS (WITH RECURSIVE found(first, id) AS (SELECT id, id FROM every UNION SELECT found.first, b FROM found JOIN edges ON edges.a = found.id) SELECT * FROM found)
 SELECT id, min(first) AS component FROM met GROUP BY id""")
 def _(spark, d):
     """Components of the listings before the split date, into which those after it are added."""
