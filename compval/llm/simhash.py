@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +84,25 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, second: bool =
     return documents(docs, text_hash().alias("h")).mapInArrow(run, "doc_id long, h long, fp long, fp2 long")
 
 
+@lru_cache
+def _vectors(n: int, dimensions: int) -> list[int]:
+    """Non-zero vectors for n positions, dealt so that every mask keeps about half of them: each next vector is the one that
+    leaves the least sum of 2^-kept over the masks, which is the share of random values that meet."""
+    v = np.arange(1, 1 << dimensions)
+    odd = np.bitwise_count(v[:, None] & v[None, :]) & 1  # by vector and mask
+    share, out = np.ones(len(v)), []
+    for _ in range(n):
+        best = int(np.argmin((1 - odd / 2) @ share))
+        share = share * (1 - odd[best] / 2)
+        out.append(best + 1)
+    return out
+
+
 def covering_masks(kept: int = 0, radius: int = 3, bits: int = 64) -> list[int]:
     """Masks that keep `kept` and part of the other bits: values within radius that agree on `kept` agree on one of them."""
     free = [i for i in range(bits) if not kept >> i & 1]
-    most = (1 << (radius + 1)) - 1
-    vector = {bit: 1 + i % most for i, bit in enumerate(free)}
-    return [kept | sum(1 << bit for bit, x in vector.items() if (x & v).bit_count() & 1) for v in range(1, most + 1)]
+    vector = dict(zip(free, _vectors(len(free), radius + 1)))
+    return [kept | sum(1 << bit for bit, x in vector.items() if (x & v).bit_count() & 1) for v in range(1, 1 << (radius + 1))]
 
 
 def forest(nodes: np.ndarray, fps: np.ndarray, radius: int, checks: np.ndarray | None = None, check: int = 64) -> list[tuple[int, int]]:

@@ -729,6 +729,11 @@ def test_masks_cover_every_difference_within_the_radius():
             assert any(m & diff == 0 for m in masks)
 
 
+@pytest.mark.parametrize("radius, kept, least", [(3, 0, 26), (6, 0, 26), (6, (1 << 32) - 1, 10)])
+def test_every_mask_keeps_about_half_of_the_bits(radius, kept, least):
+    assert min((m & ~kept).bit_count() for m in simhash.covering_masks(kept, radius)) >= least
+
+
 @pytest.mark.parametrize("most", [2000, 3])
 def test_links_of_a_crowded_bucket(spark, most):
     rnd = random.Random(8)
