@@ -1,11 +1,13 @@
-"""Sums over all others within a radius, against every pair."""
+"""Sums over all others within a radius, and over intervals, against every pair."""
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from compval import queries
 from compval.functions import dissimilarity as D
-from compval.operators import environment, fields, predictors
+from compval.operators import environment, fields, predictors, spatial
 
 
 def points(n: int, seed: int, first: int = 0) -> list:
@@ -42,3 +44,21 @@ def test_environment_without_values(spark):
     price = D.sqm_price_difference()
     one, two = ({r["id"]: r["u"] for r in environment.environment(rows, d, 100).collect()} for d in (None, lambda a, b: price(a, b)))
     assert one == pytest.approx(two)
+
+
+@pytest.mark.parametrize("value", [None, "x"])
+def test_interval_sums_are_those_of_the_join(spark, monkeypatch, value):
+    rnd = random.Random(3)
+    places = spark.createDataFrame([(float(rnd.randint(0, 40)),) for _ in range(300)] + [(None,)], "x double")
+    bounds = [(i, float(rnd.randint(-5, 45)), float(rnd.randint(-5, 45))) for i in range(60)] + [(60, -1e300, 1e12), (61, None, 3.0), (62, 7.0, 7.0), (60, 0.0, 1.0)]
+    spans = spark.createDataFrame(bounds, "k long, lo double, hi double")
+    joined = spatial.interval_join(places, spans, "x", "lo", "hi").groupBy("k", "lo", "hi").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    monkeypatch.setattr(spatial, "interval_join", lambda *_: pytest.fail("pairs were joined"))
+    got = spatial.interval_sums(places, spans, "x", "lo", "hi", value)
+    assert sorted(got.collect()) == sorted(joined.select(*got.columns).collect())
+
+
+@pytest.mark.parametrize("name", ["join_interval", "join_interval_wide", "interval_index"])
+def test_counts_of_intervals_join_no_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(spatial, "interval_join", lambda *_: pytest.fail("pairs were joined"))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
