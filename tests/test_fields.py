@@ -62,3 +62,12 @@ def test_interval_sums_are_those_of_the_join(spark, monkeypatch, value):
 def test_counts_of_intervals_join_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(spatial, "interval_join", lambda *_: pytest.fail("pairs were joined"))
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_fallback_counts_without_a_window_over_pairs(spark):
+    schema = "id long, x double, y double, sqm double"
+    targets, others = (spark.createDataFrame(points(n, s), schema).select("id", "x", "y") for n, s in ((40, 1), (150, 2)))
+    want = spatial.with_fallback(spatial.radius_join(targets, others, 300), targets, others, 5).collect()
+    got = fields.radius_or_nearest(targets, others, 300, 5)
+    assert "Window" not in fields.radius_or_nearest(targets.limit(0), others, 300, 5)._jdf.queryExecution().toString()
+    assert sorted(got.collect()) == sorted(want)
