@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from compval import queries
 from compval.functions import dissimilarity as D
-from compval.operators import environment, fields, predictors, spatial
+from compval.operators import clustering, environment, fields, predictors, spatial
 
 
 def points(n: int, seed: int, first: int = 0) -> list:
@@ -71,3 +71,20 @@ def test_fallback_counts_without_a_window_over_pairs(spark):
     got = fields.radius_or_nearest(targets, others, 300, 5)
     assert "Window" not in fields.radius_or_nearest(targets.limit(0), others, 300, 5)._jdf.queryExecution().toString()
     assert sorted(got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("epsilon", [60.0, 200.0, 900.0])
+def test_links_connect_what_pairs_within_reach_connect(spark, epsilon):
+    rows = spark.createDataFrame([(*p, "ab"[p[0] % 2] if p[0] % 7 else None) for p in points(220, 5)], "id long, x double, y double, sqm double, block string")
+    edges, links = spatial.epsilon_edges(rows, epsilon), fields.reach_links(rows, epsilon)
+    assert sorted(clustering.components(rows, links).collect()) == sorted(clustering.components(rows, edges).collect())
+    inner = edges.where(F.col("a_block").eqNullSafe(F.col("b_block")))
+    assert sorted(clustering.components(rows, fields.reach_links(rows, epsilon, by="block")).collect()) == sorted(clustering.components(rows, inner).collect())
+    old, new = rows.where("id % 3 > 0"), rows.where("id % 3 = 0")
+    found = clustering.components(old, fields.reach_links(old, epsilon))
+    assert sorted(clustering.components_extended(found, new, clustering.links_added(old, new, epsilon)).collect()) == sorted(clustering.components(rows, edges).collect())
+
+
+def test_links_are_few_in_a_crowd(spark):
+    crowd = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
+    assert fields.reach_links(crowd, 50).count() < 3 * 400  # all 79,800 pairs are within reach
