@@ -88,3 +88,28 @@ def test_links_connect_what_pairs_within_reach_connect(spark, epsilon):
 def test_links_are_few_in_a_crowd(spark):
     crowd = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
     assert fields.reach_links(crowd, 50).count() < 3 * 400  # all 79,800 pairs are within reach
+
+
+@pytest.mark.parametrize("piece", [fields.PIECE, 60])
+def test_medians_are_those_of_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(fields, "PIECE", piece)
+    schema = "id long, x double, y double, sqm double"
+    targets, others = points(40, 1, 100), points(150, 2)
+    got = fields.distance_medians(spark.createDataFrame(targets, schema), spark.createDataFrame(others, schema), 500, 2.0, "sqm").collect()
+    want = {}
+    for i, x, y, _ in targets:
+        near = sorted((q, j, 0 if j == i else 1 / max((x - u) ** 2 + (y - v) ** 2, 100.0)) for j, u, v, q in others if None not in (x, u) and (x - u) ** 2 + (y - v) ** 2 <= 500**2)
+        total, grown = sum(w for *_, w in near), 0.0
+        for q, _, w in near:
+            grown += w
+            if grown >= total / 2 * (1 - 1e-12):
+                want[i] = (len(near), q)
+                break
+    assert {r["id"]: (r["found"], r["median"]) for r in got} == want
+
+
+def test_medians_and_grids_have_no_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr("compval.operators.spatial.radius_join", lambda *_, **__: pytest.fail("pairs were joined"))
+    rows = spark.createDataFrame([(str(i), 50.0 * i, 0.0, 100.0, 1e5 + i) for i in range(30)], "id string, x double, y double, wohnflaeche double, marktwert double")
+    assert predictors.WeightedAverage(median=True).train(rows).predict(rows.drop("marktwert")).where("pred_sqm is null").isEmpty()
+    assert predictors.LearningDully(steps=3).errors(rows).count() == 3
