@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from compval.durable import Journal
+from compval.functions import dissimilarity as D
 from compval.operators import aggregates, evolution
+from compval.schema import completed
 
 
 def reached(rows, goal):
@@ -102,3 +104,17 @@ def test_the_first_population_may_be_the_seed_alone():
     config = evolution.Config(population=5, generations=1, all_seed=True)
     evolution.evolve(lambda gs: seen.append(gs) or off(gs), START, config, watch=lambda *x: told.append(x[0]))
     assert seen[0] == [START] * 5 and told == [1]
+
+
+def test_fitness_keeps_no_pairs_and_is_the_predictors_error(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(f"{i:03}", rnd.choice([10.0, 400.0]) * i % 9000, 7.0 * i, rnd.uniform(30, 300), rnd.uniform(1e5, 9e5), rnd.choice([None, 1950, 1990, 2001]), rnd.choice([None, 1, 4]), rnd.choice(["Eigentumswohnung", "Reihenhaus", "Mehrfamilienhaus", None])) for i in range(160)]
+    df = aggregates.with_sqm(completed(spark.createDataFrame(rows, "id string, x double, y double, wohnflaeche double, marktwert double, baujahr int, regiotyp int, objektunterart string")))
+    train, test = df.where("CAST(id AS INT) % 4 > 0"), df.where("CAST(id AS INT) % 4 = 0 OR id = '001'")
+    fitness = evolution.Fitness(train, test, batch=None, guards=None)
+    chosen = random.Random(2)
+    genomes = [evolution.lp_genome(), *(evolution.lp_genome().regenerate(chosen) for _ in range(3))]
+    scale = D.min_max_scale(completed(train))
+    found = [evolution.lp_predictor(g, scale).train(train).predict(test).selectExpr("coalesce(abs((sqm - pred_sqm) / sqm), 1.0D) AS e").collect() for g in genomes]
+    monkeypatch.setattr(evolution, "radius_join", lambda *_, **__: pytest.fail("pairs were joined"))
+    assert fitness(genomes) == pytest.approx([sum(r["e"] for r in f) / len(f) for f in found], rel=1e-9)
