@@ -171,3 +171,16 @@ def test_nearest_where_most_lie_in_one_place(spark, k):
     for r in sorted(got, key=lambda r: r["knn_rank"]):
         by[r["t_id"]].append(r["n_id"])
     assert by == nearest(targets, dense + sparse, k)
+
+
+def test_large_blocks_of_one_cost_are_priced_by_their_extremes(spark, monkeypatch):
+    monkeypatch.setattr(rounds, "priced", lambda *_: pytest.fail("pairs of listings were priced"))
+    for seed in (1, 5):
+        rows = some_listings(seed, 40) + [("z", 30.0, 30.0, None, 0.0)][: seed - 1]
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        got = dict(map(tuple, clustering.cluster(df, REACH, KINDS[0][0], large=1).collect()))
+        assert set(got) == {r[0] for r in rows}
+        if seed == 1:
+            checked(rows, got, capped, False)
+        one = dict(map(tuple, clustering.cluster(df, REACH, C.negative_discrete(), large=1).collect()))
+        assert len(set(one.values())) == clustering.components(df, spatial.epsilon_edges(df, REACH)).select("component").distinct().count()
