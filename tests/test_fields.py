@@ -113,3 +113,21 @@ def test_medians_and_grids_have_no_row_a_pair(spark, monkeypatch):
     rows = spark.createDataFrame([(str(i), 50.0 * i, 0.0, 100.0, 1e5 + i) for i in range(30)], "id string, x double, y double, wohnflaeche double, marktwert double")
     assert predictors.WeightedAverage(median=True).train(rows).predict(rows.drop("marktwert")).where("pred_sqm is null").isEmpty()
     assert predictors.LearningDully(steps=3).errors(rows).count() == 3
+
+
+def test_guards_join_what_may_pass_alone(spark, monkeypatch):
+    rnd = random.Random(8)
+    some = lambda *xs: rnd.choice(xs)
+    rows = [(f"{i:03}", float(rnd.randint(0, 300)), float(rnd.randint(0, 300)), some("Reihenhaus", "Eigentumswohnung", "Mehrfamilienhaus", None), some(0.0, -0.0, 3.0, None), some(50.0, 90.0, 170.0), some(1930, 1980, None), 1e5 + i) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, objektunterart string, regiotyp double, wohnflaeche double, baujahr int, marktwert double")
+    train, test = df.where("id >= '020'"), df.where("id < '050'")  # some are on both sides
+    guards = D.Guards(regiotyp=0, objektunterart_category=0, wohnflaeche=0, baujahr=0)
+    for piece, more in ((fields.PIECE, {}), (40, {"most_similar_by_category": {1: 2, 3: 4}}), (fields.PIECE, {"most_similar": 3})):
+        monkeypatch.setattr(fields, "PIECE", piece)
+        model = predictors.WeightedAverage(D.filtered(guards, D.Expert()), radius=120, fallback=None, **more).train(train)
+        want = {r["id"]: r["pred_sqm"] for r in model._prices(model.neighbours(test)).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(predictors.WeightedAverage, "_pairs", lambda *_: pytest.fail("all pairs were joined"))
+            got = {r["id"]: r["pred_sqm"] for r in model.predict(test).collect()}
+        assert set(want) <= set(got) and len(want) > 20
+        assert {i: got[i] for i in want} == pytest.approx(want, rel=1e-9, nan_ok=True)
