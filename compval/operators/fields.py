@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from compval.durable import saved
 from compval.functions import dissimilarity as D
-from compval.operators.spatial import knn_join, prefixed, radius_join
+from compval.operators.spatial import knn_join, prefixed, radius_join, whole_cell
 
 #: Rows of a side that a task holds at once, roughly.
 PIECE = 1 << 18
@@ -384,6 +384,94 @@ def radius_or_nearest(targets: DataFrame, others: DataFrame, radius: float, leas
     return kept if few.isEmpty() else kept.unionByName(knn_join(few, others, least).drop("knn_rank").select(*kept.columns))
 
 
+def _below(y: np.ndarray, value: np.ndarray, first: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of numbers how many of the first `first` points have a rank y (0, 1, ...) below `bound`, and the sum of their
+    values. Points are parted by one bit of y after the other, the highest first, keeping their order otherwise."""
+    count, total = np.zeros(len(first), np.int64), np.zeros(len(first))
+    start, upto = np.zeros(len(first), np.int64), first.astype(np.int64)
+    bits = int(len(y)).bit_length()
+    for bit in range(bits - 1, -1, -1):
+        zero = (y >> bit & 1) == 0
+        zeros, sums = np.append(0, np.cumsum(zero)), np.append(0.0, np.cumsum(np.where(zero, value, 0.0)))
+        one = (bound >> bit & 1) == 1
+        # Those with a 0 where the bound has a 1 are below it; the others are told by the next bits.
+        count += np.where(one, zeros[upto] - zeros[start], 0)
+        total += np.where(one, sums[upto] - sums[start], 0.0)
+        start, upto = (np.where(one, zeros[-1] + e - zeros[e], zeros[e]) for e in (start, upto))
+        order = np.argsort(~zero, kind="stable")
+        y, value = y[order], value[order]
+    return count, total
+
+
+def _held(rects: list[np.ndarray], x: np.ndarray, y: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and sum of the points in each rectangle [xl, xh) x [yl, yh): differences of what is left of and below corners."""
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(len(y), np.int64)
+    rank[np.argsort(y[order], kind="stable")] = np.arange(len(y))
+    xs, ys, value = x[order], np.sort(y), value[order]
+    xl, xh, yl, yh = rects
+    count, total = np.zeros(len(xl), np.int64), np.zeros(len(xl))
+    for ex, sx in ((xl, -1), (xh, 1)):
+        for ey, sy in ((yl, -1), (yh, 1)):
+            n, s = _below(rank, value, np.searchsorted(xs, ex, "left"), np.searchsorted(ys, ey, "left"))
+            count += sx * sy * n
+            total += sx * sy * s
+    return count, total
+
+
+#: Powers of two by which the classes of rectangles' sides differ.
+CLASS = 4
+
+
+def range_sums(rects: DataFrame, points: DataFrame, x: tuple[str, str], y: tuple[str, str], value: str, at: tuple[str, str] = ("x", "y"), unit: float = 1.0) -> DataFrame:
+    """rects that hold any points (low <= coordinate < high in both directions) with n, their number, and total, the sum of
+    their value; no pair is a row. As in spatial.range_join a rectangle meets two nodes at most on each axis, by classes of its
+    sides, and points are repeated for each pair of classes that occurs. What nodes give is added up, so one with many points
+    is dealt in pieces. Sums are differences of running sums, exact as long as these are, as of whole numbers below 2^53."""
+    spark, (xl, xh), (yl, yh), (px, py) = rects.sparkSession, x, y, at
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = saved(rects.where((F.col(xl) < F.col(xh)) & (F.col(yl) < F.col(yh))).withColumn("_key", F.monotonically_increasing_id()))
+    sized = held.select("_key", *[F.col(c).cast("double").alias(n) for c, n in ((xl, "_xl"), (xh, "_xh"), (yl, "_yl"), (yh, "_yh"))])
+    for c in ("_x", "_y"):
+        sized = sized.withColumns({f"{c}a": whole_cell(F.col(f"{c}l"), unit), f"{c}b": whole_cell(F.col(f"{c}h"), unit)})
+        sized = sized.withColumn(f"{c}k", (F.ceil(F.length(F.bin(F.col(f"{c}b") - F.col(f"{c}a"))) / CLASS) * CLASS).cast("int"))
+    classes = sorted((r[0], r[1]) for r in sized.select("_xk", "_yk").distinct().collect())  # 16 x 16 at most
+    for c in ("_x", "_y"):
+        node = lambda end, c=c: F.expr(f"shiftright({c}{end}, {c}k)")
+        sized = sized.withColumn(f"{c}n", F.explode(F.array_distinct(F.array(node("a"), node("b")))))
+    pairs = F.array(*[F.struct(F.lit(i).alias("xk"), F.lit(j).alias("yk")) for i, j in classes]) if classes else F.expr("array_repeat(named_struct('xk', 0, 'yk', 0), 0)")
+    placed = points.where(F.col(px).isNotNull() & F.col(py).isNotNull()).select(F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"), F.col(value).cast("double").alias("_v"))
+    placed = placed.withColumn("_c", F.explode(pairs)).withColumns({"_xk": F.col("_c.xk"), "_yk": F.col("_c.yk")}).drop("_c")
+    placed = placed.withColumns({"_xa": whole_cell(F.col("_px"), unit), "_ya": whole_cell(F.col("_py"), unit)})
+    placed = placed.withColumns({"_xn": F.expr("shiftright(_xa, _xk)"), "_yn": F.expr("shiftright(_ya, _yk)")}).drop("_xa", "_ya")
+    keys = ["_xk", "_yk", "_xn", "_yn"]
+    crowd = lambda df, c: df.groupBy(*keys).count().where(F.col("count") > PIECE).select(*keys, F.ceil(F.col("count") / PIECE).cast("int").alias(c))
+    parts = saved(crowd(placed, "_m").join(crowd(sized, "_k"), keys, "full"))
+    sized = sized.select("_key", "_xl", "_xh", "_yl", "_yh", *keys)
+    if parts.isEmpty():
+        sized, placed = (df.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for df in (sized, placed))
+    else:
+        some = lambda c: F.explode(F.expr(f"sequence(0, coalesce({c}, 1) - 1)"))
+        one = lambda c, *of: F.pmod(F.xxhash64(*of), F.coalesce(F.col(c), F.lit(1))).cast("int")
+        sized, placed = (df.join(F.broadcast(parts), keys, "left") for df in (sized, placed))
+        sized = sized.withColumns({"_j": one("_k", "_key")}).withColumn("_i", some("_m")).drop("_m", "_k")
+        placed = placed.withColumns({"_i": F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_m"), F.lit(1))).cast("int")}).withColumn("_j", some("_k")).drop("_m", "_k")
+    keys += ["_i", "_j"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            a, n, s = a.slice(0, 0), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            xs, ys, values = (b.column(c).to_numpy() for c in ("_px", "_py", "_v"))
+            n, s = _held([a.column(c).to_numpy() for c in ("_xl", "_xh", "_yl", "_yh")], xs, ys, np.nan_to_num(values))
+        some_ = pa.array(n > 0, pa.bool_())
+        return pa.table({"_key": a.column("_key").filter(some_), "n": pa.array(n).filter(some_), "total": pa.array(s).filter(some_)})
+
+    met = sized.repartition(shuffled, *keys).groupBy(*keys).cogroup(placed.repartition(shuffled, *keys).groupBy(*keys)).applyInArrow(run, "_key long, n long, total double")
+    sums = met.groupBy("_key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return held.join(sums, "_key").drop("_key")
+
+
 #: Cells along a side of the tiles whose links a task finds.
 TILE = 16
 

@@ -131,3 +131,22 @@ def test_guards_join_what_may_pass_alone(spark, monkeypatch):
             got = {r["id"]: r["pred_sqm"] for r in model.predict(test).collect()}
         assert set(want) <= set(got) and len(want) > 20
         assert {i: got[i] for i in want} == pytest.approx(want, rel=1e-9, nan_ok=True)
+
+
+@pytest.mark.parametrize("piece", [fields.PIECE, 9])
+def test_range_sums_are_those_of_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(fields, "PIECE", piece)
+    monkeypatch.setattr(spatial, "range_join", lambda *_: pytest.fail("pairs were joined"))
+    rnd = random.Random(4)
+    span = lambda: (lambda lo, w: (lo, lo + w))(float(rnd.randint(-500, 500)), 2.0 ** rnd.randint(-3, 12))
+    rects = [(i, *span(), *span()) for i in range(60)] + [(90, 0.0, 0.0, 0.0, 9.0), (91, None, 1.0, 0.0, 1.0), (92, -1e15, 1e15, -1.0, 1.0), (92, -9.0, 99.0, -99.0, 9.0)]
+    pts = [(i, float(rnd.randint(-600, 600)), float(rnd.randint(-60, 60))) for i in range(150)] + [(200, None, 1.0), (201, 0.0, 0.0), (202, 0.0, 0.0)]
+    a, b = spark.createDataFrame(rects, "r int, xl double, xh double, yl double, yh double"), spark.createDataFrame(pts, "p int, x double, y double")
+    got = fields.range_sums(a, b, ("xl", "xh"), ("yl", "yh"), "x").select("r", "xl", "n", "total").collect()
+    want = []
+    for r, xl, xh, yl, yh in rects:
+        held = [x for _, x, y in pts if None not in (xl, x) and xl <= x < xh and yl <= y < yh]
+        if held:
+            want.append((r, xl, len(held), sum(held)))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert fields.range_sums(a.limit(0), b, ("xl", "xh"), ("yl", "yh"), "x").count() == 0
