@@ -184,3 +184,15 @@ def test_large_blocks_of_one_cost_are_priced_by_their_extremes(spark, monkeypatc
             checked(rows, got, capped, False)
         one = dict(map(tuple, clustering.cluster(df, REACH, C.negative_discrete(), large=1).collect()))
         assert len(set(one.values())) == clustering.components(df, spatial.epsilon_edges(df, REACH)).select("component").distinct().count()
+
+
+def test_each_edge_is_met_once_and_from_half_of_the_cells(spark):
+    rnd = random.Random(6)
+    rows = [(f"{i:02}", float(rnd.randint(-90, 90)), float(rnd.randint(-90, 90)), i) for i in range(70)] + [("z", None, 0.0, 1), ("00", 3.0, 3.0, 5), ("y", 0.0, 0.0, 7), ("x", 30.0, 0.0, 8)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, v int")
+    found = spatial.epsilon_edges(df, 30.0)
+    assert found.columns == [f"{p}_{c}" for p in "ab" for c in df.columns]
+    want = [(*a, *b) for a, b in itertools.permutations(rows, 2) if a[0] < b[0] and None not in (a[1], b[1]) and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 900]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(cx") == 5
