@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from compval import queries
 from compval.functions import dissimilarity as D
+from compval.operators import fields, predictors, spatial
 from compval.operators.spatial import prefixed
 from compval.schema import completed
 
@@ -34,3 +35,31 @@ def test_pairs_are_priced_without_the_kinds_of_their_records(spark):
         assert "t__object" in plan or "t__house" in plan, name
         assert "t_objektunterart" not in plan, name
         assert plan.count("REPARTITION_BY_NUM") >= 2, name
+
+
+def test_nearest_in_tiles_are_those_of_the_join(spark):
+    """Ties, nulls, targets that are others too, and ones far from all others."""
+    places = [(f"o{i:03}", float(i * 37 % 60), float(i * 53 % 60), 900.0 + i % 7, None if i % 5 == 0 else float(i % 9)) for i in range(300)]
+    others = completed(spark.createDataFrame(places, "id string, x double, y double, sqm double, zustand double").repartition(3))
+    rows = [*places[:60], ("t1", 30.5, 29.5, 1.0, 2.0), ("t2", 500.0, 10.0, 1.0, 2.0), ("t3", -200.0, -200.0, 1.0, None), ("t4", None, 3.0, 1.0, 2.0)]
+    targets = completed(spark.createDataFrame(rows, "id string, x double, y double, sqm double, zustand double"))
+    for k in (1, 7):
+        cols = ["t_id", "t_zustand", "n_id", "n_sqm", "n_zustand"]
+        want, got = {}, {}
+        for found, df in ((want, spatial.knn_join(targets, others, k)), (got, fields.nearest_rows(targets, others, k, ["x", "zustand"], ["x", "zustand", "sqm"]))):
+            for r in df.select(*cols).collect():
+                found.setdefault(r["t_id"], set()).add(tuple(r))
+        assert len([i for i, pairs in got.items() if len(pairs) == k]) >= 50
+        assert {"t2", "t3", "t4"}.isdisjoint(got)
+        assert all(got[i] == want[i] for i in got if len(got[i]) == k)
+    assert fields.nearest_rows(targets, others.limit(5), 7, [], ["sqm"]) is None
+
+    for guards in (None, D.Guards()):
+        d = D.lp(2.0, {"zustand": (0.0, 0.5), "x": (0.0, 1.0)})
+        model = predictors.WeightedAverage(d if guards is None else D.filtered(guards, d), k=7, most_similar=3).train(others.withColumn("marktwert", F.col("sqm") * 50).withColumn("wohnflaeche", F.lit(50.0)))
+        asked = targets.withColumn("wohnflaeche", F.lit(50.0))
+        by_rounds = model._prices(model._pairs(model._hidden(asked)))
+        want = {r["id"]: r["pred_sqm"] for r in by_rounds.collect()}
+        got = {r["id"]: r["pred_sqm"] for r in model.predict(asked).collect() if r["pred_sqm"] is not None}
+        assert want.keys() == got.keys() and "t3" in got and all(abs(want[i] - got[i]) < 1e-9 for i in want)
+    assert D.columns_of(D.lp(2.0, {"x": (0.0, 1.0)})) == ["x"] and D.columns_of(D.filtered(D.Guards(days=3), D.lp())) is None
