@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from compval import queries
 from compval.functions import dissimilarity as D
-from compval.operators import fields, predictors, spatial
+from compval.operators import evolution, fields, predictors, spatial
 from compval.operators.spatial import prefixed
-from compval.schema import completed
+from compval.schema import FEATURES, completed
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,8 @@ def test_nearest_in_tiles_are_those_of_the_join(spark):
         got = {r["id"]: r["pred_sqm"] for r in model.predict(asked).collect() if r["pred_sqm"] is not None}
         assert want.keys() == got.keys() and "t3" in got and all(abs(want[i] - got[i]) < 1e-9 for i in want)
     assert D.columns_of(D.lp(2.0, {"x": (0.0, 1.0)})) == ["x"] and D.columns_of(D.filtered(D.Guards(days=3), D.lp())) is None
+
+
+def test_the_first_genome_takes_its_nearest_from_tiles(spark):
+    found = evolution.lp_predictor(evolution.lp_genome(), {f: (0.0, 1.0) for f in FEATURES})
+    assert found.k == 100 and D.columns_of(found.dissimilarity) == []
