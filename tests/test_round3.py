@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from compval import queries
 from compval.functions import dissimilarity as D
+from compval.llm import extraction
 from compval.operators import evolution, fields, predictors, spatial
 from compval.operators.spatial import prefixed
 from compval.schema import FEATURES, completed
@@ -68,3 +69,18 @@ def test_nearest_in_tiles_are_those_of_the_join(spark):
 def test_the_first_genome_takes_its_nearest_from_tiles(spark):
     found = evolution.lp_predictor(evolution.lp_genome(), {f: (0.0, 1.0) for f in FEATURES})
     assert found.k == 100 and D.columns_of(found.dissimilarity) == []
+
+
+def test_suffixes_in_order_tell_what_pages_repeat(spark):
+    """Runs go over batches and ranges; a string that one page repeats is none."""
+    rows = [("h", page, [(0, 1, head) for head in heads]) for page, heads in [(5, [1, 1, 2, 9]), (6, [2, 3]), (7, [2, 4, 4]), (8, [9])]]
+    rows += [("g", 5, [(0, 1, 3)]), ("g", 9, [(0, 1, 1)])] + [("h", 100 + i, [(0, 1, 77)]) for i in range(50)]
+    streams = spark.createDataFrame(rows, "host string, page long, heads array<struct<start:int,stop:int,head:long>>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = extraction.repeated(streams)
+        assert {tuple(r) for r in found.collect()} == {("h", 2), ("h", 9), ("h", 77)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning(host" in plan and "Sort [host" in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
