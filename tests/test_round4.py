@@ -34,7 +34,7 @@ def test_disc_sums_are_those_of_the_join(spark, monkeypatch, piece, own, radius)
         assert (got[i][0], got[i][2]) == (v[0], v[2]) and got[i][1] == pytest.approx(v[1], rel=1e-9)
 
 
-@pytest.mark.parametrize("name", ["join_radius"])
+@pytest.mark.parametrize("name", ["join_radius", "join_radius_self"])
 def test_counts_within_a_radius_join_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(spatial, "radius_join", lambda *_, **__: pytest.fail("pairs were joined"))
     assert queries.QUERIES[name](spark, SF).count()
