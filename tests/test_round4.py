@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compval import queries
-from compval.operators import fields, spatial
+from compval.operators import fields, normalizers, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,24 @@ def test_disc_sums_are_those_of_the_join(spark, monkeypatch, piece, own, radius)
 def test_counts_within_a_radius_join_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(spatial, "radius_join", lambda *_, **__: pytest.fail("pairs were joined"))
     assert queries.QUERIES[name](spark, SF).count()
+
+
+@pytest.mark.parametrize("piece", [fields.PIECE, 60])
+def test_local_levels_are_those_of_lists_of_neighbours(spark, monkeypatch, piece):
+    """Rows without a date or a place, ones of a crowd, and ones without neighbours at their start or end."""
+    monkeypatch.setattr(fields, "PIECE", piece)
+    when = F.when(F.substring("id", 4, 1) != "7", F.expr("date_add(DATE '2016-03-01', CAST(pmod(hash(id), 700) AS INT))"))
+    targets, others = (scattered(spark, n, seed).dropDuplicates(["id"]).withColumn(normalizers.DATE, when) for n, seed in ((60, 1), (250, 2)))
+    row = lambda df: {r["id"]: r["adjusted_sqm"] for r in df.collect()}
+    want = {mode: row(normalizers.Local(mode, 700.0, 90, "2017-01-01")._listed(targets, others)) for mode in ("median", "rank")}
+    monkeypatch.setattr(normalizers, "radius_join", lambda *_, **__: pytest.fail("pairs were joined"))
+    monkeypatch.setattr(fields, "crowded", lambda *_: False)
+    for mode in want:
+        assert row(normalizers.Local(mode, 700.0, 90, "2017-01-01").adjusted(targets, others)) == want[mode]
+    pairs = spatial.radius_join(targets, others, 700.0)
+    near = lambda c: F.when(F.abs(F.datediff(f"n_{normalizers.DATE}", c)) <= 90, F.col("n_sqm"))
+    mean = pairs.groupBy("t_id", "t_sqm").agg((F.avg(near(F.lit("2017-01-01").cast("date"))) / F.avg(near(F.col(f"t_{normalizers.DATE}")))).alias("q"))
+    ratio = {r["t_id"]: r["t_sqm"] * (1.0 if r["q"] is None else r["q"]) for r in mean.collect()}
+    got = row(normalizers.Local("average", 700.0, 90, "2017-01-01").adjusted(targets, others))
+    assert got == pytest.approx({r["id"]: ratio.get(r["id"], r["sqm"]) for r in targets.collect()}, rel=1e-12)
+    assert sum(got[i] != r for i, r in ((r["id"], r["sqm"]) for r in targets.collect())) > 20
