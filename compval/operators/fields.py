@@ -586,6 +586,55 @@ def _nearest(k: int, radius: float, t: list[str], o: list[str]) -> Work:
     return work
 
 
+def nearest_within(targets: DataFrame, others: DataFrame, radius: float, most: int) -> DataFrame:
+    """t_id, n_id and rank of the `most` least dissimilar others of each target within the radius, by D.distance(): a target's own
+    id comes first, then the distance, of at least 10 units, ties to the smaller id; ids are unique on either side. No pair
+    is a row but of the few that a piece of a tile gives."""
+    limit, least = float(radius) * radius, D.MIN_SQUARED_DISTANCE
+
+    def work(a, b, targets, others):
+        ids = others.column("id").combine_chunks()
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.argsort(b["x"], kind="stable")
+        x, y, rank = b["x"][order], b["y"][order], rank[order]
+        by, first, last = _mates(targets, others)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        chosen, keys = [np.empty(0, np.int64)], [np.empty(0)]
+        size, reach = np.zeros(len(a["x"]), np.int64), float(radius)
+        for i in range(len(a["x"])):
+            tx, ty, own = a["x"][i], a["y"][i], place[by[first[i] : last[i]]]
+            reach = float(radius) if len(own) else max(min(reach, float(radius)), min(least**0.5, float(radius)))
+            while True:
+                edge = reach * (1 + 1e-9) + 1e-9 * abs(tx)
+                low, high = np.searchsorted(x, tx - edge, "left"), np.searchsorted(x, tx + edge, "right")
+                d2 = (tx - x[low:high]) ** 2 + (ty - y[low:high]) ** 2
+                at = np.flatnonzero(d2 <= min(reach * reach, limit) if reach < radius else d2 <= limit)
+                if len(at) >= most or reach >= radius:
+                    break
+                reach = min(float(radius), 2 * reach)
+            key, at = np.maximum(d2[at], least), at + low
+            if len(own):
+                key[np.isin(at, own)] = 0.0
+            if len(at) > most:
+                kept = key <= np.partition(key, most - 1)[most - 1]
+                key, at = key[kept], at[kept]
+            best = np.lexsort((rank[at], key))[:most]
+            if len(best) == most:
+                reach = 1.25 * float(np.sqrt(key[best[-1]]))
+            chosen.append(order[at[best]])
+            keys.append(key[best])
+            size[i] = len(best)
+        ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+        return {"ids": pa.ListArray.from_arrays(ends, ids.take(pa.array(np.concatenate(chosen)))), "keys": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))}
+
+    found = gathered(targets, others, radius, work, f"ids array<{dict(others.dtypes)['id']}>, keys array<double>", wide=WIDE)
+    found = found.select("t_id", F.explode(F.arrays_zip("ids", "keys")).alias("_n")).select("t_id", F.col("_n.ids").alias("n_id"), F.col("_n.keys").alias("_key"))
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy("_key", "n_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).drop("_key")
+
+
 def nearest_rows(targets: DataFrame, others: DataFrame, k: int, t: list[str], o: list[str]) -> DataFrame | None:
     """Pairs (t_- and n_-prefixed: id, x, y and the numeric columns asked for) of each target with its k nearest others, ties to
     the smaller id, as far as they lie within the radius that holds some 4 k of evenly spread others: a target with k pairs has

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from compval import queries
-from compval.operators import fields, normalizers, spatial
+from compval.functions import dissimilarity as D
+from compval.operators import fields, normalizers, predictors, spatial
+from compval.operators.spatial import prefixed
+from compval.schema import completed
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +62,15 @@ def test_local_levels_are_those_of_lists_of_neighbours(spark, monkeypatch, piece
     got = row(normalizers.Local("average", 700.0, 90, "2017-01-01").adjusted(targets, others))
     assert got == pytest.approx({r["id"]: ratio.get(r["id"], r["sqm"]) for r in targets.collect()}, rel=1e-12)
     assert sum(got[i] != r for i, r in ((r["id"], r["sqm"]) for r in targets.collect())) > 20
+
+
+@pytest.mark.parametrize("piece", [fields.PIECE, 40])
+def test_the_most_similar_by_distance_are_those_of_a_window(spark, monkeypatch, piece):
+    """Ties, within 10 m by id, targets that are others elsewhere, and a kind that keeps all."""
+    monkeypatch.setattr(fields, "PIECE", piece)
+    kinds = F.element_at(F.array(*map(F.lit, ("Eigentumswohnung", "Einfamilienhaus", "Reihenhaus", "Mehrfamilienhaus"))), (F.pmod(F.hash("id"), F.lit(4)) + 1).cast("int"))
+    sets = [scattered(spark, n, seed, 1500).dropDuplicates(["id"]).withColumns({"objektunterart": kinds, "marktwert": F.lit(1e5), "wohnflaeche": F.lit(50.0)}) for n, seed in ((50, 1), (200, 2))]
+    model = predictors.WeightedAverage(D.distance(2.0), radius=300, fallback=None, most_similar_by_category={1: 1, 2: 2, 3: 4}).train(sets[1])
+    want = sorted(tuple(r) for r in model._weighed(model.neighbours(sets[0])).select("t_id", "n_id", "dissim", "weight").collect())
+    found = model.scored(sets[0]).select("t_id", "n_id", "dissim", "weight")
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
