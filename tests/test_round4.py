@@ -74,3 +74,12 @@ def test_the_most_similar_by_distance_are_those_of_a_window(spark, monkeypatch,
     want = sorted(tuple(r) for r in model._weighed(model.neighbours(sets[0])).select("t_id", "n_id", "dissim", "weight").collect())
     found = model.scored(sets[0]).select("t_id", "n_id", "dissim", "weight")
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
+
+
+def test_norms_are_derived_once_a_record(spark):
+    plan = queries.QUERIES["dissim_cosine"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "t__norm" in plan and "n__norm" in plan
+    rows = D.derived(completed(spark.createDataFrame([(1, 3.0, None, 2), (2, 0.0, 0.0, 0), (3, None, 5.0, 7)], "id long, x double, y double, zustand int")))
+    pairs = prefixed(rows, "t_").crossJoin(prefixed(rows, "n_"))
+    for r in pairs.select(D.cosine()("t_", "n_").alias("a"), D.cosine_of(F.col("t__norm") * F.col("n__norm"), D.inner_product("t_", "n_")).alias("b")).collect():
+        assert r["a"] == r["b"]
